@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fold, table
+from lexispark.llm.common import fold, new_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id,)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import token_store
+
+    path = new_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents", ("doc_id", "text")), path, tokenizer_path(), end_id=1)
+    return token_store.read(spark, path, tokenizer_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op9_token_store)}
 ORACLES: dict[str, str] = {}
