@@ -25,6 +25,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import curve_packing
+
+    return curve_packing.pack(table(spark, sf_dir, "documents", ("doc_id", "text")), tokenizer_path(), end_id=2)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import token_store
 
@@ -33,5 +39,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op9_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_curve_packing, op9_token_store)}
 ORACLES: dict[str, str] = {}
