@@ -31,6 +31,12 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(table(spark, sf_dir, "documents", ("doc_id", "text")), tokenizer_path(), end_id=2)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import decontamination
+
+    return decontamination.judge(table(spark, sf_dir, "documents", ("doc_id", "text")), table(spark, sf_dir, "benchmark", ("item_id", "text")))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import token_store
 
@@ -39,5 +45,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_curve_packing, op9_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_curve_packing, op7_decontamination, op9_token_store)}
 ORACLES: dict[str, str] = {}
