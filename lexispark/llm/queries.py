@@ -45,5 +45,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_curve_packing, op7_decontamination, op9_token_store)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import near_dedup
+
+    return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_curve_packing, op7_decontamination, op9_token_store, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
