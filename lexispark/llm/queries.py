@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import fold, new_path, table
 
+QUALITY_LEAST = 0.7
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import language_id
@@ -19,6 +21,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def quality_model(spark: SparkSession, sf_dir: str):
+    from lexispark.llm import quality
+
+    def training(name: str, *columns: str) -> DataFrame:
+        return table(spark, sf_dir, name, ("doc_id", *columns)).where(fold(F.col("doc_id"), 4) != 2)
+
+    return quality.train(training("documents", "text"), training("labels", "quality"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import quality
+
+    out = quality.scored(table(spark, sf_dir, "documents", ("doc_id", "text")), quality_model(spark, sf_dir))
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -51,5 +69,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_curve_packing, op7_decontamination, op9_token_store, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_classifier, op5_curve_packing, op7_decontamination, op9_token_store, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
