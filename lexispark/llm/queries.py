@@ -55,6 +55,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents", ("doc_id", "text")), table(spark, sf_dir, "benchmark", ("item_id", "text")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import secret_scan
+
+    return secret_scan.report(table(spark, sf_dir, "documents", ("doc_id", "text")))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import token_store
 
@@ -69,5 +75,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_classifier, op5_curve_packing, op7_decontamination, op9_token_store, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_classifier, op5_curve_packing, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
