@@ -49,6 +49,33 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(table(spark, sf_dir, "documents", ("doc_id", "text")), tokenizer_path(), end_id=2)
 
 
+# The rules of the query's contract.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import url_filter
+
+    pages = table(spark, sf_dir, "pages", ("page_id", "url"))
+    return url_filter.judge(pages, url_filter.rules_table(pages, [url_filter.Rule(*r) for r in URL_RULES]))
+
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(rule_verdict, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fit AS (
+  SELECT host, path, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, rule_verdict DESC) AS k
+  FROM (SELECT DISTINCT host, path FROM p) u JOIN r ON (u.host = rule_host OR ends_with(u.host, '.' || rule_host)) AND starts_with(u.path, rule_path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rule_verdict, 'allow') AS verdict
+FROM p LEFT JOIN fit f ON f.host = p.host AND f.path = p.path AND f.k = 1
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import decontamination
 
@@ -75,5 +102,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_classifier, op5_curve_packing, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_classifier, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
+ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
