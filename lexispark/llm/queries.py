@@ -21,6 +21,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import site_style
+
+    out = site_style.extract(table(spark, sf_dir, "pages", ("page_id", "url", "html")))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str):
     from lexispark.llm import quality
 
@@ -102,5 +109,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_quality_classifier, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_classifier, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
