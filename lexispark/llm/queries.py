@@ -50,6 +50,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import additive_search
+
+    return additive_search.search(table(spark, sf_dir, "embeddings", ("vec_id", "embedding")), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import curve_packing
 
@@ -109,5 +115,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_classifier, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_classifier, op4_additive_search, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
