@@ -5,16 +5,16 @@
    shuffled).  A node keeps 16-bit HyperMinHash registers: 6 bits of leading
    zeros and 10 bits of mantissa of a minimum.  Each register has a hash
    function of its own instead of a share of one, so short texts fill them all.
-2. Bands of registers give buckets.  A bucket's nodes are compared with one of
-   them, not with each other: candidates are filtered by set size, then by the
+2. Bands of registers give buckets.  A bucket's nodes are compared with the one
+   of them that meets most nodes, not with each other: candidates are filtered by set size, then by the
    collision-corrected estimate, and confirmed on the full sets.
-3. Confirmed links make components.  Buckets whose nodes lie in several
-   components are treated again with another lead, and last every node outside
-   a bucket's largest component is compared with all nodes of the others, so
-   no link between two components of a bucket is missed.
+3. Confirmed links make components.  Where a bucket's nodes still lie in
+   several, blocks of them are compared, each pair of blocks in one matrix
+   product of full sets, so no link between two components is missed and only
+   links that join components are put out.
 
-Pairs within a component are never made, so a group of n near copies costs
-work in proportion to n.  At a similarity of exactly 0.8 the bands (36 of 5
+No pair is made within a component or for each pair of a bucket's nodes: a group
+of n near copies around a common text costs work in proportion to n.  At a similarity of exactly 0.8 the bands (36 of 5
 registers) miss a pair of nodes with a probability under 1e-6.
 
 Defined results: a text without words has an empty set and is linked with
@@ -51,7 +51,7 @@ class Settings:
     percent: int = 80
     bands: int = 36
     rows: int = 5
-    lead_rounds: int = 2
+    block: int = 256
     #: Standard deviations by which an estimate may fall short before a pair is given up unconfirmed.
     margin: float = 5.0
 
@@ -59,6 +59,12 @@ class Settings:
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def slack(self) -> float:
+        """The estimate under which a pair is given up."""
+        t = self.percent / 100
+        return t - self.margin * (t * (1 - t) / self.registers) ** 0.5
+
 
 class WordHashes(dict):
     """word -> 64-bit hash, for the words a worker has met; emptied when it is full."""
@@ -143,6 +149,72 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(sets of a, sets of b) sizes of the intersections, as matrix products over slices of the shared shingles."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        whole, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(shared.searchsorted(whole), len(shared) - 1)
+        hit = shared[at] == whole
+        order = at[hit].argsort(kind="stable")
+        return at[hit][order], owner[hit][order]
+
+    if len(shared):
+        sides = places(a), places(b)
+        for low in range(0, len(shared), 8192):
+            slices = []
+            for (at, owner), sets in zip(sides, (a, b), strict=True):
+                k = slice(*at.searchsorted((low, low + 8192)))
+                dense = np.zeros((len(sets), min(8192, len(shared) - low)), np.float32)
+                dense[owner[k], at[k] - low] = 1
+                slices.append(dense)
+            out += slices[0] @ slices[1].T
+    return out
+
+
+def block_links(rows: list[tuple], s: Settings) -> list[tuple[bytes, bytes]]:
+    """Of the rows (pair, side, node, root, n, marks, text) of two blocks, or one: links that
+    join components of which any two texts, one of either block, are similar enough."""
+    sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
+    one, other = sides[0], sides[1] or sides[0]
+    if not one:
+        return []
+    n, m = (np.array([r[4] for r in x], float) for x in (one, other))
+    roots = {x: k for k, x in enumerate(dict.fromkeys(r[3] for r in rows))}
+    ra, rb = (np.array([roots[r[3]] for r in x]) for x in (one, other))
+    maybe = (ra[:, None] != rb) & (100 * np.minimum(n[:, None], m) >= s.percent * np.maximum(n[:, None], m))
+    if maybe.any():
+        marks = [np.array([np.frombuffer(r[5], "<u2") for r in x]).T for x in (one, other)]
+        same = np.zeros(maybe.shape, np.int32)
+        for x, y in zip(*marks, strict=True):
+            same += x[:, None] == y
+        chance = COLLISIONS * 2.0**-MANTISSA * 4 * n[:, None] * m / (n[:, None] + m) ** 2
+        maybe &= (same / s.registers - chance) / (1 - chance) >= s.slack
+    if not maybe.any():
+        return []
+    ka, kb = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    a, b = [shingles(one[k][6], s.shingle) for k in ka], [shingles(other[k][6], s.shingle) for k in kb]
+    sound = np.array([digest(x) == one[k][2] for x, k in zip(a, ka, strict=True)])[:, None] & np.array([digest(x) == other[k][2] for x, k in zip(b, kb, strict=True)])
+    both = common(a, b)
+    similar = maybe[np.ix_(ka, kb)] & sound & (100 * both >= s.percent * (n[ka][:, None] + m[kb] - both))
+    parent = list(range(len(roots)))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    for i, j in zip(*similar.nonzero(), strict=True):
+        x, y = top(ra[ka[i]]), top(rb[kb[j]])
+        if x != y:
+            parent[x] = y
+            out.append((one[ka[i]][2], other[kb[j]][2]))
+    return out
+
+
 class Finder:
     """The steps over one table; every step's output is a written table or a lazy read of one."""
 
@@ -183,13 +255,15 @@ class Finder:
         """The sizes allow the similarity asked for."""
         return (100 * F.least("n", other) >= self.s.percent * F.greatest("n", other)) & (F.col("node") != F.col("lead"))
 
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, marks, text) of distinct nodes; a repeated doc_id may bring another text, too."""
+        return self.docs.join(nodes.join(self.nodes, "node").select("node", "n", "marks", F.col("least").alias("doc_id")), "doc_id").select("node", "n", "marks", "text")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those (node, lead) pairs that are similar enough: by estimate first, then on full sets."""
         s = self.s
         pairs = written(pairs.select("node", "lead").distinct(), "pairs")
-        wanted = pairs.select("node").union(pairs.select("lead")).distinct().join(self.nodes, "node").select("node", "n", "marks", F.col("least").alias("doc_id"))
-        texts = written(self.docs.join(written(wanted, "wanted"), "doc_id").select("node", "n", "marks", "text"), "texts")
-        slack = s.percent / 100 - s.margin * (s.percent / 100 * (1 - s.percent / 100) / s.registers) ** 0.5
+        texts = written(self.texts(pairs.select("node").union(pairs.select("lead")).distinct()), "texts")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: tuple[bytes, np.ndarray] | None = None
@@ -197,7 +271,7 @@ class Finder:
                 keep = []
                 columns = (batch.column(c).to_pylist() for c in ("node", "n", "marks", "text", "lead", "lead_n", "lead_marks", "lead_text"))
                 for node, n, marks, text, lead, lead_n, lead_marks, lead_text in zip(*columns, strict=True):
-                    if estimate(np.frombuffer(marks, "<u2"), np.frombuffer(lead_marks, "<u2"), n, lead_n) < slack:
+                    if estimate(np.frombuffer(marks, "<u2"), np.frombuffer(lead_marks, "<u2"), n, lead_n) < s.slack:
                         keep.append(False)
                         continue
                     if last is None or last[0] != lead:
@@ -210,32 +284,71 @@ class Finder:
         lead = texts.select(*(F.col(c).alias("lead" if c == "node" else f"lead_{c}") for c in texts.columns))
         return written(pairs.join(texts, "node").join(lead, "lead").mapInArrow(confirm, "a binary, b binary").distinct(), "confirmed")
 
+    def crowds(self) -> DataFrame:
+        """(bucket, node, n, weight) of the buckets that more than one node shares.
+
+        A node's weight is the number of nodes it meets over all its buckets:
+        the middle of a group of copies meets more than its fringe.
+        """
+        shared = written(self.members().groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+        met = written(self.members().join(shared, "bucket"), "met")
+        weights = written(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+        return written(met.join(weights, "node").select("bucket", "node", "n", "weight"), "crowds")
+
     def links(self) -> DataFrame:
         """(node, root) for every node that isn't alone, but the roots."""
+        crowd = self.crowds()
+        heaviest = F.max(F.struct("weight", "node", "n")).alias("lead")
+        leads = written(crowd.groupBy("bucket").agg(heaviest).select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leads")
+        found = self.confirmed(crowd.join(leads, "bucket").where(self.near("lead_n")))
+        stars = components(found)
+        named = written(crowd.join(stars, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "named")
+        sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+        parts = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
+        mixed = written(parts.select("bucket", F.col("main.root").alias("main")), "mixed")
+        if mixed.isEmpty():
+            return stars
+        return components(self.crossing(named, mixed).union(stars.select("node", "root")))
+
+    def crossing(self, named: DataFrame, mixed: DataFrame) -> DataFrame:
+        """Links between the components of mixed buckets: enough of them to join all that belong together.
+
+        Nodes are dealt to blocks by the first mixed bucket they are in.  For
+        every bucket, each block with a node outside the bucket's largest
+        component meets each block of the bucket; two blocks are compared in
+        one matrix product, whatever the number of buckets they share.
+        """
         s = self.s
-        shared = written(self.members().groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1").select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
-        crowd = written(self.members().join(shared.select("bucket", "lead", "lead_n"), "bucket"), "crowd")
-        stars = components(self.confirmed(crowd.where(self.near("lead_n"))))
-        crowd = crowd.select("bucket", "node", "n")
-        for k in range(s.lead_rounds + 1):
-            named = written(crowd.join(stars, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "named")
-            mixed = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "n", "root")).alias("lead")).where("low != high")
-            mixed = written(mixed.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root")), "mixed")
-            if mixed.isEmpty():
-                return stars
-            crowd = written(named.join(mixed.select("bucket"), "bucket", "left_semi"), "crowd")
-            if k < s.lead_rounds:
-                found = self.confirmed(crowd.join(mixed, "bucket").where((F.col("root") != F.col("lead_root")) & self.near("lead_n")))
-            else:
-                sizes = crowd.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("main"))
-                main = written(sizes.select("bucket", F.col("main.root").alias("main")), "main")
-                rest = written(crowd.join(main, "bucket").where("root != main").select("bucket", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("root").alias("lead_root")), "rest")
-                once = (F.col("root") == F.col("main")) | (F.col("node") > F.col("lead"))
-                found = self.confirmed(crowd.join(main, "bucket").join(rest, "bucket").where((F.col("root") != F.col("lead_root")) & once & self.near("lead_n")))
-            crowd = crowd.select("bucket", "node", "n")
-            if not found.isEmpty():
-                stars = components(found.union(stars.select("node", "root")))
-        return stars
+        inside = written(named.join(mixed, "bucket").select("bucket", "node", "root", (F.col("root") != F.col("main")).alias("rest")), "inside")
+        first = written(inside.groupBy("node", "root").agg(F.min("bucket").alias("anchor")), "anchors")
+        # Once along the buckets: nodes that share some bucket mostly come to share the anchor, and so blocks.
+        least = written(inside.select("bucket", "node").join(first, "node").groupBy("bucket").agg(F.min("anchor").alias("anchor")), "bucket-anchors")
+        first = written(inside.join(least, "bucket").groupBy("node", "root").agg(F.min("anchor").alias("anchor")), "anchors")
+        shares = written(first.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("shares")), "shares")
+        placed = first.join(shares, "anchor").select("node", "root", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("shares"))).alias("block"))
+        placed = written(placed, "placed")
+        per = written(inside.join(placed.select("node", "block"), "node").groupBy("bucket", "block").agg(F.max("rest").alias("rest")), "bucket-blocks")
+        met = per.where("rest").select("bucket", F.col("block").alias("one")).join(per.select("bucket", F.col("block").alias("other")), "bucket")
+        met = written(met.select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct(), "block-pairs")
+        texts = self.texts(placed.select("node")).join(placed, "node")
+        sides = met.select(F.xxhash64("one", "other").alias("pair"), F.lit(0).alias("side"), F.col("one").alias("block"))
+        sides = sides.union(met.where("one != other").select(F.xxhash64("one", "other"), F.lit(1), "other"))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            for batch in batches:
+                links: list[tuple[bytes, bytes]] = []
+                for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "node", "root", "n", "marks", "text")), strict=True):
+                    if held and held[0][0] != row[0]:
+                        links += block_links(held, s)
+                        held = []
+                    held.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+            links = block_links(held, s) if held else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        rows = sides.join(written(texts, "block-texts"), "block").select("pair", "side", "node", "root", "n", "marks", "text")
+        return written(rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(compare, "a binary, b binary"), "crossing")
 
     def classes(self) -> DataFrame:
         """(node, component_id): every node's smallest reachable doc_id."""
