@@ -20,16 +20,16 @@ _rules = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r)
 TOKENS = r"""
 docs AS (SELECT doc_id, lang AS language_code, regexp_extract_all(text, '[\p{L}\p{M}]+') AS w FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
 tok AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id, language_code, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos FROM docs),
-fm AS (SELECT *, lower(token) AS form FROM tok)"""
+fm AS MATERIALIZED (SELECT *, lower(token) AS form FROM tok)"""
 LEXICON = rf"""{TOKENS},
 rules(suffix, part_of_speech, number, tense, grammatical_case) AS (VALUES {_rules}),
-lex AS (
+lex AS MATERIALIZED (
   SELECT f.language_code, form, left(form, length(form) - length(suffix)) AS headword, grammatical_case, number, part_of_speech, tense, {KEY} AS dedup_key,
          f.language_code || ':' || left(form, length(form) - length(suffix)) AS lemma_id,
          concat_ws('|', f.language_code, left(form, length(form) - length(suffix)), form, {KEY}) AS id,
          regexp_replace(form, '[()\\/*=|+'']', '', 'g') AS bare_form, lower(strip_accents(form)) AS form_normalized
   FROM (SELECT DISTINCT language_code, form FROM fm WHERE length(form) >= 3) f JOIN rules ON ends_with(form, suffix) AND length(form) > length(suffix)),
-known AS (SELECT *, count(*) OVER (PARTITION BY language_code, form) AS n_parses, nl AS n_lemmas FROM lex JOIN (SELECT language_code, form, count(DISTINCT lemma_id) AS nl FROM lex GROUP BY ALL) USING (language_code, form))"""
+known AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY language_code, form) AS n_parses, nl AS n_lemmas FROM lex JOIN (SELECT language_code, form, count(DISTINCT lemma_id) AS nl FROM lex GROUP BY ALL) USING (language_code, form))"""
 MORPH = """
 vec AS (SELECT language_code, grammatical_case, number, part_of_speech, tense, sum(c / n_parses) AS weight
         FROM (SELECT language_code, form, count(*) AS c FROM fm GROUP BY ALL) JOIN known USING (language_code, form) GROUP BY ALL),
@@ -37,18 +37,18 @@ sub AS (SELECT language_code, weight, m, CASE WHEN m & 1 = 1 THEN grammatical_ca
                CASE WHEN m & 4 = 4 THEN part_of_speech END AS part_of_speech, CASE WHEN m & 8 = 8 THEN tense END AS tense
         FROM vec, (SELECT unnest(range(16)) AS m)
         WHERE (m & 1 = 0 OR grammatical_case IS NOT NULL) AND (m & 2 = 0 OR number IS NOT NULL) AND (m & 4 = 0 OR part_of_speech IS NOT NULL) AND (m & 8 = 0 OR tense IS NOT NULL)),
-morph AS (SELECT language_code, """ + KEY + """ AS feature_key, sum(weight) AS count FROM sub GROUP BY ALL)"""
+morph AS MATERIALIZED (SELECT language_code, """ + KEY + """ AS feature_key, sum(weight) AS count FROM sub GROUP BY ALL)"""
 BIGRAMS = """
-lagged AS (SELECT document_id, doc_id, language_code, pos, token, form, lag(form) OVER (PARTITION BY doc_id, language_code ORDER BY pos) AS before FROM fm),
+lagged AS MATERIALIZED (SELECT document_id, doc_id, language_code, pos, token, form, lag(form) OVER (PARTITION BY doc_id, language_code ORDER BY pos) AS before FROM fm),
 big AS (SELECT language_code, before, form, count(*) AS c FROM lagged WHERE before IS NOT NULL GROUP BY ALL)"""
 PRIOR = """
-prior AS (SELECT b.language_code, p.dedup_key AS previous_feature_key, k.dedup_key AS current_feature_key, sum(c / k.n_parses) AS count
+prior AS MATERIALIZED (SELECT b.language_code, p.dedup_key AS previous_feature_key, k.dedup_key AS current_feature_key, sum(c / k.n_parses) AS count
           FROM big b JOIN known k ON k.language_code = b.language_code AND k.form = b.form JOIN known p ON p.language_code = b.language_code AND p.form = b.before GROUP BY ALL)"""
 DOCUMENT = """
 df AS (SELECT document_id, lemma_id, sum(c / n_lemmas) AS weighted_frequency
        FROM (SELECT document_id, language_code, form, count(*) AS c FROM fm GROUP BY ALL) JOIN (SELECT DISTINCT language_code, form, lemma_id, n_lemmas FROM known) USING (language_code, form) GROUP BY ALL)"""
 REQUESTS = """
-req AS (SELECT language_code || ':' || form AS request_id, language_code, form, document_id, before AS prior_word,
+req AS MATERIALIZED (SELECT language_code || ':' || form AS request_id, language_code, form, document_id, before AS prior_word,
                CASE length(form) % 4 WHEN 1 THEN '''' || form WHEN 2 THEN translate(form, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 3 THEN lower(strip_accents(form)) ELSE form END AS word
         FROM (SELECT *, row_number() OVER (PARTITION BY language_code, form ORDER BY doc_id, pos) AS k FROM lagged) WHERE k = 1)"""
 
@@ -57,7 +57,7 @@ def _tiers(name: str, word: str) -> str:
     """CTE of every request's candidates from its first tier that has any."""
     bare = rf"regexp_replace({word}, '[()\\/*=|+'']', '', 'g')"
     return f"""
-{name} AS (SELECT request_id, tier, l.* FROM (
+{name} AS MATERIALIZED (SELECT request_id, tier, l.* FROM (
   SELECT *, min(tier) OVER (PARTITION BY request_id) AS first FROM (
     SELECT request_id, 1 AS tier, l.id FROM req r JOIN lex l ON l.language_code = r.language_code AND l.form = lower({word})
     UNION ALL SELECT request_id, 2, l.id FROM req r JOIN lex l ON l.language_code = r.language_code AND l.bare_form = {bare}
