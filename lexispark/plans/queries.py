@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import text as X
 from lexispark.operators import lookup, scoring, statistics
 from lexispark.operators.ordering import first_wins, suffixed_repeats
+from lexispark.operators.store import checkpointed
 from lexispark.plans import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,9 +211,10 @@ def exclusive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    words = D.tokens(spark, sf_dir)
-    known, asked = D.parses_of(words), D.requests(spark, sf_dir)
-    found = lookup.document_frequency(lookup.lookup(asked, known), asked, statistics.document_counts(words, known))
+    """Candidates of every request and their three scores; what several of them read is written once."""
+    words = checkpointed(D.tokens(spark, sf_dir))
+    known, asked = checkpointed(D.parses_of(words)), checkpointed(D.requests_of(words))
+    found = checkpointed(lookup.document_frequency(lookup.lookup(asked, known), asked, statistics.document_counts(words, known)))
     before = lookup.lookup(asked, known, "prior_word")
     return found, {
         "word_score": scoring.word_scores(found),
