@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,17 @@ from pyspark.sql import types as T
 WORD_PATTERN_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """A worker that goes from one operator to another keeps the named cache alone; the others are emptied."""
+    for other, empty in _CACHES.items():
+        if other != name:
+            empty()
+    _CACHES[name] = clear
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, as spark.checkpoint.dir names it.
 

@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import written
+from lexispark.llm.common import sole_cache, written
 from lexispark.llm.components import components
 
-WORDS_KNOWN = 1_000_000
+WORDS_KNOWN = 300_000
 MANTISSA = 10
 #: The share of one register by which different minima collide, from the HyperMinHash paper.
 COLLISIONS = 0.169919487159739
@@ -224,6 +224,7 @@ class Finder:
         kind = self.docs.schema["doc_id"].dataType.simpleString()
 
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_cache("words", word_hashes().clear)
             for batch in batches:
                 n, nodes, marks = [], [], []
                 for body in batch.column("text").to_pylist():
@@ -255,17 +256,21 @@ class Finder:
         """The sizes allow the similarity asked for."""
         return (100 * F.least("n", other) >= self.s.percent * F.greatest("n", other)) & (F.col("node") != F.col("lead"))
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, marks, text) of distinct nodes; a repeated doc_id may bring another text, too."""
-        return self.docs.join(nodes.join(self.nodes, "node").select("node", "n", "marks", F.col("least").alias("doc_id")), "doc_id").select("node", "n", "marks", "text")
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, marks, text) of distinct nodes; a repeated doc_id may bring another text, too.
+
+        The one step that shuffles whole texts, and of those the nodes name no others come out of it.
+        """
+        return written(self.docs.join(nodes.join(self.nodes, "node").select("node", "n", "marks", F.col("least").alias("doc_id")), "doc_id").select("node", "n", "marks", "text"), "texts")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those (node, lead) pairs that are similar enough: by estimate first, then on full sets."""
         s = self.s
         pairs = written(pairs.select("node", "lead").distinct(), "pairs")
-        texts = written(self.texts(pairs.select("node").union(pairs.select("lead")).distinct()), "texts")
+        texts = self.texts
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_cache("words", word_hashes().clear)
             last: tuple[bytes, np.ndarray] | None = None
             for batch in batches:
                 keep = []
@@ -293,6 +298,7 @@ class Finder:
         shared = written(self.members().groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
         met = written(self.members().join(shared, "bucket"), "met")
         weights = written(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+        self.texts = self.texts_of(weights.select("node"))
         return written(met.join(weights, "node").select("bucket", "node", "n", "weight"), "crowds")
 
     def links(self) -> DataFrame:
@@ -330,11 +336,12 @@ class Finder:
         per = written(inside.join(placed.select("node", "block"), "node").groupBy("bucket", "block").agg(F.max("rest").alias("rest")), "bucket-blocks")
         met = per.where("rest").select("bucket", F.col("block").alias("one")).join(per.select("bucket", F.col("block").alias("other")), "bucket")
         met = written(met.select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct(), "block-pairs")
-        texts = self.texts(placed.select("node")).join(placed, "node")
+        texts = self.texts.join(placed, "node")
         sides = met.select(F.xxhash64("one", "other").alias("pair"), F.lit(0).alias("side"), F.col("one").alias("block"))
         sides = sides.union(met.where("one != other").select(F.xxhash64("one", "other"), F.lit(1), "other"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_cache("words", word_hashes().clear)
             held: list[tuple] = []
             for batch in batches:
                 links: list[tuple[bytes, bytes]] = []

@@ -101,8 +101,10 @@ class QualityModel:
         return np.clip((rows - self.centre) / self.scale, -8, 8) @ self.weights + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        rows = np.array([features(x, self.settings) for x in texts]).reshape(len(texts), -1)
-        return sigmoid(self.slope * self.values(rows) + self.shift) if len(texts) else np.zeros(0)
+        values = [np.zeros(0)]
+        for at in range(0, len(texts), 500):  # few rows of features at a time
+            values.append(self.values(np.array([features(x, self.settings) for x in texts[at : at + 500]])))
+        return sigmoid(self.slope * np.concatenate(values) + self.shift)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -21,7 +21,9 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECE_LIMIT = 500_000
+from lexispark.llm.common import sole_cache
+
+PIECE_LIMIT = 250_000
 # The normaliser and splitter for which pieces may be encoded one by one.
 WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -91,7 +93,12 @@ class PieceEncoder(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder: pieces stay known between the tasks of a worker."""
-    return PieceEncoder(path)
+    sole_cache("pieces", _encoder.cache_clear)
+    return _encoder(path)
