@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import sole_cache, written
+from lexispark.llm.common import slices, sole_cache, written
 from lexispark.llm.components import components
 
 WORDS_KNOWN = 300_000
@@ -225,7 +225,7 @@ class Finder:
 
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sole_cache("words", word_hashes().clear)
-            for batch in batches:
+            for batch in slices(batches):
                 n, nodes, marks = [], [], []
                 for body in batch.column("text").to_pylist():
                     found = shingles(body, s.shingle)
@@ -272,7 +272,7 @@ class Finder:
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sole_cache("words", word_hashes().clear)
             last: tuple[bytes, np.ndarray] | None = None
-            for batch in batches:
+            for batch in slices(batches):
                 keep = []
                 columns = (batch.column(c).to_pylist() for c in ("node", "n", "marks", "text", "lead", "lead_n", "lead_marks", "lead_text"))
                 for node, n, marks, text, lead, lead_n, lead_marks, lead_text in zip(*columns, strict=True):
@@ -343,7 +343,7 @@ class Finder:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sole_cache("words", word_hashes().clear)
             held: list[tuple] = []
-            for batch in batches:
+            for batch in slices(batches):
                 links: list[tuple[bytes, bytes]] = []
                 for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "node", "root", "n", "marks", "text")), strict=True):
                     if held and held[0][0] != row[0]:
