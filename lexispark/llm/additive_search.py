@@ -5,11 +5,15 @@ several codebooks.  Codebooks are fitted on residuals, stage by stage, over a
 bounded sample; every vector is encoded by a beam search over them and keeps
 its codes and its norms.  A query scores all codes
 by adding up lookup tables; the best are reranked with exact inner products.
+That gives a score which the k-th nearest reaches at least; every vector whose
+codes' score and residual norm allow as much is then reranked, too, in a second
+pass, so that the result is exact however many vectors lie close together.
 
 Equal vectors are indexed once, under the digest of their values, so a vector
 that a third of all rows share takes one place among the candidates; its rows
 with the smallest ids come back in at the end.  Queries go through the codes in
-blocks of bounded size, each block as one stream that holds only its best.
+blocks of bounded size, each block as one stream that holds only its best; in
+the second pass they go to the vectors in groups of bounded size.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component or aren't of the table's most common dimension take no part, nor do
@@ -26,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import written
+from lexispark.llm.common import new_path, written
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,7 @@ class Settings:
     rounds: int = 6
     candidates: int = 200
     query_block: int = 128
+    query_group: int = 2048
 
 
 @dataclass(frozen=True)
@@ -136,11 +142,75 @@ def stacked(batch: pa.RecordBatch, column: str, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), "<f8").reshape(-1, dimension)
 
 
+def reaching(coded: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
+    """(query_id, digest, first, score): exact scores of all that may be among a query's k nearest.
+
+    queries hold a bar each, the score of k rows or null.  An inner product is at
+    most that with the codes' sum and |q| times the residual norm; vectors that
+    reach the bar by that are scored, and each task keeps its best 2k + 1 classes
+    of a query (by score and smallest id: a few of them may hold no other row
+    than the query's own).
+    """
+    spark, most = coded.sparkSession, 2 * k + 1
+    path = new_path(spark, "reaching")
+    groups = max(1, -(-queries.count() // s.query_group))
+    for g in range(groups):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()
+        asked = np.frombuffer(b"".join(bytes(r.vector) for r in some), "<f8").reshape(-1, d)
+        group = spark.sparkContext.broadcast((np.array([r.query_id for r in some], np.int64), asked, np.array([-np.inf if r.bar is None else r.bar for r in some])))
+
+        def scored(batches: Iterator[pa.RecordBatch], group: Broadcast = group) -> Iterator[pa.RecordBatch]:
+            books, (ids, asked, bar) = shipped.value, group.value
+            lengths, floor, waiting = np.sqrt((asked**2).sum(axis=1)), bar.copy(), 0
+            held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, "V16"))]
+
+            def thin() -> None:
+                q, score, first, name = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((first, -score, q))
+                place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                order, last = order[place < most], order[place == most - 1]
+                floor[q[last]] = score[last]
+                held[:] = [(q[order], score[order], first[order], name[order])]
+
+            for batch in batches:
+                for low in range(0, batch.num_rows, 2048):
+                    part = batch.slice(low, 2048)
+                    x, first, name = stacked(part, "vector", d), part.column("first").to_numpy(), np.frombuffer(b"".join(part.column("digest").to_pylist()), "V16")
+                    near = books.decode(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(x), -1))
+                    # Both norms a little up, for the rounding of stored norms and of sums.
+                    rounding = 1e-9 * np.sqrt((x**2).sum(axis=1))
+                    missing = np.frombuffer(b"".join(part.column("norm").to_pylist()), "<f4").reshape(-1, 2)[:, 1] * (1 + 1e-6) + rounding
+                    for at in range(0, len(ids), 256):
+                        q, to = asked[at : at + 256], slice(at, at + 256)
+                        may = ~(q @ near.T + lengths[to, None] * missing < floor[to, None])
+                        columns = np.flatnonzero(may.any(axis=0))
+                        may = may[:, columns] & ~(q @ x[columns].T + lengths[to, None] * rounding[columns] < floor[to, None])
+                        i, j = may.nonzero()
+                        for b in range(0, len(i), 32768):
+                            who, what = i[b : b + 32768] + at, columns[j[b : b + 32768]]
+                            score = (x[what] * asked[who]).sum(axis=1)
+                            keep = score >= bar[who]
+                            held.append((who[keep], score[keep], first[what[keep]], name[what[keep]]))
+                            waiting += int(keep.sum())
+                            if waiting > 200_000:
+                                thin()
+                                waiting = 0
+            thin()
+            q, score, first, name = held[0]
+            for b in range(0, len(q), 10_000):
+                to = slice(b, b + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[to]]), pa.array([bytes(v) for v in name[to]], pa.binary()), pa.array(first[to]), pa.array(score[to])], ["query_id", "digest", "first", "score"])
+
+        coded.mapInArrow(scored, "query_id long, digest binary, first long, score double").write.mode("append").option("compression", "zstd").parquet(path)
+        group.unpersist()
+    return spark.read.schema("query_id long, digest binary, first long, score double").parquet(path)
+
+
 def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings = Settings(), *, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (over vec_id) holds."""
     s = settings
     vectors, d = vectors_of(table, key, column)
-    distinct = written(vectors.groupBy("digest", "vector").agg(F.count(F.lit(1)).alias("copies")), "distinct-vectors")
+    distinct = written(vectors.groupBy("digest", "vector").agg(F.min("vec_id").alias("first")), "distinct-vectors")
     total = distinct.count()
     if not total:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -157,9 +227,15 @@ def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings =
                 codes = shipped.value.encode(x)
                 near = shipped.value.decode(codes)
                 norms = np.stack((np.sqrt((near**2).sum(axis=1)), np.sqrt(((x - near) ** 2).sum(axis=1))), axis=1).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column("digest").to_pylist())], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], ["digests", "codes", "norms"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("digest", "vector", "first")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([x.tobytes() for x in norms], pa.binary())], ["digest", "vector", "first", "code", "norm"])
 
-    index = written(distinct.select("digest", "vector").mapInArrow(encoded, "digests binary, codes binary, norms binary"), "codes")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column(c).to_pylist())], pa.binary()) for c in ("digest", "code", "norm")], ["digests", "codes", "norms"])
+
+    coded = written(distinct.select("digest", "vector", "first").mapInArrow(encoded, "digest binary, vector binary, first long, code binary, norm binary"), "coded-vectors")
+    index = written(coded.select("digest", "code", "norm").mapInArrow(packed, "digests binary, codes binary, norms binary"), "codes")
     queries = written(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("digest").alias("query_digest"), "vector").distinct(), "queries")
     blocks = max(1, -(-queries.count() // s.query_block))
     most = s.candidates
@@ -222,6 +298,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings =
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "digest")
     exact = pairs.select("query_id", "digest", inner("vector", "asked").alias("score")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= 2 * k + 1)
     members = written(first_members(vectors, k + 1), "members")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = written(exact.drop("k"), "reranked").join(members, "digest").where("vec_id != query_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return scores.join(members, "digest").where("vec_id != query_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    bars = ranked(written(exact.drop("k"), "reranked")).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    scores = reaching(coded, written(queries.join(bars, "query_id", "left"), "bars"), shipped, d, k, s)
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "digest")
+    scores = scores.withColumn("k", F.row_number().over(by)).where(F.col("k") <= 2 * k + 1).drop("k")
+    return ranked(written(scores, "reached")).select("query_id", "rank", "vec_id", "score")

@@ -83,6 +83,20 @@ def test_additive_search(spark):
     assert additive_search.search(table.where("vec_id = 1000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_additive_search_among_near_copies(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(1500, 16))
+    x[::3] = x[0] + 0.05 * r.normal(size=(500, 16))  # a third lie within the quantisation error of each other
+    table = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(1500)], "vec_id long, embedding array<double>")
+    s = additive_search.Settings(codebooks=4, codewords=16, candidates=40, query_group=20)
+    got = {}
+    for q in additive_search.search(table, F.col("vec_id") % 20 == 0, settings=s).orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id, []).append(q.vec_id)
+    for q in range(0, 1500, 20):
+        scores = (x * x[q]).sum(axis=1)
+        assert got[q] == [k for k in np.lexsort((np.arange(1500), -scores)) if k != q][:20]
+
+
 @pytest.mark.parametrize("bits", [4])
 def test_quantiser_gets_closer_with_more_codebooks(bits):
     x = np.random.default_rng(3).normal(size=(500, 8))
