@@ -22,10 +22,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD_PATTERN_BYTES, fresh, written
+from lexispark.llm.common import WORD_PATTERN_BYTES, drop, fresh, new_path, written
 
 #: Lower-cases A-Z and turns every byte outside words into a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in WORD_PATTERN_BYTES else 32 for c in range(256))
@@ -165,6 +165,10 @@ def sha_of_items(items: Iterable[int]) -> str:
 FOUND = "n_words long, spans array<int>, items array<long>"
 
 
+def nothing_found() -> Column:
+    return F.lit(None).cast(f"struct<{FOUND.replace(' ', ':', 1).replace(', spans ', ',spans:').replace(', items ', ',items:')}>")
+
+
 def merge(flat: list[int]) -> list[int]:
     """Spans (start, end, start, ...) in ascending order, touching ones made one."""
     out: list[int] = []
@@ -194,12 +198,17 @@ def scan_with(shipped: Broadcast) -> Callable:
 
 
 def clean_with(shipped: Broadcast, max_coverage: float) -> Callable:
+    """Texts without the spans of the shipped automaton and those found before, and whether they stay."""
+
     @F.arrow_udf("text string, keep boolean")
-    def cleaned(texts: pa.Array) -> pa.Array:
+    def cleaned(texts: pa.Array, before: pa.Array) -> pa.Array:
         look, bodies, keep = shipped.value, [], []
-        for body in texts.to_pylist():
+        for body, old in zip(texts.to_pylist(), before.to_pylist(), strict=True):
             got = words(body)
             spans, _ = look.scan(got)
+            if old:
+                flat = merge(old["spans"] + [x for span in spans for x in span])
+                spans = list(zip(flat[::2], flat[1::2], strict=True))
             keep.append(sum(b - a for a, b in spans) <= max_coverage * len(got))
             bodies.append(cut_spans(body, spans).decode("utf-8", "replace") if body is not None and keep[-1] else None)
         return pa.StructArray.from_arrays([pa.array(bodies, pa.string()), pa.array(keep, pa.bool_())], ["text", "keep"])
@@ -213,7 +222,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     Each automaton after the first reads what the one before left in a written
     table, so that no executor holds two of them.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.lit(None).cast(f"struct<{FOUND.replace(' ', ':', 1).replace(', spans ', ',spans:').replace(', items ', ',items:')}>").alias("found"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), nothing_found().alias("found"))
     first = True
     for automaton in automata(benchmark, settings):
         shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # of bounded size
@@ -254,14 +263,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     """docs without contaminated spans: spans that windows cover are cut out, and
     documents of which they cover more than max_coverage of the words are dropped.
 
-    With several automata, they follow one another on the texts that the ones before left.
+    With several automata, all look at the texts as they came, one after another as
+    in findings(); the last one's step cuts and judges by the spans of them all.
     """
-    out = docs
+    spark = docs.sparkSession
+    found, column = fresh(docs, "found", "clean_text")
+    rows, body = docs.withColumn(found, nothing_found()), F.col(text).cast("binary")
+    shipped = path = None
     for automaton in automata(benchmark, settings):
-        shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # of bounded size
-        (column,) = fresh(out, "clean_text")
-
-        names = out.columns
-        out = out.withColumn(column, clean_with(shipped, max_coverage)(F.col(text).cast("binary"))).where(F.col(f"{column}.keep"))
-        out = out.select(*(F.col(f"{column}.text").alias(c) if c == text else F.col(c) for c in names))
-    return out
+        if shipped is not None:
+            rows, last, path = rows.withColumn(found, scan_with(shipped)(body, found)), path, new_path(spark, "decontamination")
+            rows.write.option("compression", "zstd").parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+            if last is not None:
+                drop(spark, last)
+        shipped = spark.sparkContext.broadcast(automaton)  # of bounded size
+    out = rows.withColumn(column, clean_with(shipped, max_coverage)(body, found)).where(F.col(f"{column}.keep"))
+    return out.select(*(F.col(f"{column}.text").alias(c) if c == text else F.col(c) for c in docs.columns))

@@ -117,6 +117,18 @@ def test_decontamination(spark, seed):
     assert decontamination.judge(table, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_clean_is_the_same_for_any_number_of_automata(spark):
+    r = random.Random(3)
+    passage = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    items = [(k, passage(f"i{k}x", 14)) for k in range(12)] + [(20, passage("y", 20)), (21, " ".join(passage("y", 34).split()[12:]))]
+    docs = [(k, f"{items[k % 12][1]} own words {k} " + " ".join(r.choice(items[:12])[1] for _ in range(2)) + " " + passage(f"own{k}x", 25), None) for k in range(30)]
+    docs += [(50, f"{passage('y', 34)} {passage('mine', 60)}", None), (51, None, None), (52, "", None)]
+    benchmark, table = spark.createDataFrame(items, "item_id long, text string"), documents(spark, docs)
+    one, several = (sorted(map(str, decontamination.clean(table, benchmark, decontamination.Settings(words_per_automaton=size)).collect())) for size in (200_000, 20))
+    assert one == several and 3 <= len(one) < len(docs)
+    assert not any("y15" in x for x in one)
+
+
 def test_cut_spans():
     text = "Keep this, CUT that one. Then keep é".encode()
     assert decontamination.cut_spans(text, [(2, 5)]).decode() == "Keep this, . Then keep é"
