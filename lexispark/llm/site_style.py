@@ -1,7 +1,8 @@
 """HTML extraction with a site style tree.
 
-Pages of one host are merged element by element: an element is known by its
-path of tags and class or id names.  For every element the tree holds how many
+Distinct pages of one host (copies, which show the same elements and texts
+outside denied ones, count once) are merged element by element: an element is
+known by its path of tags and class or id names.  For every element the tree holds how many
 pages have it, which child sequences they show (presentation) and which texts
 they put there (content).  Presentation importance is the entropy of the child
 sequences; content importance is one less the mean entropy with which a text
@@ -10,8 +11,9 @@ around it are both of low importance, or if its tag, role or name says that it
 is no part of an article (importance zero beforehand, as on hosts with few
 pages nothing can be learnt).
 
-Statistics are counts, combined in each task before they are shuffled, so a
-host with a third of all pages is summed like any other.  HTML itself is
+What a page adds to the tree is shuffled by host and digest, packed, so that
+copies meet; counts are then combined in each task before they are shuffled, so
+a host with a third of all pages is summed like any other.  HTML itself is
 shuffled only if the removed paths of all hosts are too large for Spark to
 broadcast.
 
@@ -23,8 +25,10 @@ play no part.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fresh, written
+from lexispark.llm.common import fresh, slices, written
 from lexispark.llm.url_filter import host_of
 
 # What the HTML standard says of elements, and names that mark boilerplate.
@@ -187,12 +191,14 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[int, int]]]:
 
 @dataclass(frozen=True)
 class Settings:
-    #: Pages of a host that must show an element before it is judged by what they put there.
+    #: Distinct pages of a host that must show an element before it is judged by what they put there.
     pages: int = 8
     content: float = 0.25
     presentation: float = 0.6
 
 
+#: kind, path, feature: what a page adds to its host's style tree.
+FEATURE = "<BQQ"
 STATISTICS = "host string, path long, kind byte, feature long"
 
 
@@ -205,18 +211,31 @@ def low_importance(pages: DataFrame, s: Settings) -> DataFrame:
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            hosts: list[str] = []
+            packs: list[bytes] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, styles = parse(page)
                 seen = {(p, 1, h) for p, h in styles}
-                seen |= {(p, 0, 0) for p, _ in styles}
                 seen |= {(b.paths[-1], 2, path_hash(11, b.text)) for b in blocks if b.paths and not b.denied}
                 seen |= {(b.paths[-2] if len(b.paths) > 1 else 0, 3, b.paths[-1]) for b in blocks if b.paths and not b.denied}
-                rows += [(host, signed(p), kind, signed(f)) for p, kind, f in seen]
+                if seen:
+                    hosts.append(host)
+                    packs.append(b"".join(struct.pack(FEATURE, kind, p, f) for p, kind, f in sorted(seen)))
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in packs]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(packs, pa.binary())], ["host", "digest", "features"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for host, features in zip(batch.column("host").to_pylist(), batch.column("features").to_pylist(), strict=True):
+                seen = [(signed(p), kind, signed(f)) for kind, p, f in struct.iter_unpack(FEATURE, features)]
+                rows += [(host, *x) for x in seen]
+                rows += [(host, p, 0, 0) for p in {p for p, kind, _ in seen if kind == 1}]
             a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int8()), pa.array(d, pa.int64())], ["host", "path", "kind", "feature"])
 
-    counts = pages.where("host != ''").mapInArrow(observe, STATISTICS).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+    once = pages.where("host != ''").mapInArrow(observe, "host string, digest binary, features binary").groupBy("host", "digest").agg(F.first("features").alias("features"))
+    counts = once.select("host", "features").mapInArrow(unpack, STATISTICS).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "style-counts")
     tree = written(
         counts.where("kind < 3").groupBy("host", "path").agg(

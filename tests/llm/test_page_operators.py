@@ -35,6 +35,17 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert site_style.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_an_article_are_no_boilerplate(spark):
+    article = "<html><body><div class=x1><span>Welcome to our site</span></div><div class=body><h1>One article</h1><p>copied at many addresses</p></div></body></html>"
+    page = lambda k: article.replace("One article", f"Title {k}").replace("copied at many addresses", f"own text {k} {k * 7}")
+    rows = [(k, f"http://alone.example/a?utm={k}", article) for k in range(10)]
+    rows += [(100 + k, f"http://beside.example/{k}", article) for k in range(80)] + [(200 + k, f"http://beside.example/u{k}", page(k)) for k in range(20)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(10)} == {"Welcome to our site\nOne article\ncopied at many addresses"}
+    assert {got[100 + k] for k in range(80)} == {"One article\ncopied at many addresses"}
+    assert all(got[200 + k] == f"Title {k}\nown text {k} {k * 7}" for k in range(20))
+
+
 def test_url_filter(spark, data):
     import duckdb
 
