@@ -19,7 +19,7 @@ registers) miss a pair of nodes with a probability under 1e-6.
 
 Defined results: a text without words has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows repeated
-under one doc_id stand or fall together; a null doc_id takes no part and has a
+under one doc_id each get their own text's answer; a null doc_id takes no part and has a
 null component; an empty table gives an empty result; other columns play no
 part.
 """
@@ -33,10 +33,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import slices, sole_cache, written
+from lexispark.llm.common import fresh, slices, sole_cache, written
 from lexispark.llm.components import components
 
 WORDS_KNOWN = 300_000
@@ -358,21 +358,44 @@ class Finder:
         return written(rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(compare, "a binary, b binary"), "crossing")
 
     def classes(self) -> DataFrame:
-        """(node, component_id): every node's smallest reachable doc_id."""
+        """(node, root, component_id): every node's component and its smallest doc_id."""
         rooted = written(self.nodes.select("node", "least").join(self.links(), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
         smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-        return written(rooted.join(smallest, "root").select("node", "component_id"), "classes")
+        return written(rooted.join(smallest, "root").select("node", "root", "component_id"), "classes")
 
 
 def duplicates(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    found = Finder(docs, settings, text=text, key=key)
+    return verdicts(Finder(docs, settings, text=text, key=key)).drop("node", "root")
+
+
+def verdicts(found: Finder) -> DataFrame:
+    """duplicates()' rows, with the node of each and its component's root."""
     rows = found.sketches.select("doc_id", "n", "node").join(found.classes(), "node", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), (F.col("doc_id") == alone).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), (F.col("doc_id") == alone).alias("kept"), "node", "root")
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without all but one document of each group; rows with a null doc_id stay."""
-    gone = duplicates(docs, settings, text=text, key=key).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """docs without all but one row of each group; rows with a null doc_id stay, and so do texts without words.
+
+    Rows whose doc_id is repeated are told apart by their sets of shingles.
+    """
+    found = Finder(docs, settings, text=text, key=key)
+    judged = written(verdicts(found).select("doc_id", "node", "root", "kept"), "verdicts")
+    repeated = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key)), "repeated")
+    gone = judged.where("not kept").select(F.col("doc_id").alias(key)).union(repeated).distinct()
+    out = docs.join(gone, key, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return out
+
+    @F.arrow_udf("binary")
+    def node_of(texts: pa.Array) -> pa.Array:
+        sets = (shingles(body, settings.shingle) for body in texts.to_pylist())
+        return pa.array([digest(x) if len(x) else None for x in sets], pa.binary())
+
+    node, root, place = fresh(docs, "node", "root", "place")
+    rows = docs.join(repeated, key, "left_semi").withColumn(node, node_of(F.col(text).cast("binary")))
+    kept = judged.where("kept and node is not null").select(F.col("doc_id").alias(key), F.col("node").alias(node), F.col("root").alias(root)).distinct()
+    first = rows.join(kept, [key, node]).withColumn(place, F.row_number().over(Window.partitionBy(key, root).orderBy(text))).where(F.col(place) == 1)
+    return out.union(rows.where(F.col(node).isNull()).select(*docs.columns)).union(first.select(*docs.columns))

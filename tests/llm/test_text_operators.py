@@ -187,6 +187,14 @@ def test_near_dedup_odd_tables(spark):
     assert kept.columns == docs.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "3", "4", "None"]
 
 
+def test_deduplicated_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c", None), (2, "a b c", None), (2, "quite another text", None), (3, "x y z", None), (3, "x y z", None), (4, None, None), (4, "", None), (5, "alone here", None)]
+    docs = documents(spark, rows)
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id, x.text or "") for x in kept.collect()) == [(1, "a b c"), (2, "quite another text"), (3, "x y z"), (4, ""), (4, ""), (5, "alone here")]
+
+
 def test_registers_estimate():
     r = np.random.default_rng(5)
     s = near_dedup.Settings()
