@@ -1,7 +1,8 @@
 """URL filter: host-suffix and path-prefix expressions against hashed rules.
 
-A URL is expanded into every suffix of its host at a label boundary, times the
-prefixes of its path whose lengths occur among the rules.  Expressions and
+A URL is expanded into the suffixes of its host of as many labels as some rule's
+host has, times the prefixes of its path whose lengths occur among the rules, so
+a host of thousands of labels costs no more than any other.  Expressions and
 rules meet in an equi-join on the first bytes of their digests; full digests
 then confirm, and the longest rule wins (a tie goes to the longer host, then to
 block).  Equal URLs are judged once, so a hot host or URL costs its distinct
@@ -57,11 +58,12 @@ def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str
     """
     rules = rules.select("rule_host", "rule_path", "rule_verdict").where("rule_host is not null and rule_path is not null and rule_verdict is not null").withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path")))
     rules = rules.withColumn("prefix", F.substring("rule_digest", 1, PREFIX_BYTES))
-    # The distinct path lengths of the rules, one short array whatever the number of rules.
+    # The distinct path lengths and label counts of the rules, short arrays whatever the number of rules.
     lengths = sorted(r[0] for r in rules.select(F.char_length("rule_path")).distinct().collect())
+    labels = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect())
     rows = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    dots = F.char_length("host") - F.char_length(F.translate("host", ".", ""))
+    hosts = F.array_compact(F.array(*(F.when(dots >= n - 1, F.substring_index("host", ".", -n)) for n in labels)) if labels else F.array().cast("array<string>"))
     sizes = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.char_length("path"))
     known = rows.select("host", "path").where("host != ''").distinct()
     asked = known.withColumn("suffix", F.explode(hosts)).withColumn("start", F.explode(F.transform(sizes, lambda n: F.substring(F.col("path"), F.lit(1), n))))
