@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD_PATTERN_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 
 
@@ -72,6 +73,13 @@ def text_bytes(name: str = "text") -> Column:
     return F.col(name).cast("binary")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """From now on, batches on their way to Python hold few megabytes, however long the texts are (unless the session says otherwise)."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) in (None, "-1", str(2**31 - 1)):
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: fewer whole texts are Python objects at a time."""
     for batch in batches:

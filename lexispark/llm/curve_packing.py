@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import written
+from lexispark.llm.common import bounded_batches, written
 from lexispark.llm.tokens import encoder
 
 
@@ -99,6 +99,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, *, size: int = 4096, curve: Curve = Curve(), text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row a piece of a document in a sequence; with_ids adds its ids (binary, little-endian)."""
+    bounded_batches(docs)
     staged = "doc_id long, place long, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

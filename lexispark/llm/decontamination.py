@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD_PATTERN_BYTES, drop, fresh, new_path, written
+from lexispark.llm.common import WORD_PATTERN_BYTES, bounded_batches, drop, fresh, new_path, written
 
 #: Lower-cases A-Z and turns every byte outside words into a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in WORD_PATTERN_BYTES else 32 for c in range(256))
@@ -222,6 +222,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
     Each automaton after the first reads what the one before left in a written
     table, so that no executor holds two of them.
     """
+    bounded_batches(docs)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), nothing_found().alias("found"))
     first = True
     for automaton in automata(benchmark, settings):
@@ -267,6 +268,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     in findings(); the last one's step cuts and judges by the spans of them all.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     found, column = fresh(docs, "found", "clean_text")
     rows, body = docs.withColumn(found, nothing_found()), F.col(text).cast("binary")
     shipped = path = None

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import ngrams
-from lexispark.llm.common import fresh, share
+from lexispark.llm.common import bounded_batches, fresh, share
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -131,6 +131,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text", label: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Fit on the rows of docs (a training fold); rows without text letters or label teach nothing."""
+    bounded_batches(docs)
     rows = docs.select(F.col(text).alias("text"), F.col(label).alias("lang"), F.col(key).alias("key")).where("lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +194,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
     """docs' columns, then lang_pred and score (under fresh names if docs has those already)."""
+    bounded_batches(docs)
     name, score, got = fresh(docs, "lang_pred", "score", "language")
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits rows a language: fixed size
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import ngrams
-from lexispark.llm.common import fresh, share
+from lexispark.llm.common import bounded_batches, fresh, share
 
 STATISTICS = 20
 
@@ -165,6 +165,7 @@ def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
     """Fit on docs and labels (both a training fold)."""
     s = settings
+    bounded_batches(docs)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
     known = labels.select(F.col(key).alias("key"), F.col(label).alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.min("y").cast("double").alias("y"))
     per = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -208,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
 
 def scored(docs: DataFrame, model: QualityModel, *, text: str = "text", name: str = "score") -> DataFrame:
     """docs with a last column of scores (under a fresh name if docs has that one)."""
+    bounded_batches(docs)
     (name,) = fresh(docs, name)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 

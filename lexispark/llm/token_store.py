@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import drop
+from lexispark.llm.common import bounded_batches, drop
 from lexispark.llm.tokens import encoder
 
 DIGEST = 20
@@ -125,6 +125,7 @@ def crc_shift(crcs: np.ndarray, after: np.ndarray) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, how: Chunking = Chunking(), *, text: str = "text", key: str = "doc_id") -> None:
     """Encode docs and write their store at path."""
     spark = docs.sparkSession
+    bounded_batches(docs)
     staged = "kind string, place binary, doc_id long, n int, data binary, lengths binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
