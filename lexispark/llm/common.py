@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,10 +22,13 @@ _CACHES: dict[str, Callable[[], None]] = {}
 
 
 def sole_cache(name: str, clear: Callable[[], None]) -> None:
-    """A worker that goes from one operator to another keeps the named cache alone; the others are emptied."""
-    for other, empty in _CACHES.items():
-        if other != name:
-            empty()
+    """A worker that goes from one operator to another keeps the named cache alone; the others are emptied, and their memory is given back."""
+    if others := [other for other in _CACHES if other != name]:
+        for other in others:
+            _CACHES.pop(other)()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every system's library can
+            ctypes.CDLL(None).malloc_trim(0)
     _CACHES[name] = clear
 
 
