@@ -213,7 +213,8 @@ def clean_with(shipped: Broadcast, max_coverage: float) -> Callable:
             bodies.append(cut_spans(body, spans).decode("utf-8", "replace") if body is not None and keep[-1] else None)
         return pa.StructArray.from_arrays([pa.array(bodies, pa.string()), pa.array(keep, pa.bool_())], ["text", "keep"])
 
-    return cleaned
+    # Else Spark would look at every text twice, once to filter and once for what it returns.
+    return cleaned.asNondeterministic()
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
