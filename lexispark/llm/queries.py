@@ -98,7 +98,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import secret_scan
 
-    return secret_scan.report(table(spark, sf_dir, "documents", ("doc_id", "text")))
+    docs = table(spark, sf_dir, "documents", ("doc_id", "text"))
+    return secret_scan.report(docs, secret_scan.train(words=secret_scan.frequent_words(docs)))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Secret scan: patterns propose candidates, a random forest removes false positives.
 
 The forest reads a candidate's length, its character transitions, how far a
-dictionary covers it, the path it stands in and the words around it.  It is
-trained from labelled findings; where none are given, from examples made by
-``example_findings`` (generated credentials against generated identifiers,
-digests, numbers, paths, placeholders and plain words in their usual places).
-
-Everything happens within a row: no shuffle, and what is broadcast is one
-forest of bounded size.
+dictionary covers it, the path it stands in and the words around it.  The
+dictionary is the corpus' own: the words that most of its documents hold, with a
+few dozen of configuration files.  The forest is trained from labelled findings
+(``labelled`` reads them from a table, a bounded sample of them); where none are
+given, from examples made by ``example_findings`` (generated credentials against
+generated identifiers, digests, numbers, paths, placeholders and plain words in
+their usual places).
+
+A scan happens within a row: no shuffle, and what is broadcast is one forest and
+one dictionary of bounded size.  Patterns and features take time in proportion
+to a text's length.
 
 Defined results: a null text has no findings and stays null, an empty text
 stays empty; overlapping candidates count once, the earlier and longer first;
@@ -20,7 +24,7 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fresh
+from lexispark.llm.common import bounded_batches, fresh
 
 # Public credential formats, and the words that announce or deny a secret.
 FORMATS = {
     "cloud_key_id": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
-    "web_token": r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
+    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "web_token": r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
     "prefixed": r"\b(?:gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|hf_|SG\.)[\w.-]{16,}",
     "in_url": r"(?<=://)[^\s:/@]+:[^\s:/@]{4,}(?=@)",
     "assigned": r"""(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?(?P<value>[^\s"',;]{6,})""",
@@ -73,29 +77,53 @@ def candidates(text: str, path: str = "") -> list[Candidate]:
     return out
 
 
-@lru_cache(maxsize=1)
-def transitions() -> np.ndarray:
-    """Log odds of one character class pair after another in words, from the dictionary."""
+@dataclass(frozen=True)
+class Dictionary:
+    """Known words, and the log odds of one letter after another in them."""
+
+    words: frozenset[str]
+    transitions: np.ndarray
+    longest: int
+
+    def covered(self, low: str) -> float:
+        """The share of a lower-case string that stands in known words, the longest first from its start on."""
+        at = total = 0
+        while at < len(low):
+            size = next((n for n in range(min(self.longest, len(low) - at), 2, -1) if low[at : at + n] in self.words), 0)
+            total += size
+            at += size or 1
+        return total / max(1, len(low))
+
+
+def dictionary(more: Iterable[str] = ()) -> Dictionary:
+    words = frozenset((*WORDS, *(w for w in more if len(w) > 2)))
     seen = np.ones((27, 27))
-    for w in WORDS:
-        k = [min(max(ord(c) - 96, 0), 26) for c in w]
+    for w in sorted(words):
+        k = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
         np.add.at(seen, (k[:-1], k[1:]), 4)
-    return np.log(seen / seen.sum(axis=1, keepdims=True))
+    return Dictionary(words, np.log(seen / seen.sum(axis=1, keepdims=True)), max(map(len, words)))
 
 
-def vector(c: Candidate) -> list[float]:
+@lru_cache(maxsize=1)
+def plain_dictionary() -> Dictionary:
+    return dictionary()
+
+
+def frequent_words(docs: DataFrame, *, text: str = "text", most: int = 5000, least_documents: int = 3) -> list[str]:
+    """The words of 4 to 14 letters a-z that most documents hold, counted over all of docs; at most ``most``, ties by name."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![a-z0-9])([a-z]{4,14})(?![a-z0-9])"), 1))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents)
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def vector(c: Candidate, known: Dictionary | None = None) -> list[float]:
+    known = known or plain_dictionary()
     v, n = c.value, max(1, len(c.value))
     low, before = v.lower(), c.before.lower()
     counts = np.array([v.count(x) for x in set(v)], float) / n
     classes = [3 if x.isdigit() else 2 if x.isupper() else 1 if x.isalpha() else 0 for x in v]
     places = [min(max(ord(x) - 96, 0), 26) if "a" <= x <= "z" else 0 for x in low]
-    covered = np.zeros(n, bool)
-    for w in WORDS:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            at = low.find(w, at + 1)
-    table = transitions()
+    table = known.transitions
     return [
         min(n, 200),
         float(-(counts * np.log2(counts)).sum()),
@@ -106,7 +134,7 @@ def vector(c: Candidate) -> list[float]:
         sum(a != b for a, b in zip(classes, classes[1:])) / n,
         float(np.mean([-table[a, b] for a, b in zip(places, places[1:])] or [0])),
         max((len(m[0]) for m in re.finditer(r"(.)\1*", v, re.S)), default=0) / n,
-        float(covered.mean()),
+        known.covered(low),
         float(all(x in string.hexdigits for x in v)),
         len(set(v)) / n,
         float(any(w in before[-24:] for w in ANNOUNCING)),
@@ -118,11 +146,19 @@ def vector(c: Candidate) -> list[float]:
     ]
 
 
-def example_findings(count: int = 2400, seed: int = 31) -> list[tuple[Candidate, bool]]:
-    """Labelled findings made by rule: half of them secrets."""
+def example_findings(count: int = 3600, seed: int = 31, words: Sequence[str] = ()) -> list[tuple[Candidate, bool]]:
+    """Labelled findings made by rule: half of them secrets, of which some are made of words as people make them."""
     r = random.Random(seed)
     some = lambda letters, n: "".join(r.choices(letters, k=n))
-    word = lambda: r.choice(WORDS)
+    word = lambda: r.choice(words) if words and r.random() < 0.5 else r.choice(WORDS)
+    spoken = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") for _ in range(r.randint(2, 4))) + r.choice(("", "n", "r", "s"))
+    chosen = lambda: r.choice((
+        lambda: word() + some(string.digits, r.randint(1, 4)) + r.choice(("", word(), "!", "#", "_")),
+        lambda: word().capitalize() + r.choice("!@#$_-") + some(string.digits, r.randint(2, 4)),
+        lambda: some(string.digits, 2) + word() + some(string.digits, 2) + word(),
+        lambda: spoken() + some(string.digits, r.randint(1, 3)) + r.choice(("", spoken())),
+        lambda: word().replace("e", "3").replace("o", "0").replace("a", "4") + some(string.digits + "!", 3),
+    ))()
     upper, alnum, hexa = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.digits + "abcdef"
     filler = lambda: " ".join(word() for _ in range(r.randint(0, 5))) + " "
     out: list[tuple[Candidate, bool]] = []
@@ -132,11 +168,12 @@ def example_findings(count: int = 2400, seed: int = 31) -> list[tuple[Candidate,
             kind, before, value = r.choice((
                 ("cloud_key_id", filler(), "AKIA" + some(upper, 16)),
                 ("assigned", filler() + r.choice(("password=", "passwd: ", "pwd=", 'secret = "', "db_password=")), some(r.choice((hexa, alnum, alnum + "!@#%_-")), r.randint(8, 24))),
+                ("assigned", filler() + r.choice(("password=", "passwd: ", "pwd=", 'password = "', "DB_PASSWORD=", "secret: ")), chosen().ljust(7, "7")),
                 ("assigned", filler() + r.choice(('token = "', "token=", "api_key: ", 'API_KEY="', 'access_key = "', "auth_key=")), some(r.choice((hexa, alnum, alnum + "_-")), r.choice((24, 32, 40, 48, 64)))),
                 ("prefixed", filler(), r.choice(("ghp_", "sk_live_", "xoxb-", "AIza", "hf_")) + some(alnum, r.randint(24, 40))),
                 ("web_token", r.choice(("Bearer ", filler())), f"eyJ{some(alnum, 20)}.{some(alnum, 40)}.{some(alnum, 40)}"),
-                ("random", r.choice(("secret ", "key ", "bearer ", "private key ")), some(alnum + "+/", r.choice((32, 40, 44)))),
-                ("in_url", "postgres://", f"{word()}:{some(alnum, r.randint(8, 20))}"),
+                ("random", filler() + r.choice(("secret ", "key ", "bearer ", "Bearer ", "private key ", "auth token is ", "Authorization: Bearer ")), some(r.choice((alnum + "+/", alnum, hexa, hexa)), r.choice((32, 40, 44, 48)))),
+                ("in_url", r.choice(("postgres://", "https://", "mysql://", "amqp://")), f"{word()}:{r.choice((some(alnum, r.randint(8, 20)), chosen()))}"),
                 ("private_key", filler(), "-----BEGIN PRIVATE KEY-----\n" + some(alnum + "+/", 200) + "\n-----END PRIVATE KEY-----"),
             ))
         else:
@@ -160,9 +197,10 @@ def example_findings(count: int = 2400, seed: int = 31) -> list[tuple[Candidate,
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), threshold, left, right, value."""
+    """Trees as arrays (feature, -1 at a leaf; threshold, left, right, value), and the dictionary of their features."""
 
     trees: tuple[tuple[np.ndarray, ...], ...]
+    known: Dictionary
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows))
@@ -196,7 +234,8 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
                 na, nb = n[cut], len(rows) - n[cut]
                 impurity = a * (na - a) / na + b * (nb - b) / nb
                 j = int(impurity.argmin())
-                best = min(best, (float(impurity[j]), int(f), float((v[cut[j]] + v[cut[j] + 1]) / 2)))
+                low, high = float(v[cut[j]]), float(v[cut[j] + 1])
+                best = min(best, (float(impurity[j]), int(f), middle if (middle := (low + high) / 2) < high else low))
         if best[0] < np.inf:
             goes = x[rows, best[1]] <= best[2]
             nodes[k][:2] = best[1:]
@@ -209,16 +248,24 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
     return tuple(np.array(c, t) for c, t in zip(columns, (np.int64, float, np.int64, np.int64, float), strict=True))
 
 
-def train(findings: Iterable[tuple[Candidate, bool]] | None = None, *, trees: int = 40, depth: int = 10, least: int = 3, seed: int = 12) -> Forest:
-    """A forest from labelled findings (of bounded number), by default the generated ones."""
-    findings = list(example_findings() if findings is None else findings)
-    x, y = np.array([vector(c) for c, _ in findings]), np.array([float(k) for _, k in findings])
-    return Forest(tuple(grow(x, y, np.random.default_rng((seed, k)), depth, least) for k in range(trees)))
+def labelled(findings: DataFrame, most: int = 20_000) -> list[tuple[Candidate, bool]]:
+    """Labelled findings of a table (kind, value, before, path, is_secret), of which at most ``most`` are taken, by a hash of the row."""
+    rows = findings.select("kind", "value", "before", F.coalesce("path", F.lit("")).alias("path"), "is_secret").where(F.col("kind").isin(*FORMATS) & F.col("value").isNotNull() & F.col("is_secret").isNotNull())
+    taken = rows.orderBy(F.xxhash64("kind", "value", "before"), "value").limit(most).collect()
+    return [(Candidate(r.kind, 0, len(r.value), r.value, (r.before or "")[-40:], r.path), bool(r.is_secret)) for r in taken]
+
+
+def train(findings: Iterable[tuple[Candidate, bool]] | None = None, words: Iterable[str] = (), *, trees: int = 40, depth: int = 10, least: int = 3, seed: int = 12) -> Forest:
+    """A forest from labelled findings (of bounded number), by default the generated ones, and a dictionary with the given words."""
+    words = sorted({*words})
+    known, findings = dictionary(words), list(example_findings(words=words) if findings is None else findings)
+    x, y = np.array([vector(c, known) for c, _ in findings]), np.array([float(k) for _, k in findings])
+    return Forest(tuple(grow(x, y, np.random.default_rng((seed, k)), depth, least) for k in range(trees)), known)
 
 
 def judged(text: str, forest: Forest, path: str = "") -> list[tuple[Candidate, float]]:
     found = candidates(text, path)
-    return list(zip(found, forest.scores(np.array([vector(c) for c in found])), strict=True)) if found else []
+    return list(zip(found, forest.scores(np.array([vector(c, forest.known) for c in found])), strict=True)) if found else []
 
 
 def redact(text: str, secrets: list[Candidate]) -> str:
@@ -234,6 +281,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, *, least: float = 0.5, t
 
     A finding reads kind:start:end:score, in code points.
     """
+    bounded_batches(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(forest or train())  # of bounded size
     (name,) = fresh(docs, "scan")
 
