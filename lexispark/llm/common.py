@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD_PATTERN_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -51,12 +50,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later step reads: all that came from them has been written itself."""
+    for df in tables:
+        drop(df.sparkSession, df.written_path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -65,6 +71,25 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sieved(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of wanted, rows that surely have none): only the former need a join.
+
+    wanted has the key alone.  The sieve is a bitmap of hashed keys, 16 bits or
+    more for each while 2**most_bits (32 MB, which is broadcast) suffice; beyond
+    that it lets more rows through, and never loses one.
+    """
+    bits = min(max(15, (16 * wanted.count()).bit_length()), most_bits)
+    place, bucket, bitmap = fresh(rows, "place", "bucket", "bitmap")
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    within = lambda c: c.bitwiseAND(F.lit((1 << 15) - 1).cast("long"))
+    sieve = wanted.select(hashed.alias(place)).groupBy(F.shiftright(place, 15).alias(bucket)).agg(F.bitmap_construct_agg(within(F.col(place))).alias(bitmap))
+    marked = rows.withColumn(place, hashed).withColumn(bucket, F.shiftright(place, 15)).join(F.broadcast(written(sieve, "sieve")), bucket, "left")
+    at = within(F.col(place))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1, F.lit(False))
+    return tuple(marked.where(x).select(*rows.columns) for x in (there, ~there))
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
@@ -75,10 +100,6 @@ def share(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) / F.lit(float(1 << 53))
 
 
-def text_bytes(name: str = "text") -> Column:
-    return F.col(name).cast("binary")
-
-
 def bounded_batches(df: DataFrame) -> None:
     """From now on, batches on their way to Python hold few megabytes, however long the texts are (unless the session says otherwise)."""
     spark = df.sparkSession
@@ -105,9 +126,5 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def struct(**fields: str) -> T.StructType:
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
