@@ -3,23 +3,32 @@
 A vector is stored as the sum of one full-dimensional codeword from each of
 several codebooks.  Codebooks are fitted on residuals, stage by stage, over a
 bounded sample; every vector is encoded by a beam search over them and keeps
-its codes and its norms.  A query scores all codes
-by adding up lookup tables; the best are reranked with exact inner products.
-That gives a score which the k-th nearest reaches at least; every vector whose
-codes' score and residual norm allow as much is then reranked, too, in a second
-pass, so that the result is exact however many vectors lie close together.
+its codes, the norm of their sum and the norm of what they leave.
+
+Coded vectors lie in runs along the order of their codes, so a run's vectors
+share their first codewords where the data have clusters.  Queries go to the
+runs in broadcast groups of bounded size.  A run whose ball (centre and radius
+of the codes' sums, and the largest residual norm) can't reach a query's bar is
+passed over; else lookup tables give the codes' scores, and vectors whose score
+and residual norm together can reach the bar are reranked with exact inner
+products.  Each task keeps a query's best few and raises its bar by them.
+
+Bars come from a first pass over a part of the vectors (about the square root
+of their number, in units of a task's share): the k-th nearest of any part is
+a lower bound.  The second pass goes over all vectors, so that the result is
+exact however many of them lie close together.  Vectors are shuffled once;
+what a pass puts out is a few rows a query and task, not the codes.
 
 Equal vectors are indexed once, under the digest of their values, so a vector
 that a third of all rows share takes one place among the candidates; its rows
-with the smallest ids come back in at the end.  Queries go through the codes in
-blocks of bounded size, each block as one stream that holds only its best; in
-the second pass they go to the vectors in groups of bounded size.
+with the smallest ids come back in at the end.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component or aren't of the table's most common dimension take no part, nor do
 rows with a null id; rows repeated with id and vector count once; ties go to
 the smaller id; fewer candidates than asked for are all returned; an empty
-table gives an empty result; other columns play no part.
+table gives an empty result; other columns play no part.  A score is the sum of
+the products of components in their order, in double precision.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import new_path, written
+from lexispark.llm.common import bounded_batches, forget, new_path, written
 
 
 @dataclass(frozen=True)
@@ -44,9 +53,12 @@ class Settings:
     sample_rows: int = 8000
     beam: int = 4
     rounds: int = 6
-    candidates: int = 200
-    query_block: int = 128
+    #: Queries in one broadcast, queries and vectors that are scored at a time.
     query_group: int = 2048
+    query_block: int = 256
+    run: int = 1024
+    #: Vectors for a task of the first pass.
+    share: int = 16_384
 
 
 @dataclass(frozen=True)
@@ -82,8 +94,21 @@ class Quantiser:
         return sum(book[codes[:, k]] for k, book in enumerate(self.books))
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, codebooks, codewords) inner products."""
-        return np.einsum("qd,mkd->qmk", queries, self.books).astype(np.float32)
+        """(codebooks, codewords, queries) inner products, in single precision where that can hold them."""
+        out = self.books @ queries.T
+        return out.astype(np.float32) if 1e-20 < np.abs(out).max(initial=0) < 1e20 else out
+
+    def scores(self, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(vectors, queries) inner products of queries with the codes' sums, from their tables."""
+        out = tables[0][codes[:, 0]]
+        for k in range(1, len(tables)):
+            out += tables[k][codes[:, k]]
+        return out
+
+    @property
+    def rounding(self) -> float:
+        """How far scores() may be off for a query of length one: single precision over the largest codewords."""
+        return float(np.sqrt((self.books**2).sum(axis=2)).max(axis=1).sum()) * (len(self.books) + 2) * 2.0**-24
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -142,61 +167,93 @@ def stacked(batch: pa.RecordBatch, column: str, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), "<f8").reshape(-1, dimension)
 
 
+def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x and y, summed from the first component on."""
+    out = np.zeros(len(x))
+    for a, b in zip(x.T, y.T, strict=True):
+        out += a * b
+    return out
+
+
+class Best:
+    """A task's best rows of each query of a group: exact scores of classes, at most ``most`` a query."""
+
+    def __init__(self, bar: np.ndarray, most: int):
+        self.floor, self.most, self.waiting = bar.copy(), most, 0
+        self.held = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, "V16"))]
+
+    def add(self, query: np.ndarray, score: np.ndarray, first: np.ndarray, name: np.ndarray) -> None:
+        keep = ~(score < self.floor[query])
+        self.held.append((query[keep], score[keep], first[keep], name[keep]))
+        self.waiting += int(keep.sum())
+        if self.waiting > 100_000:
+            self.thin()
+
+    def thin(self) -> None:
+        q, score, first, name = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((first, -score, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order, last = order[place < self.most], order[place == self.most - 1]
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last])
+        self.held, self.waiting = [(q[order], score[order], first[order], name[order])], 0
+
+
+def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: np.ndarray, tables: np.ndarray, block: int, best: Best) -> None:
+    """Adds to best what of a run of vectors may reach the queries' bars, with exact scores."""
+    d = asked.shape[1]
+    x, first, name = stacked(part, "vector", d), part.column("first").to_numpy(), np.frombuffer(b"".join(part.column("digest").to_pylist()), "V16")
+    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+    norms = np.frombuffer(b"".join(part.column("norm").to_pylist()), "<f4").reshape(-1, 2).astype(float) * (1 + 1e-6)
+    # Norms a little up, for their own rounding and for that of the sums.
+    missing = norms[:, 1] + 1e-9 * norms.sum(axis=1)
+    near = books.decode(codes)
+    centre = near.mean(axis=0)
+    radius = float(np.sqrt(((near - centre) ** 2).sum(axis=1)).max() + missing.max()) * (1 + 1e-9)
+    # What isn't a number can't be ruled out: hence "not less".
+    asks = np.flatnonzero(~(asked @ centre + lengths * radius < best.floor) & ~(lengths * norms.sum(axis=1).max() < best.floor))
+    for at in range(0, len(asks), block):
+        q = asks[at : at + block]
+
+        def exact(i: np.ndarray, j: np.ndarray, q: np.ndarray = q) -> None:
+            for b in range(0, len(i), 16_384):
+                who, what = q[i[b : b + 16_384]], j[b : b + 16_384]
+                best.add(who, in_order(x[what], asked[who]), first[what], name[what])
+
+        likely = books.scores(tables[:, :, q] if len(q) < len(asked) else tables, codes) + lengths[q] * (missing[:, None] + books.rounding)
+        new = np.flatnonzero(np.isneginf(best.floor[q]))
+        if len(new) and len(x) > best.most:  # bars to begin with
+            j, i = np.argpartition(-likely[:, new], best.most, axis=0)[: best.most].ravel(), np.tile(new, best.most)
+            exact(i, j)
+            likely[j, i] = -np.inf
+            best.thin()
+        j, i = (~(likely < best.floor[q])).nonzero()
+        exact(i, j)
+
+
 def reaching(coded: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
     """(query_id, digest, first, score): exact scores of all that may be among a query's k nearest.
 
-    queries hold a bar each, the score of k rows or null.  An inner product is at
-    most that with the codes' sum and |q| times the residual norm; vectors that
-    reach the bar by that are scored, and each task keeps its best 2k + 1 classes
-    of a query (by score and smallest id: a few of them may hold no other row
-    than the query's own).
+    queries hold a bar each, the score of k rows or null.  Each task keeps the
+    best 2k + 1 classes of a query (by score and smallest id: a few of them may
+    hold no other row than the query's own).
     """
     spark, most = coded.sparkSession, 2 * k + 1
     path = new_path(spark, "reaching")
     groups = max(1, -(-queries.count() // s.query_group))
     for g in range(groups):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()  # of bounded number
         asked = np.frombuffer(b"".join(bytes(r.vector) for r in some), "<f8").reshape(-1, d)
         group = spark.sparkContext.broadcast((np.array([r.query_id for r in some], np.int64), asked, np.array([-np.inf if r.bar is None else r.bar for r in some])))
 
         def scored(batches: Iterator[pa.RecordBatch], group: Broadcast = group) -> Iterator[pa.RecordBatch]:
             books, (ids, asked, bar) = shipped.value, group.value
-            lengths, floor, waiting = np.sqrt((asked**2).sum(axis=1)), bar.copy(), 0
-            held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, "V16"))]
-
-            def thin() -> None:
-                q, score, first, name = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.lexsort((first, -score, q))
-                place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
-                order, last = order[place < most], order[place == most - 1]
-                floor[q[last]] = score[last]
-                held[:] = [(q[order], score[order], first[order], name[order])]
-
+            lengths, best, tables = np.sqrt((asked**2).sum(axis=1)) * (1 + 1e-9), Best(bar, most), books.tables(asked)
             for batch in batches:
-                for low in range(0, batch.num_rows, 2048):
-                    part = batch.slice(low, 2048)
-                    x, first, name = stacked(part, "vector", d), part.column("first").to_numpy(), np.frombuffer(b"".join(part.column("digest").to_pylist()), "V16")
-                    near = books.decode(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(x), -1))
-                    # Both norms a little up, for the rounding of stored norms and of sums.
-                    rounding = 1e-9 * np.sqrt((x**2).sum(axis=1))
-                    missing = np.frombuffer(b"".join(part.column("norm").to_pylist()), "<f4").reshape(-1, 2)[:, 1] * (1 + 1e-6) + rounding
-                    for at in range(0, len(ids), 256):
-                        q, to = asked[at : at + 256], slice(at, at + 256)
-                        may = ~(q @ near.T + lengths[to, None] * missing < floor[to, None])
-                        columns = np.flatnonzero(may.any(axis=0))
-                        may = may[:, columns] & ~(q @ x[columns].T + lengths[to, None] * rounding[columns] < floor[to, None])
-                        i, j = may.nonzero()
-                        for b in range(0, len(i), 32768):
-                            who, what = i[b : b + 32768] + at, columns[j[b : b + 32768]]
-                            score = (x[what] * asked[who]).sum(axis=1)
-                            keep = score >= bar[who]
-                            held.append((who[keep], score[keep], first[what[keep]], name[what[keep]]))
-                            waiting += int(keep.sum())
-                            if waiting > 200_000:
-                                thin()
-                                waiting = 0
-            thin()
-            q, score, first, name = held[0]
+                for low in range(0, batch.num_rows, s.run):
+                    rerank(batch.slice(low, s.run), books, asked, lengths, tables, s.query_block, best)
+                best.thin()
+            best.thin()
+            q, score, first, name = best.held[0]
             for b in range(0, len(q), 10_000):
                 to = slice(b, b + 10_000)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q[to]]), pa.array([bytes(v) for v in name[to]], pa.binary()), pa.array(first[to]), pa.array(score[to])], ["query_id", "digest", "first", "score"])
@@ -209,6 +266,7 @@ def reaching(coded: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k
 def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings = Settings(), *, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (over vec_id) holds."""
     s = settings
+    bounded_batches(table)
     vectors, d = vectors_of(table, key, column)
     distinct = written(vectors.groupBy("digest", "vector").agg(F.min("vec_id").alias("first")), "distinct-vectors")
     total = distinct.count()
@@ -229,82 +287,25 @@ def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings =
                 norms = np.stack((np.sqrt((near**2).sum(axis=1)), np.sqrt(((x - near) ** 2).sum(axis=1))), axis=1).astype("<f4")
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("digest", "vector", "first")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([x.tobytes() for x in norms], pa.binary())], ["digest", "vector", "first", "code", "norm"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column(c).to_pylist())], pa.binary()) for c in ("digest", "code", "norm")], ["digests", "codes", "norms"])
-
-    coded = written(distinct.select("digest", "vector", "first").mapInArrow(encoded, "digest binary, vector binary, first long, code binary, norm binary"), "coded-vectors")
-    index = written(coded.select("digest", "code", "norm").mapInArrow(packed, "digests binary, codes binary, norms binary"), "codes")
-    queries = written(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("digest").alias("query_digest"), "vector").distinct(), "queries")
-    blocks = max(1, -(-queries.count() // s.query_block))
-    most = s.candidates
-
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shipped.value
-        block, ids, asked, tables, lengths = None, [], [], None, None
-        best = names = None
-
-        def result() -> pa.RecordBatch:
-            keep = np.isfinite(best)
-            at = np.repeat(np.arange(len(ids)), best.shape[1]).reshape(best.shape)[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), pa.array([bytes(x) for x in names[keep]], pa.binary())], ["query_id", "digest"])
-
-        for batch in batches:
-            for b, kind, q, x, digests, codes, norms in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "query_id", "vector", "digests", "codes", "norms")), strict=True):
-                if b != block:
-                    if best is not None:
-                        yield result()
-                    block, ids, asked, tables, best = b, [], [], None, None
-                if kind == 0:
-                    ids.append(q)
-                    asked.append(np.frombuffer(x, "<f8"))
-                    continue
-                if not ids:
-                    continue
-                if tables is None:
-                    tables = books.tables(np.array(asked))
-                    lengths = np.sqrt((np.array(asked) ** 2).sum(axis=1)).astype(np.float32)
-                    best, names = np.full((len(ids), 0), -np.inf, np.float32), np.zeros((len(ids), 0), "V16")
-                code = np.frombuffer(codes, np.uint8).reshape(-1, len(books.books))
-                missing = np.frombuffer(norms, "<f4").reshape(-1, 2)[:, 1]
-                own = np.frombuffer(digests, "V16")
-                for at in range(0, len(code), 2048):
-                    part = code[at : at + 2048]
-                    score = np.zeros((len(ids), len(part)), np.float32)
-                    for m in range(part.shape[1]):
-                        score += tables[:, m, :][:, part[:, m]]
-                    # A vector far from its codes may score more than they say: its stored residual norm counts a little.
-                    score += np.float32(0.1) * lengths[:, None] * missing[None, at : at + 2048]
-                    score, name = np.hstack((best, score)), np.hstack((names, np.broadcast_to(own[at : at + 2048], score.shape)))
-                    if score.shape[1] > most:
-                        pick = np.argpartition(-score, most - 1, axis=1)[:, :most]
-                        score, name = np.take_along_axis(score, pick, 1), name[np.arange(len(ids))[:, None], pick]
-                    best, names = score, name
-        if best is not None:
-            yield result()
-
-    null = lambda kind: F.lit(None).cast(kind)
-    stream = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "query_id", "vector", null("binary").alias("digests"), null("binary").alias("codes"), null("binary").alias("norms"))
-    stream = stream.union(index.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1), null("long"), null("binary"), "digests", "codes", "norms"))
-    found = written(stream.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(scanned, "query_id long, digest binary"), "candidates")
-
-    @F.arrow_udf("double")
-    def inner(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), "<f8").reshape(-1, d) for v in (a, b))
-        return pa.array((x * y).sum(axis=1))
-
-    pairs = found.join(distinct.select("digest", "vector"), "digest").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "digest")
-    exact = pairs.select("query_id", "digest", inner("vector", "asked").alias("score")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= 2 * k + 1)
+    codes = written(distinct.select("digest", "vector", "first").mapInArrow(encoded, "digest binary, vector binary, first long, code binary, norm binary"), "codes")
+    coded = written(codes.repartitionByRange("code", "digest").sortWithinPartitions("code", "digest"), "coded-vectors")
+    queries = written(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").distinct(), "queries")
     members = written(first_members(vectors, k + 1), "members")
+    forget(vectors, distinct, codes)
 
     def ranked(scores: DataFrame) -> DataFrame:
+        """The k best rows of each query among scored classes."""
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "digest")
+        few = scores.withColumn("k", F.row_number().over(by)).where(F.col("k") <= 2 * k + 1).drop("k", "first")
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return scores.join(members, "digest").where("vec_id != query_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-
-    bars = ranked(written(exact.drop("k"), "reranked")).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    scores = reaching(coded, written(queries.join(bars, "query_id", "left"), "bars"), shipped, d, k, s)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "digest")
-    scores = scores.withColumn("k", F.row_number().over(by)).where(F.col("k") <= 2 * k + 1).drop("k")
-    return ranked(written(scores, "reached")).select("query_id", "rank", "vec_id", "score")
+        return few.join(members, "digest").where("vec_id != query_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    part = max(s.sample_rows, round((total * s.share / 2) ** 0.5))
+    if part < total:
+        some = coded.where(u < part / total).repartition(-(-part // s.share))
+        found = ranked(reaching(some, queries.withColumn("bar", F.lit(None).cast("double")), shipped, d, k, s))
+        bars = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+        queries = written(queries.join(bars, "query_id", "left"), "bars")
+    else:
+        queries = queries.withColumn("bar", F.lit(None).cast("double"))
+    return ranked(reaching(coded, queries, shipped, d, k, s)).select("query_id", "rank", "vec_id", "score")

@@ -75,7 +75,7 @@ def test_additive_search(spark):
     rows = [(k, [float(v) for v in x[k]], 1) for k in range(600)]
     rows += [(1000, None, 1), (1020, [0.0] * 16, 1), (1040, [1.0] * 15 + [float("nan")], 1), (1060, [1.0] * 15 + [None], 1), (1080, [1.0] * 3, 1), (None, [1.0] * 16, 1), rows[20]]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    s = additive_search.Settings(codebooks=8, codewords=32, candidates=60)
+    s = additive_search.Settings(codebooks=8, codewords=32, run=64, share=64, sample_rows=200)
     got = {}
     for q in additive_search.search(table, F.col("vec_id") % 20 == 0, settings=s).orderBy("query_id", "rank").collect():
         got.setdefault(q.query_id, []).append((q.vec_id, q.score))
@@ -99,7 +99,7 @@ def test_additive_search_among_near_copies(spark):
     x = r.normal(size=(1500, 16))
     x[::3] = x[0] + 0.05 * r.normal(size=(500, 16))  # a third lie within the quantisation error of each other
     table = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(1500)], "vec_id long, embedding array<double>")
-    s = additive_search.Settings(codebooks=4, codewords=16, candidates=40, query_group=20)
+    s = additive_search.Settings(codebooks=4, codewords=16, query_group=20, run=64, share=64, sample_rows=200)
     got = {}
     for q in additive_search.search(table, F.col("vec_id") % 20 == 0, settings=s).orderBy("query_id", "rank").collect():
         got.setdefault(q.query_id, []).append(q.vec_id)
