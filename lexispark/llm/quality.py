@@ -36,6 +36,8 @@ STATISTICS = 20
 @dataclass(frozen=True)
 class Settings:
     bits: int = 9
+    #: What a character pair's standard deviation counts against a statistic's: pairs are many and would drown the statistics of few rows.
+    pairs: float = 0.1
     positive_rows: int = 4000
     unlabelled_rows: int = 6000
     calibration_rows: int = 2000
@@ -193,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     width = STATISTICS + (1 << s.bits)
     if len(p) < 10 or len(u) < 10:
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, 0.0, 0.5, s)
-    centre, scale = u.mean(axis=0), u.std(axis=0) + 0.02
+    centre, scale = u.mean(axis=0), (u.std(axis=0) + 0.02) / np.repeat((1.0, s.pairs), (STATISTICS, 1 << s.bits))
     p, u = np.clip((p - centre) / scale, -8, 8), np.clip((u - centre) / scale, -8, 8)
     order = np.random.default_rng(8)
     p, u = p[order.permutation(len(p))], u[order.permutation(len(u))]
