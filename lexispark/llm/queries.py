@@ -56,6 +56,21 @@ def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_search.search(table(spark, sf_dir, "embeddings", ("vec_id", "embedding")), F.pmod("vec_id", F.lit(20)) == 0)
 
 
+# Exact search.
+OP4_SQL = """
+WITH good AS (
+  SELECT DISTINCT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+size AS (SELECT len(v) AS d FROM good GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1),
+ok AS (SELECT vec_id, v FROM good, size WHERE len(v) = d),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM near) WHERE k <= 20
+"""
+
+
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import curve_packing
 
@@ -95,6 +110,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents", ("doc_id", "text")), table(spark, sf_dir, "benchmark", ("item_id", "text")))
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + 9], ' ') AS words FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM asked),
+met AS MATERIALIZED (
+  SELECT r, k, n, item_id FROM (
+    SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS words FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n)) JOIN asked USING (n, words)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM met)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import secret_scan
 
@@ -116,5 +147,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents", ("doc_id", "text")), near_dedup.Settings(shingle=2))
 
 
+# Exact sets, all pairs of them, and what each reaches.
+OP10_SQL = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, hash(array_to_string(w[k : k + 1], ' ')) AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS k FROM docs WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n, bit_xor(s) AS x, sum(s) AS y FROM shingles GROUP BY r),
+same AS MATERIALIZED (SELECT r, n, min(r) OVER (PARTITION BY n, x, y) AS node FROM sizes),
+nodes AS MATERIALIZED (SELECT node, any_value(n) AS n FROM same GROUP BY node),
+sets AS MATERIALIZED (SELECT r AS node, s FROM shingles JOIN nodes ON r = node),
+pairs AS MATERIALIZED (
+  SELECT a, b FROM (SELECT p.node AS a, q.node AS b, count(*) AS shared FROM sets p JOIN sets q ON p.s = q.s AND p.node < q.node GROUP BY ALL)
+  JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs UNION ALL SELECT node, node FROM nodes),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT b AS node, min(d) AS component_id FROM reach JOIN (SELECT node, min(doc_id) AS d FROM same JOIN docs USING (r) GROUP BY node) ON node = a GROUP BY b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM docs LEFT JOIN same USING (r) LEFT JOIN least USING (node)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_classifier, op4_additive_search, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_additive_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_near_dedup": OP10_SQL}
