@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fresh, slices, sole_cache, written
+from lexispark.llm.common import bounded_batches, forget, fresh, sieved, slices, sole_cache, written
 from lexispark.llm.components import components
 
-WORDS_KNOWN = 300_000
+WORDS_KNOWN = 150_000
 MANTISSA = 10
 #: The share of one register by which different minima collide, from the HyperMinHash paper.
 COLLISIONS = 0.169919487159739
@@ -52,6 +52,8 @@ class Settings:
     bands: int = 36
     rows: int = 5
     block: int = 256
+    #: Nodes that share one copy of their lead's text.
+    run: int = 512
     #: Standard deviations by which an estimate may fall short before a pair is given up unconfirmed.
     margin: float = 5.0
 
@@ -128,10 +130,10 @@ def registers(shingle_set: np.ndarray, count: int) -> np.ndarray:
     return (np.minimum(32 - exponent, 63).astype(np.int64) << MANTISSA | mantissa).astype("<u2")
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
-    """Jaccard similarity from registers of sets of n and m shingles, less the expected chance collisions."""
+def estimates(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarities from shares of equal registers of sets of n and m shingles, less the expected chance collisions."""
     chance = COLLISIONS * 2.0**-MANTISSA * 4 * n * m / (n + m) ** 2
-    return float((a == b).mean() - chance) / (1 - chance)
+    return (equal - chance) / (1 - chance)
 
 
 def buckets(registers_of: np.ndarray, s: Settings) -> np.ndarray:
@@ -174,15 +176,10 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(rows: list[tuple], s: Settings) -> list[tuple[bytes, bytes]]:
-    """Of the rows (pair, side, node, root, n, marks, text) of two blocks, or one: links that
-    join components of which any two texts, one of either block, are similar enough."""
-    sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
-    one, other = sides[0], sides[1] or sides[0]
-    if not one:
-        return []
+def promising_pairs(one: list[tuple], other: list[tuple], s: Settings) -> np.ndarray:
+    """(rows of one, rows of other): of different components, and similar enough by size and estimate."""
     n, m = (np.array([r[4] for r in x], float) for x in (one, other))
-    roots = {x: k for k, x in enumerate(dict.fromkeys(r[3] for r in rows))}
+    roots = {x: k for k, x in enumerate(dict.fromkeys(r[3] for r in (*one, *other)))}
     ra, rb = (np.array([roots[r[3]] for r in x]) for x in (one, other))
     maybe = (ra[:, None] != rb) & (100 * np.minimum(n[:, None], m) >= s.percent * np.maximum(n[:, None], m))
     if maybe.any():
@@ -190,10 +187,37 @@ def block_links(rows: list[tuple], s: Settings) -> list[tuple[bytes, bytes]]:
         same = np.zeros(maybe.shape, np.int32)
         for x, y in zip(*marks, strict=True):
             same += x[:, None] == y
-        chance = COLLISIONS * 2.0**-MANTISSA * 4 * n[:, None] * m / (n[:, None] + m) ** 2
-        maybe &= (same / s.registers - chance) / (1 - chance) >= s.slack
-    if not maybe.any():
+        maybe &= estimates(same / s.registers, n[:, None], m) >= s.slack
+    return maybe
+
+
+def both_sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    one, other = ([r for r in rows if r[1] == k] for k in (0, 1))
+    return one, other or one
+
+
+def hopeful(rows: list[tuple], s: Settings) -> list[tuple]:
+    """Those of the rows (pair, side, node, root, n, marks) of two blocks, or one, that have a promising partner."""
+    one, other = both_sides(rows)
+    if not one:
+        return []
+    maybe = promising_pairs(one, other, s)
+    left, right = maybe.any(axis=1), maybe.any(axis=0)
+    if other is one:
+        left = left | right
+    kept = [r for r, k in zip(one, left, strict=True) if k]
+    return kept if other is one else kept + [r for r, k in zip(other, right, strict=True) if k]
+
+
+def block_links(rows: list[tuple], s: Settings) -> list[tuple[bytes, bytes]]:
+    """Of the rows (pair, side, node, root, n, marks, text) of two blocks, or one: links that
+    join components of which any two texts, one of either block, are similar enough."""
+    one, other = both_sides(rows)
+    if not one or not (maybe := promising_pairs(one, other, s)).any():
         return []
+    n, m = (np.array([r[4] for r in x], float) for x in (one, other))
+    roots = {x: k for k, x in enumerate(dict.fromkeys(r[3] for r in rows))}
+    ra, rb = (np.array([roots[r[3]] for r in x]) for x in (one, other))
     ka, kb = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
     a, b = [shingles(one[k][6], s.shingle) for k in ka], [shingles(other[k][6], s.shingle) for k in kb]
     sound = np.array([digest(x) == one[k][2] for x, k in zip(a, ka, strict=True)])[:, None] & np.array([digest(x) == other[k][2] for x, k in zip(b, kb, strict=True)])
@@ -220,6 +244,7 @@ class Finder:
 
     def __init__(self, docs: DataFrame, s: Settings, *, text: str = "text", key: str = "doc_id"):
         self.s = s
+        bounded_batches(docs)
         self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
 
@@ -257,37 +282,62 @@ class Finder:
         return (100 * F.least("n", other) >= self.s.percent * F.greatest("n", other)) & (F.col("node") != F.col("lead"))
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, marks, text) of distinct nodes; a repeated doc_id may bring another text, too.
+        """(node, text) of distinct nodes; a repeated doc_id may bring another text, too.
 
-        The one step that shuffles whole texts, and of those the nodes name no others come out of it.
+        The one step that shuffles whole texts, and hardly any but those that the nodes name.
         """
-        return written(self.docs.join(nodes.join(self.nodes, "node").select("node", "n", "marks", F.col("least").alias("doc_id")), "doc_id").select("node", "n", "marks", "text"), "texts")
+        wanted = nodes.select("node", F.col("least").alias("doc_id"))
+        likely, _ = sieved(self.docs, "doc_id", wanted.select("doc_id"))
+        return written(likely.join(wanted, "doc_id").select("node", "text"), "texts")
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those distinct (node, lead) pairs whose registers allow the similarity asked for; no text is read."""
+        s = self.s
+
+        def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, s.registers) for c in ("marks", "lead_marks"))
+                n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "lead_n"))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("lead")], ["node", "lead"]).filter(pa.array(estimates((x == y).mean(axis=1), n, m) >= s.slack))
+
+        one = self.crowded.select("node", "n", "marks")
+        other = self.crowded.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("marks").alias("lead_marks"))
+        pairs = pairs.select("node", "lead").distinct().join(one, "node").join(other, "lead")
+        return written(pairs.mapInArrow(promising, "node binary, lead binary"), "likely")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those (node, lead) pairs that are similar enough: by estimate first, then on full sets."""
+        """Those (node, lead) pairs that are similar enough: by estimate first, then on full sets.
+
+        A lead's nodes come in runs of bounded number, and each run brings the lead's text once.
+        """
         s = self.s
-        pairs = written(pairs.select("node", "lead").distinct(), "pairs")
-        texts = self.texts
+        pairs = self.likely(pairs)
+        leads = written(pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / s.run).alias("runs")), "runs")
+        one = pairs.join(leads, "lead").select("lead", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), F.lit(1).alias("kind"), "node")
+        first = leads.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.lit(0).alias("kind"), F.col("lead").alias("node"))
+        rows = one.union(first).join(self.texts, "node").select("lead", "run", "kind", "node", "text")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sole_cache("words", word_hashes().clear)
-            last: tuple[bytes, np.ndarray] | None = None
+            last, whole = None, np.zeros(0, np.uint64)
             for batch in slices(batches):
-                keep = []
-                columns = (batch.column(c).to_pylist() for c in ("node", "n", "marks", "text", "lead", "lead_n", "lead_marks", "lead_text"))
-                for node, n, marks, text, lead, lead_n, lead_marks, lead_text in zip(*columns, strict=True):
-                    if estimate(np.frombuffer(marks, "<u2"), np.frombuffer(lead_marks, "<u2"), n, lead_n) < s.slack:
-                        keep.append(False)
-                        continue
-                    if last is None or last[0] != lead:
-                        last = lead, shingles(lead_text, s.shingle)
+                found: list[tuple[bytes, bytes]] = []
+                for lead, kind, node, text in zip(*(batch.column(c).to_pylist() for c in ("lead", "kind", "node", "text")), strict=True):
                     own = shingles(text, s.shingle)
-                    # A repeated doc_id may bring another text; it isn't this node's.
-                    keep.append(digest(own) == node and digest(last[1]) == lead and linked(own, last[1], s.percent))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("lead")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        lead = texts.select(*(F.col(c).alias("lead" if c == "node" else f"lead_{c}") for c in texts.columns))
-        return written(pairs.join(texts, "node").join(lead, "lead").mapInArrow(confirm, "a binary, b binary").distinct(), "confirmed")
+                    if digest(own) != node:  # a repeated doc_id may bring another text
+                        continue
+                    if kind == 0:
+                        last, whole = lead, own
+                    elif last == lead and linked(own, whole, s.percent):
+                        found.append((node, lead))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        rows = rows.repartition("lead", "run").sortWithinPartitions("lead", "run", "kind")
+        out = written(rows.mapInArrow(confirm, "a binary, b binary").distinct(), "confirmed")
+        forget(pairs, leads)
+        return out
 
     def crowds(self) -> DataFrame:
         """(bucket, node, n, weight) of the buckets that more than one node shares.
@@ -296,10 +346,14 @@ class Finder:
         the middle of a group of copies meets more than its fringe.
         """
         shared = written(self.members().groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-        met = written(self.members().join(shared, "bucket"), "met")
+        met = written(sieved(self.members(), "bucket", shared.select("bucket"))[0].join(shared, "bucket"), "met")
         weights = written(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-        self.texts = self.texts_of(weights.select("node"))
-        return written(met.join(weights, "node").select("bucket", "node", "n", "weight"), "crowds")
+        crowded = weights.select("node")
+        self.crowded = written(sieved(self.nodes, "node", crowded)[0].join(crowded, "node").select("node", "n", "marks", "least"), "crowded")
+        self.texts = self.texts_of(self.crowded)
+        out = written(met.join(weights, "node").select("bucket", "node", "n", "weight"), "crowds")
+        forget(shared, met, weights)
+        return out
 
     def links(self) -> DataFrame:
         """(node, root) for every node that isn't alone, but the roots."""
@@ -309,6 +363,7 @@ class Finder:
         found = self.confirmed(crowd.join(leads, "bucket").where(self.near("lead_n")))
         stars = components(found)
         named = written(crowd.join(stars, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "named")
+        forget(crowd, leads, found)
         sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
         parts = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
         mixed = written(parts.select("bucket", F.col("main.root").alias("main")), "mixed")
@@ -336,25 +391,38 @@ class Finder:
         per = written(inside.join(placed.select("node", "block"), "node").groupBy("bucket", "block").agg(F.max("rest").alias("rest")), "bucket-blocks")
         met = per.where("rest").select("bucket", F.col("block").alias("one")).join(per.select("bucket", F.col("block").alias("other")), "bucket")
         met = written(met.select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct(), "block-pairs")
-        texts = self.texts.join(placed, "node")
         sides = met.select(F.xxhash64("one", "other").alias("pair"), F.lit(0).alias("side"), F.col("one").alias("block"))
         sides = sides.union(met.where("one != other").select(F.xxhash64("one", "other"), F.lit(1), "other"))
+        marked = written(placed.join(self.crowded.select("node", "n", "marks"), "node"), "marked")
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sole_cache("words", word_hashes().clear)
+        def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+            """The rows of each pair of blocks."""
             held: list[tuple] = []
             for batch in slices(batches):
-                links: list[tuple[bytes, bytes]] = []
-                for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "node", "root", "n", "marks", "text")), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                     if held and held[0][0] != row[0]:
-                        links += block_links(held, s)
+                        yield held
                         held = []
                     held.append(row)
+            if held:
+                yield held
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in runs(batches, ("pair", "side", "node", "root", "n", "marks")):
+                kept = hopeful(held, s)
+                columns = zip(*kept, strict=True) if kept else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["pair", "side", "node", "root", "n", "marks"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_cache("words", word_hashes().clear)
+            for held in runs(batches, ("pair", "side", "node", "root", "n", "marks", "text")):
+                links = block_links(held, s)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
-            links = block_links(held, s) if held else []
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-        rows = sides.join(written(texts, "block-texts"), "block").select("pair", "side", "node", "root", "n", "marks", "text")
+        # Registers alone go to the pairs of blocks; texts follow for nodes that have a partner by estimate.
+        rows = sides.join(marked, "block").select("pair", "side", "node", "root", "n", "marks")
+        rows = rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(sift, "pair long, side int, node binary, root binary, n long, marks binary")
+        rows = written(rows, "hopeful").join(self.texts, "node").select("pair", "side", "node", "root", "n", "marks", "text")
         return written(rows.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(compare, "a binary, b binary"), "crossing")
 
     def classes(self) -> DataFrame:
@@ -384,8 +452,9 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings(), *, text: str
     found = Finder(docs, settings, text=text, key=key)
     judged = written(verdicts(found).select("doc_id", "node", "root", "kept"), "verdicts")
     repeated = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key)), "repeated")
-    gone = judged.where("not kept").select(F.col("doc_id").alias(key)).union(repeated).distinct()
-    out = docs.join(gone, key, "left_anti").select(*docs.columns)
+    gone = written(judged.where("not kept").select(F.col("doc_id").alias(key)).union(repeated).distinct(), "gone")
+    maybe, sure = sieved(docs, key, gone)
+    out = sure.union(maybe.join(gone, key, "left_anti").select(*docs.columns))
     if repeated.isEmpty():
         return out
 
