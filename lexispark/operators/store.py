@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,30 @@ from pyspark.sql import functions as F
 from lexispark.operators.statistics import upsert
 from lexispark.schemas import LANGUAGE_ROWS, LANGUAGES, TABLES
 
+#: What tells rows of an accumulated table apart, and what is added up.
+COUNTED = {
+    "morph_frequencies": (["language_code", "feature_key"], "count"),
+    "prior_frequencies": (["language_code", "previous_feature_key", "current_feature_key"], "count"),
+    "document_frequencies": (["document_id", "lemma_id"], "weighted_frequency"),
+}
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder named by spark.checkpoint.dir (one of its own on a local master without one)."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir (one of its own on a local master without one)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lexispark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/held-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replaced(old: DataFrame, new: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -33,57 +45,102 @@ def replaced(old: DataFrame, new: DataFrame, column: str, values: Sequence[str])
 
 
 class Store:
-    """A folder of the store's tables; each write goes beside the old version, which then is switched over."""
+    """A folder of the store's tables, for one writer at a time.
+
+    Every write goes beside the old version.  A state of the store is a small
+    file that names a version of each table, and the last batch of each stream
+    that went into them; it appears by one rename, so several tables change at
+    once or not at all.  The state before stays readable.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
+    def _at(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _states(self) -> list[int]:
+        fs, at = self._at(f"{self.path}/_states")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()) if fs.exists(at) else []
+
+    def _state(self, number: int) -> dict:
+        fs, at = self._at(f"{self.path}/_states/{number}")
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def state(self) -> dict:
+        numbers = self._states()
+        return self._state(numbers[-1]) if numbers else {"tables": {}, "streams": {}}
+
     def exists(self, name: str) -> bool:
-        fs, at = self._fs(f"{self.path}/{name}")
-        return fs.exists(at)
+        return name in self.state()["tables"]
 
     def read(self, name: str) -> DataFrame:
         schema, _ = TABLES[name]
-        if not self.exists(name):
+        version = self.state()["tables"].get(name)
+        if version is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{version}")
+
+    def commit(self, tables: Mapping[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
+        """Exchange tables, and note a stream's batch, all at once."""
+        state, versions = self.state(), {}
+        for name, rows in tables.items():
+            schema, partition = TABLES[name]
+            versions[name] = f"{name}-{uuid.uuid4().hex}"
+            writer = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)).write
+            (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{versions[name]}")
+        state["tables"] |= versions
+        if batch is not None:
+            state["streams"][batch[0]] = batch[1]
+        numbers = self._states()
+        fs, aside = self._at(f"{self.path}/_states/_{uuid.uuid4().hex}")
+        stream = fs.create(aside)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if not fs.rename(aside, self._at(f"{self.path}/_states/{numbers[-1] + 1 if numbers else 1}")[1]):
+            raise OSError(f"the state of the store at {self.path} can't be switched")
+        self._tidy(numbers, state)
+
+    def _tidy(self, numbers: list[int], state: dict) -> None:
+        """Delete states before the last one's predecessor, and versions that neither of the two names."""
+        known = {*state["tables"].values(), *(self._state(numbers[-1])["tables"].values() if numbers else ())}
+        for number in numbers[:-1]:
+            for version in self._state(number)["tables"].values():
+                if version not in known:
+                    fs, at = self._at(f"{self.path}/{version}")
+                    fs.delete(at, True)
+            fs, at = self._at(f"{self.path}/_states/{number}")
+            fs.delete(at, False)
 
     def write(self, name: str, rows: DataFrame) -> None:
-        schema, partition = TABLES[name]
-        aside = f"{self.path}/_{name}-{uuid.uuid4().hex}"
-        writer = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)).write
-        (writer.partitionBy(partition) if partition else writer).parquet(aside)
-        fs, target = self._fs(f"{self.path}/{name}")
-        fs.delete(target, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(aside), target)
+        self.commit({name: rows})
 
     def replace(self, name: str, rows: DataFrame, column: str, values: Sequence[str]) -> None:
         """Exchange the rows of some languages or lexica for others."""
-        self.write(name, checkpointed(replaced(self.read(name), rows.select(*TABLES[name][0].names), column, values)))
+        self.write(name, replaced(self.read(name), rows.select(*TABLES[name][0].names), column, values))
+
+    def without_language(self, language: str) -> dict[str, DataFrame]:
+        """The tables without a language's lemmas, and with them their parses and document frequencies; statistics stay."""
+        lemmas = self.read("lemmas")
+        gone = checkpointed(lemmas.where(F.col("language_code") == language).select(F.col("id").alias("lemma_id")))
+        return {"lemmas": lemmas.where(F.col("language_code") != language), **{name: self.read(name).join(gone, "lemma_id", "left_anti") for name in ("parses", "document_frequencies")}}
 
     def delete_language(self, language: str) -> None:
-        """Delete a language's lemmas, and with them their parses and document frequencies; statistics stay."""
-        gone = checkpointed(self.read("lemmas").where(F.col("language_code") == language).select(F.col("id").alias("lemma_id")))
-        for name, column in (("parses", "lemma_id"), ("document_frequencies", "lemma_id")):
-            self.write(name, checkpointed(self.read(name).join(gone, column, "left_anti")))
-        self.write("lemmas", checkpointed(self.read("lemmas").where(F.col("language_code") != language)))
+        self.commit(self.without_language(language))
 
     def clear_lexicon(self, lexicon: str) -> None:
-        for name in ("senses", "entries"):
-            self.write(name, checkpointed(self.read(name).where(F.col("document_id") != lexicon)))
-
-    def accumulate(self, name: str, rows: DataFrame) -> None:
-        """Add counts to the stored ones; doing so twice counts twice."""
-        keys, count = {
-            "morph_frequencies": (["language_code", "feature_key"], "count"),
-            "prior_frequencies": (["language_code", "previous_feature_key", "current_feature_key"], "count"),
-            "document_frequencies": (["document_id", "lemma_id"], "weighted_frequency"),
-        }[name]
-        self.write(name, checkpointed(upsert(self.read(name), rows.select(*TABLES[name][0].names), keys, count)))
+        self.commit({name: self.read(name).where(F.col("document_id") != lexicon) for name in ("senses", "entries")})
+
+    def accumulate(self, counts: Mapping[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
+        """Add counts to the stored ones, all tables at once; doing so twice counts twice, but for a noted batch."""
+        if batch is not None and self.state()["streams"].get(batch[0], -1) >= batch[1]:
+            return
+        self.commit({name: upsert(self.read(name), rows.select(*TABLES[name][0].names), *COUNTED[name]) for name, rows in counts.items()}, batch)
 
     def languages(self) -> DataFrame:
         return self.spark.createDataFrame(list(LANGUAGES.items()), LANGUAGE_ROWS)

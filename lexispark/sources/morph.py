@@ -20,23 +20,44 @@ def language_of_file(path: str) -> str:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text, file): a text's lines with their places, in file order."""
-    held = spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
-    rows = held.rdd.zipWithIndex().map(lambda x: (x[1], x[0].value, x[0].file))
-    return spark.createDataFrame(rows, "line long, text string, file string")
+    """(line, text, file): a text's lines with what orders them: file, split of the file, place among the split's lines."""
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    return spark.read.text(path).select(place.alias("line"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
 
 
-def records(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
-    """MORPH_RECORD columns with line and language_code; malformed JSON fails, blank lines and records without form or lemma are left out."""
+def _decoded(spark: SparkSession, path: str, language: str | None) -> DataFrame:
     rows = lines(spark, path).where("trim(text) != ''")
     code = F.lit(language) if language else canonical_language(F.substring_index("file", ".", 1))
-    parsed = rows.select("line", code.alias("language_code"), F.from_json("text", MORPH_RECORD, {"mode": "FAILFAST"}).alias("r")).select("line", "language_code", "r.*")
-    return parsed.where("form is not null and lemma is not null")
+    return rows.select("line", code.alias("language_code"), F.from_json("text", MORPH_RECORD, {"mode": "FAILFAST"}).alias("r")).select("line", "language_code", "r.*")
+
+
+COMPLETE = "form is not null and lemma is not null"
+
+
+def records(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
+    """MORPH_RECORD columns with line and language_code; malformed JSON fails, blank lines and records without form or lemma are left out."""
+    return _decoded(spark, path, language).where(COMPLETE)
+
+
+def analyses(spark: SparkSession, path: str, language: str | None = None) -> tuple[int, DataFrame]:
+    """The number of all records, and records() as a written table."""
+    found = checkpointed(_decoded(spark, path, language))
+    return found.count(), found.where(COMPLETE)
+
+
+def convert_xml(spark: SparkSession, path: str, out: str, greek: bool) -> None:
+    """Write an XML file's analyses as JSON lines, a folder of them; nulls are left out."""
+    from_xml(spark, path, greek).select(F.to_json(F.struct(*MORPH_RECORD.names)).alias("value")).write.text(out)
 
 
 def from_xml(spark: SparkSession, path: str, greek: bool) -> DataFrame:
-    """Records of an XML file's analysis elements: the text of each child under its tag; Greek forms and lemmas leave Beta Code."""
+    """Records of an XML file's analysis elements: the text of each child under its tag.
+
+    The last of a repeated tag counts, an empty element is null; Greek forms and
+    lemmas leave Beta Code.
+    """
     rows = spark.read.format("xml").option("rowTag", "analysis").schema(MORPH_RECORD).load(path)
+    rows = rows.select(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in MORPH_RECORD.names))
     return rows.withColumns({c: beta_code_to_greek(F.col(c)) for c in ("form", "lemma")}) if greek else rows
 
 

@@ -12,18 +12,15 @@ from lexispark.plans.engine import Engine
 def follow(engine: Engine, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Follow a folder of Parquet files of (document_id, language_code, text).
 
-    A micro-batch is added once its files have been read whole; the batches
-    already added are noted beside the store, so a restart doesn't count one twice.
+    A micro-batch is added once its files have been read whole; the last batch of
+    the stream (told by its checkpoint) is noted in the same switch of the store
+    as its counts, so a restart doesn't count one twice, nor a part of one.
     """
     spark = engine.spark
     texts = spark.readStream.schema("document_id string, language_code string, text string").parquet(folder)
 
     def add(batch: DataFrame, number: int) -> None:
-        mark = f"{engine.store.path}/_batches/{number}"
-        fs, at = engine.store._fs(mark)
-        if not fs.exists(at):
-            engine.add_tokens(tokens_of(batch))
-            fs.mkdirs(at)
+        engine.add_tokens(tokens_of(batch), (checkpoint, number))
 
     writer = texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -2,16 +2,21 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from lexispark.cli import main
+from lexispark.operators import statistics
 from lexispark.plans.engine import Engine
 from lexispark.streaming.corpus import follow
 
 GREEK = [
-    {"form": "μῆνιν", "lemma": "μῆνις", "pos": "noun", "case": "accusative"},
-    {"form": "ἄειδε", "lemma": "ἀείδω", "pos": "verb", "mood": "imperative"},
-    {"form": "ἄειδε", "lemma": "ἀείδω", "pos": "verb", "mood": "indicative"},
-    {"form": "ἄειδε", "lemma": "ἀοιδή", "pos": "noun"},
-    {"form": "Ἐνυώ", "lemma": "Ἐνυώ", "pos": "noun"},
+    {"form": "κῆπον", "lemma": "κῆπος", "pos": "noun", "case": "accusative"},
+    {"form": "τέμνε", "lemma": "τέμνω", "pos": "verb", "mood": "imperative"},
+    {"form": "τέμνε", "lemma": "τέμνω", "pos": "verb", "mood": "indicative"},
+    {"form": "τέμνε", "lemma": "τομή", "pos": "noun"},
+    {"form": "Ὀρίων", "lemma": "Ὀρίων", "pos": "noun"},
+    {"form": "Ὀρίων"},
 ]
 
 
@@ -21,14 +26,14 @@ def store(spark, tmp_path) -> Engine:
     (tmp_path / "latin.morph.jsonl").write_text('{"form": "res", "lemma": "res", "pos": "noun"}')
     corpus = tmp_path / "corpus"
     corpus.mkdir()
-    (corpus / "one-grc1.xml").write_text("<t>μῆνιν ἄειδε</t>")
-    (corpus / "two-grc1.xml").write_text("<t>μῆνιν</t>")
+    (corpus / "one-grc1.xml").write_text("<t>κῆπον τέμνε</t>")
+    (corpus / "two-grc1.xml").write_text("<t>κῆπον</t>")
     short = tmp_path / "short.tsv"
-    short.write_text("ἀείδω to sing\nμῆνις wrath\n")
+    short.write_text("τέμνω to cut\nκῆπος garden\n")
     full = tmp_path / "full.xml"
-    full.write_text('<x><entry key="ἀείδω"><sense id="n1.1" n="1">sing</sense></entry></x>')
+    full.write_text('<x><entry key="τέμνω"><sense id="n1.1" n="1">cut</sense></entry></x>')
     engine = Engine(spark, str(tmp_path / "store"))
-    assert engine.load_morph(str(records)) == {"analyses": 5, "parses": 5}
+    assert engine.load_morph(str(records)) == {"analyses": 6, "parses": 5}
     engine.load_morph(str(tmp_path / "latin.morph.jsonl"))
     assert engine.aggregate(str(corpus)) == {"files": 2, "failed": 0, "tokens": 3}
     assert engine.ingest_lexicon("Logeion-Greek-Shortdef", str(short)) == {"senses": 2, "entries": 0}
@@ -40,16 +45,16 @@ def test_end_to_end(spark, tmp_path):
     engine = store(spark, tmp_path)
     morph = {r.feature_key: r["count"] for r in engine.store.read("morph_frequencies").collect()}
     assert abs(morph[""] - 3) < 1e-9 and abs(morph["noun"] - (2 + 1 / 3)) < 1e-9
-    asked = spark.createDataFrame([(1, "Ἄειδε", "grc", "one-grc1", "μῆνιν"), (2, "enuw/", "grc", None, None), (3, "ΕΝΥΏ", "grc", "", None), (4, "nothing", "grc", None, None)], "request_id long, word string, language_code string, document_id string, prior_word string")
+    asked = spark.createDataFrame([(1, "Τέμνε", "grc", "one-grc1", "κῆπον"), (2, "ori/wn", "grc", None, None), (3, "ΟΡΊΩΝ", "grc", "", None), (4, "nothing", "grc", None, None)], "request_id long, word string, language_code string, document_id string, prior_word string")
     got = {r.request_id: r for r in engine.lookup(asked).collect()}
     first = got[1].lemmas
-    assert [(x.headword, x.document_frequency, x.short_definition) for x in first] == [("ἀείδω", 0.5, "to sing"), ("ἀοιδή", 0.5, None)]
+    assert [(x.headword, x.document_frequency, x.short_definition) for x in first] == [("τέμνω", 0.5, "to cut"), ("τομή", 0.5, None)]
     assert sum(p.is_winner for x in first for p in x.parses) == 1
     assert [s.document_id for s in first[0].senses] == ["Logeion-Greek-Shortdef", "LSJ"] and first[0].entries[0].text.startswith("<sense")
-    assert got[2].lemmas[0].headword == got[3].lemmas[0].headword == "Ἐνυώ" and got[2].lemmas[0].parses[0].is_winner
+    assert got[2].lemmas[0].headword == got[3].lemmas[0].headword == "Ὀρίων" and got[2].lemmas[0].parses[0].is_winner
     assert got[3].lemmas[0].document_frequency is None and got[4].lemmas == []
-    out = json.loads(main(["-d", str(tmp_path / "store"), "lookup", "μῆνιν"], spark))
-    assert out["word"] == "μῆνιν" and out["lemmas"][0]["headword"] == "μῆνις"
+    out = json.loads(main(["-d", str(tmp_path / "store"), "lookup", "κῆπον"], spark))
+    assert out["word"] == "κῆπον" and out["lemmas"][0]["headword"] == "κῆπος"
 
 
 def test_replacing(spark, tmp_path):
@@ -69,8 +74,34 @@ def test_replacing(spark, tmp_path):
 def test_streaming(spark, tmp_path):
     engine = store(spark, tmp_path)
     folder = tmp_path / "stream"
-    rows = spark.createDataFrame([("s1", "grc", "μῆνιν ἄειδε"), ("s2", "grc", "μῆνιν")], "document_id string, language_code string, text string")
+    rows = spark.createDataFrame([("s1", "grc", "κῆπον τέμνε"), ("s2", "grc", "κῆπον")], "document_id string, language_code string, text string")
     rows.write.parquet(str(folder))
     for _ in range(2):  # the second run finds nothing new
         follow(engine, str(folder), str(tmp_path / "stream-checkpoint")).awaitTermination(120)
     assert abs({r.feature_key: r["count"] for r in engine.store.read("morph_frequencies").collect()}[""] - 6) < 1e-9
+
+
+def test_a_failed_batch_leaves_the_statistics_as_they_were(spark, tmp_path, monkeypatch):
+    """A crash between the three statistics, and a retry, count the batch once."""
+    engine = store(spark, tmp_path)
+    s, words = engine.store, spark.createDataFrame([("d", "grc", 0, "κῆπον")], "document_id string, language_code string, pos long, token string")
+    total = lambda: {r.feature_key: r["count"] for r in s.read("morph_frequencies").collect()}[""]
+    before, documents = total(), s.read("document_frequencies").count()
+    whole = statistics.document_counts
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(statistics, "document_counts", broken)
+    with pytest.raises(RuntimeError):
+        engine.add_tokens(words, ("stream", 3))
+    failing = whole(words, s.read("parses")).withColumn("weighted_frequency", F.raise_error(F.lit("executor lost")).cast("double"))
+    monkeypatch.setattr(statistics, "document_counts", lambda *_: failing)
+    with pytest.raises(Exception, match="executor lost"):  # the other statistics' files are written by then
+        engine.add_tokens(words, ("stream", 3))
+    assert total() == before and s.read("document_frequencies").count() == documents
+    monkeypatch.setattr(statistics, "document_counts", whole)
+    for _ in range(2):
+        engine.add_tokens(words, ("stream", 3))
+    assert abs(total() - before - 1) < 1e-9 and s.read("document_frequencies").count() == documents + 1
+    assert len(s._states()) == 2  # older states are tidied away
