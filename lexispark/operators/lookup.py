@@ -30,16 +30,19 @@ def probes(requests: DataFrame, word: str = "word") -> DataFrame:
 
 
 def spellings(parses: DataFrame) -> DataFrame:
-    """parses once for each way of finding them: matched, value."""
+    """(language_code, id, matched, value): each parse's id once for each way of finding it."""
     ways = F.array(*(F.struct(F.lit(c).alias("matched"), F.col(c).alias("value")) for c in ("form", "bare_form", "form_normalized")))
-    return parses.withColumn("way", F.explode(ways)).withColumn("matched", F.col("way.matched")).withColumn("value", F.col("way.value")).drop("way")
+    return parses.select("language_code", "id", F.inline(ways))
 
 
 def lookup(requests: DataFrame, parses: DataFrame, word: str = "word") -> DataFrame:
-    """request_id, tier and parses' columns: every request's candidates from its first tier that has any."""
-    found = probes(requests, word).join(spellings(parses), ["language_code", "matched", "value"]).drop("matched", "value")
+    """request_id, tier and parses' columns: every request's candidates from its first tier that has any.
+
+    Ids alone are matched; the parses' other columns are read for what was found.
+    """
+    found = probes(requests, word).join(spellings(parses), ["language_code", "matched", "value"]).select("request_id", "tier", "id")
     first = F.min("tier").over(Window.partitionBy("request_id"))
-    return found.withColumn("first", first).where("tier = first").drop("first")
+    return found.withColumn("first", first).where("tier = first").drop("first").join(parses, "id")
 
 
 def document_frequency(candidates: DataFrame, requests: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -64,8 +67,11 @@ def attached(lemmas: DataFrame, senses: DataFrame, entries: DataFrame, known: Da
     """
     known = registry(lemmas) if known is None else known
     keyed = lemmas.withColumn("lexicon_key", lexicon_key(F.col("headword"), F.col("sequence_number")))
+    wanted = keyed.select("language_code", "lexicon_key").distinct()
     sense = senses.join(F.broadcast(known), "document_id").withColumn("lexicon_key", F.expr("substring(lemma, length('entry=') + 1)")).where("startswith(lemma, 'entry=')")
+    sense = sense.join(wanted, ["language_code", "lexicon_key"], "left_semi")
     row = F.struct("id", "document_id", "sense", F.nullif("level", F.lit(-1)).alias("level"), "definition")
     sense = sense.groupBy("language_code", "lexicon_key").agg(F.array_sort(F.collect_list(row)).alias("senses"), F.min_by("definition", F.when(F.col("is_short"), F.col("id"))).alias("short_definition"))
-    entry = entries.join(F.broadcast(known), "document_id").groupBy("language_code", F.col("key").alias("lexicon_key")).agg(F.array_sort(F.collect_list(F.struct("document_id", "text"))).alias("entries"))
+    entry = entries.withColumnRenamed("key", "lexicon_key").join(F.broadcast(known), "document_id").join(wanted, ["language_code", "lexicon_key"], "left_semi")
+    entry = entry.groupBy("language_code", "lexicon_key").agg(F.array_sort(F.collect_list(F.struct("document_id", "text"))).alias("entries"))
     return keyed.join(sense, ["language_code", "lexicon_key"], "left").join(entry, ["language_code", "lexicon_key"], "left")

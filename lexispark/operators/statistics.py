@@ -52,6 +52,8 @@ def morph_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] =
     seen = forms_of(tokens).groupBy("language_code", "form").agg(F.count(F.lit(1)).alias("c"))
     found = seen.join(candidates_of(parses).select("language_code", "form", "n_parses", *features), ["language_code", "form"])
     vectors = found.groupBy("language_code", *features).agg(F.sum(F.col("c") / F.col("n_parses")).alias("weight"))
+    # They are few and each becomes up to 2**15 rows, so they are spread first.
+    vectors = vectors.repartition(tokens.sparkSession.sparkContext.defaultParallelism, "language_code", *features)
     rows = vectors.select("language_code", "weight", F.explode(subsets(present(tuple(features)))).alias("subset"))
     rows = rows.select("language_code", "weight", *picked(F.col("subset"), features)).withColumn("feature_key", fold_key(*(F.col(c) for c in features)))
     return accumulated(rows.withColumnRenamed("weight", "count"), ["language_code", "feature_key"], list(features), "count")
@@ -65,14 +67,19 @@ def prior_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] =
     w = Window.partitionBy("document_id", "language_code").orderBy("pos")
     pairs = forms_of(tokens).select("language_code", "form", F.lag("form").over(w).alias("before")).where("before is not null")
     pairs = pairs.groupBy("language_code", "before", "form").agg(F.count(F.lit(1)).alias("c"))
-    known = candidates_of(parses)
-    now = known.select("language_code", "form", "n_parses", *(F.col(c).alias(f"current_{c}") for c in features))
-    was = known.select("language_code", F.col("form").alias("before"), *(F.col(c).alias(f"previous_{c}") for c in features))
-    rows = pairs.join(now, ["language_code", "form"]).join(was, ["language_code", "before"]).withColumn("count", F.col("c") / F.col("n_parses"))
+    key = fold_key(*(F.col(c) for c in features))
+    known = candidates_of(parses).select("language_code", "form", "n_parses", key.alias("key"))
+    # Of a word's parses, those with one key count together.
+    now = known.groupBy("language_code", "form", F.col("key").alias("current_feature_key")).agg(F.sum(F.lit(1.0) / F.col("n_parses")).alias("share"))
+    was = known.groupBy("language_code", F.col("form").alias("before"), F.col("key").alias("previous_feature_key")).agg(F.count(F.lit(1)).alias("times"))
+    rows = pairs.join(now, ["language_code", "form"]).join(was, ["language_code", "before"]).withColumn("count", F.col("c") * F.col("share") * F.col("times"))
+    out = accumulated(rows, ["language_code", "previous_feature_key", "current_feature_key"], [], "count")
+    # Feature columns follow last, once for each pair of keys: the least of those that fold to a key.
+    least = parses.groupBy("language_code", key.alias("key")).agg(F.min(F.struct(*features)).alias("least"))
     for side in ("previous", "current"):
-        rows = rows.withColumn(f"{side}_feature_key", fold_key(*(F.col(f"{side}_{c}") for c in features)))
+        out = out.join(least.select("language_code", F.col("key").alias(f"{side}_feature_key"), *(F.col(f"least.{c}").alias(f"{side}_{c}") for c in features)), ["language_code", f"{side}_feature_key"])
     shown = [f"{side}_{c}" for side in ("previous", "current") for c in features]
-    return accumulated(rows, ["language_code", "previous_feature_key", "current_feature_key"], shown, "count")
+    return out.select("language_code", "previous_feature_key", "current_feature_key", *shown, "count")
 
 
 def document_counts(tokens: DataFrame, parses: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ LEXICA = (("short", True), ("full", False))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    if docs.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        docs = docs.repartition(cores)  # a small file is one split; splitting words is the longer work
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("language_code"), "text").where("language_code is not null and text is not null")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,11 +198,13 @@ def replace_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEXICON}, {BIGRAMS}, {REQUESTS}, {_tiers('cand', 'word')} SELECT request_id, tier, id FROM cand")
 def tiered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.lookup(D.requests(spark, sf_dir), D.parses(spark, sf_dir)).select("request_id", "tier", "id")
+    return _candidates(spark, sf_dir).select("request_id", "tier", "id")
 
 
-def _candidates(spark: SparkSession, sf_dir: str, word: str = "word") -> DataFrame:
-    return lookup.lookup(D.requests(spark, sf_dir), D.parses(spark, sf_dir), word)
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request's candidates; documents are split into words once, for the lexicon and the requests."""
+    words = checkpointed(D.tokens(spark, sf_dir))
+    return lookup.lookup(D.requests_of(words), checkpointed(D.parses_of(words)))
 
 
 @query(f"WITH {LEXICON}, {BIGRAMS}, {REQUESTS}, {_tiers('cand', 'word')}, {EXCLUSIVE} SELECT request_id, id, exclusive_key FROM excl")
@@ -210,17 +212,22 @@ def exclusive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.exclusive(_candidates(spark, sf_dir), D.FEATURES).select("request_id", "id", "exclusive_key")
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Candidates of every request and their three scores; what several of them read is written once."""
-    words = checkpointed(D.tokens(spark, sf_dir))
+SCORE_NAMES = ("word_score", "form_score", "prior_score")
+
+
+def scores_of(words: DataFrame, names: Sequence[str] = SCORE_NAMES) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Parses, requests, their candidates and the named scores, each from its own inputs; what several read is written once."""
     known, asked = checkpointed(D.parses_of(words)), checkpointed(D.requests_of(words))
-    found = checkpointed(lookup.document_frequency(lookup.lookup(asked, known), asked, statistics.document_counts(words, known)))
-    before = lookup.lookup(asked, known, "prior_word")
-    return found, {
-        "word_score": scoring.word_scores(found),
-        "form_score": scoring.form_scores(found, statistics.morph_counts(words, known, D.FEATURES), D.FEATURES),
-        "prior_score": scoring.prior_scores(found, before, statistics.prior_counts(words, known, D.FEATURES), D.FEATURES),
+    found = lookup.lookup(asked, known)
+    if "word_score" in names:
+        found = lookup.document_frequency(found, asked, statistics.document_counts(words, known))
+    found = checkpointed(found) if len(names) > 1 else found
+    makers = {
+        "word_score": lambda: scoring.word_scores(found),
+        "form_score": lambda: scoring.form_scores(found, statistics.morph_counts(words, known, D.FEATURES), D.FEATURES),
+        "prior_score": lambda: scoring.prior_scores(found, lookup.lookup(asked, known, "prior_word"), statistics.prior_counts(words, known, D.FEATURES), D.FEATURES),
     }
+    return known, asked, found, {name: makers[name]() for name in names}
 
 
 ALL = f"{LEXICON}, {MORPH}, {BIGRAMS}, {PRIOR}, {DOCUMENT}, {REQUESTS}, {_tiers('cand', 'word')}, {_tiers('before_cand', 'prior_word')}, {EXCLUSIVE}, {SCORES}"
@@ -228,7 +235,7 @@ ALL = f"{LEXICON}, {MORPH}, {BIGRAMS}, {PRIOR}, {DOCUMENT}, {REQUESTS}, {_tiers(
 
 def _score_query(name: str, short: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _scores(spark, sf_dir)[1][name].select("request_id", "id", F.round(name, 4).alias(name))
+        return scores_of(checkpointed(D.tokens(spark, sf_dir)), [name])[3][name].select("request_id", "id", F.round(name, 4).alias(name))
 
     run.__name__ = name
     query(f"WITH {ALL} SELECT request_id, id, round({name}, 4) AS {name} FROM {short}")(run)
@@ -247,8 +254,8 @@ total AS (SELECT c.request_id, c.id, c.lemma_id,
 SELECT request_id, id FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / (ha::INT + hb::INT + hc::INT), 12) DESC, lemma_rank, id) AS k FROM total) WHERE k = 1""")
 def winning_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, scores = _scores(spark, sf_dir)
-    return scoring.winners(found, scores["word_score"], scores["form_score"], scores["prior_score"]).where("is_winner").select("request_id", "id")
+    _, _, found, scores = scores_of(checkpointed(D.tokens(spark, sf_dir)))
+    return scoring.winners(found, *scores.values()).where("is_winner").select("request_id", "id")
 
 
 @query(f"WITH {LEXICON} SELECT DISTINCT lemma_id, 'see ' || headword AS short_definition, CAST(CASE WHEN length(headword) >= 5 THEN 2 ELSE 1 END AS BIGINT) AS n_senses, CAST(CASE WHEN length(headword) >= 5 THEN 1 ELSE 0 END AS BIGINT) AS n_entries FROM lex")
@@ -275,8 +282,7 @@ WITH {ALL} SELECT r.request_id, CAST(count(DISTINCT lemma_id) AS BIGINT) AS n_le
 FROM req r LEFT JOIN cand c ON c.request_id = r.request_id GROUP BY r.request_id""")
 def response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested response of every request, summed up by its shape."""
-    asked, known = D.requests(spark, sf_dir), D.parses(spark, sf_dir)
-    found, scores = _scores(spark, sf_dir)
+    known, asked, found, scores = scores_of(checkpointed(D.tokens(spark, sf_dir)))
     won = scoring.winners(found, *scores.values())
     lemmas = lookup.attached(D.lemmas(known), D.senses(known), D.entries(known), D.registry(spark))
     out = scoring.respond(asked, found, won, lemmas.drop("language_code"), D.FEATURES)

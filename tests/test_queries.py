@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from lexispark.plans import source_queries  # noqa: F401  adds its queries
 from lexispark.plans.queries import ORACLES, QUERIES
 
 

@@ -5,16 +5,17 @@ import pytest
 from lexispark.operators.ordering import numbered, suffixed_repeats
 from lexispark.sources import lexica, morph, tei
 
-CORPUS = "<TEI><text><body><l n='1'>μῆνιν ἄειδε <note>gloss <bibl>x</bibl></note>θεὰ</l></body></text></TEI>"
+CORPUS = "<TEI><text><body><l n='4'>κῆπος θάλλει <note>gloss <bibl>x</bibl></note>καλῶς</l></body></text></TEI>"
 
 
 @pytest.mark.parametrize(
     ("xml", "words"),
     [
-        (CORPUS, ["μῆνιν", "ἄειδε", "θεὰ"]),
-        ("<sp><speaker>PALAESTRA</speaker><stage>flens</stage><l>uae mihi</l></sp>", ["uae", "mihi"]),
-        ("<l>uae<note>nota</note>mihi</l>", ["uae", "mihi"]),
-        ("<x><l>a</l><l>b</l></x>", ["ab"]),
+        (CORPUS, ["κῆπος", "θάλλει", "καλῶς"]),
+        ("<scene><head>IV</head><figure>map</figure><p>cras redibo domum</p></scene>", ["cras", "redibo", "domum"]),
+        ("<p>cras<gap>lost</gap>redibo</p>", ["cras", "redibo"]),
+        ("<p><hi>cras</hi><hi>tinus</hi></p>", ["crastinus"]),
+        ('<!DOCTYPE p SYSTEM "http://nowhere.invalid/none.dtd"><p>cras</p>', ["cras"]),
     ],
 )
 def test_corpus_text(xml, words):
@@ -23,25 +24,25 @@ def test_corpus_text(xml, words):
 
 def test_corpus_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    for name, body in (("a.b.c-grc2.xml", CORPUS), ("sub/d.e.f-lat1.xml", "<l>uae mihi</l>"), ("g-eng3.xml", "<l>no</l>"), ("h-grc1.xml", "<l>broken"), ("__cts__.xml", "<l/>")):
+    for name, body in (("a.b.c-grc2.xml", CORPUS), ("sub/d.e.f-lat1.xml", "<p>cras redibo</p>"), ("g-eng3.xml", "<l>no</l>"), ("h-grc1.xml", "<l>broken"), ("__cts__.xml", "<l/>")):
         (tmp_path / name).write_text(body)
     rows = {r.document_id: r for r in tei.corpus(spark, str(tmp_path)).collect()}
     assert {k: r.language_code for k, r in rows.items()} == {"a.b.c-grc2": "grc", "d.e.f-lat1": "lat", "h-grc1": "grc"}
     assert rows["h-grc1"].text is None and rows["h-grc1"].error
     got = [(r.document_id, r.pos, r.token) for r in tei.corpus_tokens(spark, str(tmp_path)).orderBy("document_id", "pos").collect()]
-    assert got == [("a.b.c-grc2", 0, "μῆνιν"), ("a.b.c-grc2", 1, "ἄειδε"), ("a.b.c-grc2", 2, "θεὰ"), ("d.e.f-lat1", 0, "uae"), ("d.e.f-lat1", 1, "mihi")]
+    assert got == [("a.b.c-grc2", 0, "κῆπος"), ("a.b.c-grc2", 1, "θάλλει"), ("a.b.c-grc2", 2, "καλῶς"), ("d.e.f-lat1", 0, "cras"), ("d.e.f-lat1", 1, "redibo")]
 
 
-LEXICON = """<TEI><body><entryFree key="mhnis"><orth>m</orth><sense id="n1.1" n="1" level="1">wrath, <tr>anger</tr> <cit n="b" a="&quot;"><bibl>x &amp; y</bibl></cit></sense>
+LEXICON = """<TEI><body><entryFree key="khpos"><orth>k</orth><sense id="n1.1" n="1" level="1">garden, <tr>orchard</tr> <cit n="b" a="&quot;"><bibl>x &amp; y</bibl></cit></sense>
 <sense id="bad" n="2"/><sense id="n1.2"><sense id="n1.3">inner</sense></sense></entryFree><entry key="b"><sense>two</sense></entry></body></TEI>"""
 
 
 def test_lexicon_rows():
     rows = list(tei.lexicon_rows(LEXICON.encode(), "g"))
-    assert [(r["kind"], r["key"], r["xml_id"]) for r in rows] == [("sense", "mhnis", "n1.1"), ("sense", "mhnis", "bad"), ("sense", "mhnis", "n1.2"), ("sense", "mhnis", "n1.3"), ("entry", "mhnis", None), ("sense", "b", None), ("entry", "b", None)]
-    assert rows[0]["text"] == 'wrath, <g>anger</g><cit a="&quot;" n="b"><bibl>x &amp; y</bibl></cit>'
+    assert [(r["kind"], r["key"], r["xml_id"]) for r in rows] == [("sense", "khpos", "n1.1"), ("sense", "khpos", "bad"), ("sense", "khpos", "n1.2"), ("sense", "khpos", "n1.3"), ("entry", "khpos", None), ("sense", "b", None), ("entry", "b", None)]
+    assert rows[0]["text"] == 'garden, <g>orchard</g><cit a="&quot;" n="b"><bibl>x &amp; y</bibl></cit>'
     assert rows[1]["text"] == rows[2]["text"] == tei.NO_MEANING and rows[3]["text"] == "inner"
-    assert rows[4]["text"].startswith('<orth>m</orth><sense id="n1.1" level="1" n="1">wrath, <tr>anger</tr>')
+    assert rows[4]["text"].startswith('<orth>k</orth><sense id="n1.1" level="1" n="1">garden, <tr>orchard</tr>')
 
 
 def test_lexicon_tables(spark, tmp_path):
@@ -49,7 +50,7 @@ def test_lexicon_tables(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("lemma\tdef\nfoo  first thing \n\nbare\nbar\tsecond\n")
     senses, entries = lexica.tables(spark, "X:text:1999.04.0057", str(tmp_path))
     got = [(r.lemma, r.entry_id, r.sense_id, r.level, r.definition[:12]) for r in senses.orderBy("id").collect()]
-    assert got[:3] == [("entry=foo", "-1", "-1", None, "first thing"), ("entry=bar", "-1", "-1", None, "second"), ("entry=mhnis", "1", "1", 1, "wrath, <g>an")]
+    assert got[:3] == [("entry=foo", "-1", "-1", None, "first thing"), ("entry=bar", "-1", "-1", None, "second"), ("entry=khpos", "1", "1", 1, "garden, <g>o")]
     assert got[3][1:4] == ("-1", "-1", -1) and entries.count() == 2
     (tmp_path / "c.xml").write_text("<x><entry key='b'/></x>")
     with pytest.raises(ValueError, match="'b'"):
@@ -58,10 +59,10 @@ def test_lexicon_tables(spark, tmp_path):
 
 def test_morph_records(spark, tmp_path):
     path = tmp_path / "latin.morph.jsonl"
-    path.write_text('{"form": "Feci", "lemma": "facio2", "pos": "verb", "orth": "fēcī"}\n\n{"lemma": "x"}\n{"form": "feci", "lemma": "facio2", "pos": "verb"}\n{"form": "res", "lemma": "res", "pos": "noun", "case": "nominative", "zzz": 1}\n')
+    path.write_text('{"form": "Rexi", "lemma": "rego2", "pos": "verb", "orth": "rēxī"}\n\n{"lemma": "x"}\n{"form": "rexi", "lemma": "rego2", "pos": "verb"}\n{"form": "res", "lemma": "res", "pos": "noun", "case": "nominative", "zzz": 1}\n')
     lemmas, parses = morph.tables(morph.records(spark, str(path)))
-    assert [(r.id, r.headword, r.sequence_number, r.language_code) for r in lemmas.orderBy("id").collect()] == [(1, "facio", 2, "lat"), (2, "res", -1, "lat")]
-    assert [(r.id, r.lemma_id, r.form, r.expanded_form, r.dedup_key) for r in parses.orderBy("id").collect()] == [(1, 1, "feci", "fēcī", "verb"), (2, 2, "res", "res", "nominativenoun")]
+    assert [(r.id, r.headword, r.sequence_number, r.language_code) for r in lemmas.orderBy("id").collect()] == [(1, "rego", 2, "lat"), (2, "res", -1, "lat")]
+    assert [(r.id, r.lemma_id, r.form, r.expanded_form, r.dedup_key) for r in parses.orderBy("id").collect()] == [(1, 1, "rexi", "rēxī", "verb"), (2, 2, "res", "res", "nominativenoun")]
     with pytest.raises(ValueError, match="unknown language"):
         morph.tables(morph.records(spark, str(path), "xx"))
     path.write_text('{"form": \n')
@@ -71,8 +72,8 @@ def test_morph_records(spark, tmp_path):
 
 def test_analysis_xml(spark, tmp_path):
     path = tmp_path / "greek.xml"
-    path.write_text("<r><analysis><form>lo/gos</form><lemma>lo/gos</lemma><pos>noun</pos></analysis></r>")
-    assert [(r.form, r.lemma, r.pos) for r in morph.from_xml(spark, str(path), greek=True).collect()] == [("λόγος", "λόγος", "noun")]
+    path.write_text("<r><analysis><form>ka/pros</form><lemma>ka/pros</lemma><pos>noun</pos></analysis></r>")
+    assert [(r.form, r.lemma, r.pos) for r in morph.from_xml(spark, str(path), greek=True).collect()] == [("κάπρος", "κάπρος", "noun")]
 
 
 def test_numbering(spark):
