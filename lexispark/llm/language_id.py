@@ -8,7 +8,8 @@ penalties, and one temperature is then fitted on a second, disjoint sample.
 Prediction reads nothing but the whole text.
 
 Defined results: a null text, an empty text and a text without letters are
-``und`` with score 0; repeated rows each get the same answer; an empty table
+``und`` with score 0; of languages that are equally likely, the first by name
+is predicted; repeated rows each get the same answer; an empty table
 gives an empty result; without any labelled row every text is ``und``; other
 columns, whatever their names, play no part.
 """
@@ -170,17 +171,19 @@ def train(docs: DataFrame, settings: Settings = Settings(), *, text: str = "text
 
         def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(lang, grams(body, settings)) for body, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-                out = [(lang, g, g.nonzero()[0]) for lang, g in out if g is not None]
+                names = batch.column("lang").to_pylist()
+                out = [(lang, u, g, g.nonzero()[0]) for lang, u, g in zip(names, batch.column("u").to_pylist(), (grams(body, settings) for body in batch.column("text").to_pylist()), strict=True) if g is not None]
                 yield pa.RecordBatch.from_pydict({
                     "lang": pa.array([x[0] for x in out], pa.string()),
-                    "at": pa.array([x[2].astype("<i4").tobytes() for x in out], pa.binary()),
-                    "n": pa.array([x[1][x[2]].astype("<i4").tobytes() for x in out], pa.binary()),
+                    "u": pa.array([x[1] for x in out], pa.float64()),
+                    "at": pa.array([x[3].astype("<i4").tobytes() for x in out], pa.binary()),
+                    "n": pa.array([x[2][x[3]].astype("<i4").tobytes() for x in out], pa.binary()),
                 })
 
-        picked = rows.where(u < odds[F.col("lang")]).orderBy(u, "key").limit(2 * bound * len(languages)).select("text", "lang")
+        # Counts, not texts, are gathered.
+        picked = rows.where(u < odds[F.col("lang")]).select("text", "lang", u.alias("u")).mapInArrow(sparse, "lang string, u double, at binary, n binary")
         got = []
-        for r in picked.mapInArrow(sparse, "lang string, at binary, n binary").collect():
+        for r in picked.orderBy("u", "lang", "at", "n").limit(2 * bound * len(languages)).collect():
             counts = np.zeros(1 << settings.bits, np.int64)
             counts[np.frombuffer(r.at, "<i4")] = np.frombuffer(r.n, "<i4")
             got.append((*weigh(counts, idf), languages.index(r.lang)))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import ngrams
-from lexispark.llm.common import bounded_batches, fresh, share
+from lexispark.llm.common import bounded_batches, fresh, share, slices
 
 STATISTICS = 20
 
@@ -174,24 +174,24 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     total = rows.agg(F.count("key")).first()[0]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [features(x, s).astype("<f2").tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], ["y", "x"])
 
-    def gathered(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = some.select("y", "text").mapInArrow(vectors, "y double, x binary").collect()  # of bounded number
+    def gathered(some: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        got = some.select("y", "text").mapInArrow(vectors, "y double, x binary").limit(2 * bound).collect()  # features, not texts
         return np.array([np.frombuffer(r.x, "<f2") for r in got], np.float64).reshape(len(got), STATISTICS + (1 << s.bits)), np.array([r.y for r in got])
 
     def drawn(wanted: Column, bound: int) -> tuple[np.ndarray, np.ndarray]:
         ids = known.where(wanted).orderBy(share(F.col("key"), 2), "key").limit(2 * bound)
-        return gathered(rows.join(F.broadcast(ids), "key"))
+        return gathered(rows.join(F.broadcast(ids), "key"), 2 * bound)
 
     odds = {name: min(1.0, bound / max(1, n)) for name, bound, n in (("p", s.positive_rows, per.get(1.0, 0)), ("c", s.calibration_rows, sum(per.values())), ("u", s.unlabelled_rows, total))}
     u_of = share(F.col("key"), 1)
     held = 0.25 if odds["c"] > 0.25 else odds["c"]  # of the labelled rows, for calibration alone
     p, _ = drawn((F.col("y") == 1) & (u_of >= held) & (u_of < held + (1 - held) * odds["p"]), s.positive_rows)
     c, y = drawn(u_of < held, s.calibration_rows)
-    u, _ = gathered(rows.where(share(F.col("key"), 4) < odds["u"]).select(F.lit(None).cast("double").alias("y"), "text").limit(2 * s.unlabelled_rows))
+    u, _ = gathered(rows.where(share(F.col("key"), 4) < odds["u"]).select(F.lit(None).cast("double").alias("y"), "text"), s.unlabelled_rows)
     width = STATISTICS + (1 << s.bits)
     if len(p) < 10 or len(u) < 10:
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, 0.0, 0.5, s)
