@@ -8,6 +8,8 @@ never shuffled.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words gives no window; an item shorter than the window is one window;
+rows of one item_id are one item with the windows of all its texts; an item
+with a null id hits words but isn't counted or listed among the items;
 repeated rows each get the same answer; an empty benchmark leaves every
 document clean; other columns play no part.
 """
@@ -31,6 +33,10 @@ from lexispark.llm.common import WORD_PATTERN_BYTES, bounded_batches, drop, fres
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in WORD_PATTERN_BYTES else 32 for c in range(256))
 
 
+#: Stands for a null item id, beside all ids of 64 bits.
+UNNAMED = -(1 << 64)
+
+
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(NORMAL).split() if text else []
 
@@ -155,7 +161,7 @@ def automata(benchmark: DataFrame, settings: Settings, *, text: str = "text", ke
     shares = max(1, -(-size // (2 * settings.words_per_automaton)))
     for k in range(shares):
         some = items if shares == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shares)) == k)
-        yield SuffixAutomaton([(r.item, words(bytes(r.text))) for r in some.orderBy("item").toLocalIterator()], settings.window)
+        yield SuffixAutomaton([(UNNAMED if r.item is None else r.item, words(bytes(r.text))) for r in some.orderBy("item").toLocalIterator()], settings.window)
 
 
 def sha_of_items(items: Iterable[int]) -> str:
@@ -191,7 +197,7 @@ def scan_with(shipped: Broadcast) -> Callable:
             n.append(len(got))
             flat = [x for span in where for x in span]
             spans.append(merge(old["spans"] + flat) if old else flat)
-            items.append(sorted(found.union(old["items"]) if old else found))
+            items.append(sorted((found.union(old["items"]) if old else found) - {UNNAMED}))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["n_words", "spans", "items"])
 
     return scan
