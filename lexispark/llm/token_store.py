@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, how: Chunking
     staged = "kind string, place binary, doc_id long, n int, data binary, lengths binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sent = encoder(tokenizer), set()
+        tokens, sent, here, count = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
         end = np.array([end_id], tokens.dtype).tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -144,7 +144,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, how: Chunking
                         sent.add(d)
                         rows.append(("chunk", d, None, stop - start, piece, None))
                     start = stop
-                rows.append(("recipe", digest(repr(doc_id).encode()), doc_id, len(ids), b"".join(digests), np.array(lengths, "<u4").tobytes()))
+                count += 1  # dealt by place, so that null and repeated ids don't meet
+                rows.append(("recipe", digest(f"{here} {count}".encode()), doc_id, len(ids), b"".join(digests), np.array(lengths, "<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
                 ["kind", "place", "doc_id", "n", "data", "lengths"],
