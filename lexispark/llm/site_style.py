@@ -120,11 +120,8 @@ class Block:
 
 
 def path_hash(parent: int, name: str) -> int:
-    """64-bit FNV-1a of a name on top of its parent's path."""
-    h = parent
-    for b in name.encode("utf-8", "replace"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ 0x2F) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    """64 bits of a name on top of its parent's path."""
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8, key=parent.to_bytes(8, "little")).digest(), "little")
 
 
 PATHS: dict[tuple[int, str], int] = {}
