@@ -198,7 +198,7 @@ class Best:
         self.held, self.waiting = [(q[order], score[order], first[order], name[order])], 0
 
 
-def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: np.ndarray, tables: np.ndarray, block: int, best: Best) -> None:
+def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray], block: int, best: Best) -> None:
     """Adds to best what of a run of vectors may reach the queries' bars, with exact scores."""
     d = asked.shape[1]
     x, first, name = stacked(part, "vector", d), part.column("first").to_numpy(), np.frombuffer(b"".join(part.column("digest").to_pylist()), "V16")
@@ -210,24 +210,35 @@ def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: n
     centre = near.mean(axis=0)
     radius = float(np.sqrt(((near - centre) ** 2).sum(axis=1)).max() + missing.max()) * (1 + 1e-9)
     # What isn't a number can't be ruled out: hence "not less".
-    asks = np.flatnonzero(~(asked @ centre + lengths * radius < best.floor) & ~(lengths * norms.sum(axis=1).max() < best.floor))
-    for at in range(0, len(asks), block):
-        q = asks[at : at + block]
-
-        def exact(i: np.ndarray, j: np.ndarray, q: np.ndarray = q) -> None:
+    reach = ~(asked @ centre + lengths * radius < best.floor) & ~(lengths * norms.sum(axis=1).max() < best.floor)
+    slack = 1e-9 * norms.sum(axis=1)
+    for at, table in zip(range(0, len(asked), block), tables, strict=True):
+        q = np.flatnonzero(reach[at : at + block]) + at
+        if not len(q):
+            continue
+        if len(q) < block // 4:
+            table = table[:, :, q - at]
+        else:
+            q = np.arange(at, min(at + block, len(asked)))
+
+        def exact(j: np.ndarray, i: np.ndarray, q: np.ndarray = q) -> None:
             for b in range(0, len(i), 16_384):
                 who, what = q[i[b : b + 16_384]], j[b : b + 16_384]
                 best.add(who, in_order(x[what], asked[who]), first[what], name[what])
 
-        likely = books.scores(tables[:, :, q] if len(q) < len(asked) else tables, codes) + lengths[q] * (missing[:, None] + books.rounding)
+        likely = books.scores(table, codes) + lengths[q] * (missing[:, None] + books.rounding)
         new = np.flatnonzero(np.isneginf(best.floor[q]))
         if len(new) and len(x) > best.most:  # bars to begin with
             j, i = np.argpartition(-likely[:, new], best.most, axis=0)[: best.most].ravel(), np.tile(new, best.most)
-            exact(i, j)
+            exact(j, i)
             likely[j, i] = -np.inf
             best.thin()
-        j, i = (~(likely < best.floor[q])).nonzero()
-        exact(i, j)
+        may = ~(likely < best.floor[q])
+        rows = np.flatnonzero(may.any(axis=1))
+        # Products first as a whole, up to their rounding, then in order for what is left.
+        may = may[rows] & ~(x[rows] @ asked[q].T + lengths[q] * slack[rows, None] < best.floor[q])
+        j, i = may.nonzero()
+        exact(rows[j], i)
 
 
 def reaching(coded: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
@@ -247,7 +258,7 @@ def reaching(coded: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k
 
         def scored(batches: Iterator[pa.RecordBatch], group: Broadcast = group) -> Iterator[pa.RecordBatch]:
             books, (ids, asked, bar) = shipped.value, group.value
-            lengths, best, tables = np.sqrt((asked**2).sum(axis=1)) * (1 + 1e-9), Best(bar, most), books.tables(asked)
+            lengths, best, tables = np.sqrt((asked**2).sum(axis=1)) * (1 + 1e-9), Best(bar, most), [books.tables(asked[at : at + s.query_block]) for at in range(0, len(asked), s.query_block)]
             for batch in batches:
                 for low in range(0, batch.num_rows, s.run):
                     rerank(batch.slice(low, s.run), books, asked, lengths, tables, s.query_block, best)
