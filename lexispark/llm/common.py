@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,9 +27,20 @@ def sole_cache(name: str, clear: Callable[[], None]) -> None:
         for other in others:
             _CACHES.pop(other)()
         gc.collect()
+        give_back(0)
+    _CACHES[name] = clear
+
+
+_GIVEN_BACK = [0.0]
+
+
+def give_back(every: float = 0.5) -> None:
+    """Freed memory goes back to the system, at most once in so many seconds: workers stay, and an idle one should be small."""
+    if time.monotonic() - _GIVEN_BACK[0] >= every:
+        _GIVEN_BACK[0] = time.monotonic()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # not every system's library can
             ctypes.CDLL(None).malloc_trim(0)
-    _CACHES[name] = clear
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -112,6 +124,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        give_back()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import bounded_batches, written
+from lexispark.llm.common import bounded_batches, give_back, written
 from lexispark.llm.tokens import encoder
 
 
@@ -109,6 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, *, size: int = 4096, curv
             data = [tokens.encode(body) + end for body in batch.column("text").to_pylist()]
             vectors = np.array([document_vector(np.frombuffer(x, tokens.dtype), curve) for x in data]).reshape(len(data), curve.features)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(curve_keys(vectors, curve), pa.int64()), pa.array(data, pa.binary())], ["doc_id", "place", "ids"])
+            give_back()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer).dtype

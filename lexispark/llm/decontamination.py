@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD_PATTERN_BYTES, bounded_batches, drop, fresh, new_path, written
+from lexispark.llm.common import WORD_PATTERN_BYTES, bounded_batches, drop, fresh, give_back, new_path, written
 
 #: Lower-cases A-Z and turns every byte outside words into a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in WORD_PATTERN_BYTES else 32 for c in range(256))
@@ -217,6 +217,7 @@ def clean_with(shipped: Broadcast, max_coverage: float) -> Callable:
                 spans = list(zip(flat[::2], flat[1::2], strict=True))
             keep.append(sum(b - a for a, b in spans) <= max_coverage * len(got))
             bodies.append(cut_spans(body, spans).decode("utf-8", "replace") if body is not None and keep[-1] else None)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(bodies, pa.string()), pa.array(keep, pa.bool_())], ["text", "keep"])
 
     # Else Spark would look at every text twice, once to filter and once for what it returns.

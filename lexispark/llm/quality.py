@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import ngrams
-from lexispark.llm.common import bounded_batches, fresh, share, slices
+from lexispark.llm.common import bounded_batches, fresh, give_back, share, slices
 
 STATISTICS = 20
 
@@ -217,7 +217,9 @@ def scored(docs: DataFrame, model: QualityModel, *, text: str = "text", name: st
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shipped.value.scores(texts.to_pylist()), pa.float64())
+        out = pa.array(shipped.value.scores(texts.to_pylist()), pa.float64())
+        give_back()
+        return out
 
     return docs.withColumn(name, score(F.col(text)))
 

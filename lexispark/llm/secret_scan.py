@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import bounded_batches, fresh
+from lexispark.llm.common import bounded_batches, fresh, give_back
 
 # Public credential formats, and the words that announce or deny a secret.
 FORMATS = {
@@ -293,6 +293,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, *, least: float = 0.5, t
             secrets = [(c, p) for c, p in got if p >= least]
             clean = redact(body, [c for c, _ in secrets]) if secrets else body
             out.append((clean, len(got), len(secrets), [f"{c.kind}:{c.start}:{c.end}:{p:.3f}" for c, p in secrets]))
+        give_back()
         a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.StructArray.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.list_(pa.string()))], ["clean", "n_candidates", "n_secrets", "findings"])
 
