@@ -167,5 +167,71 @@ FROM docs LEFT JOIN same USING (r) LEFT JOIN least USING (node)
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_quality_classifier, op4_additive_search, op5_curve_packing, op6_url_filter, op7_decontamination, op8_secret_scan, op9_token_store, op10_near_dedup)}
-ORACLES: dict[str, str] = {"op4_additive_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_near_dedup": OP10_SQL}
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import piece_encoding
+
+    path = piece_model_path()
+    rows = piece_encoding.encoded(table(spark, sf_dir, "documents", ("doc_id", "text")), path).drop("text")
+    rows = piece_encoding.digested(piece_encoding.decoded(rows, path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import fill_in_middle
+
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents", ("doc_id", "text")))
+    size = lambda c: F.char_length(c).cast("long").alias(f"{c}_chars")
+    digest = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    return out.select("doc_id", "n", "form", size("prefix"), size("middle"), digest(F.col("output"), "output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form")), "restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(d, k, 8) AS BIGINT)) AS h FROM t),
+f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm import lexical_search
+
+    return lexical_search.rank(table(spark, sf_dir, "documents", ("doc_id", "text")), table(spark, sf_dir, "benchmark", ("item_id", "text")))
+
+
+OP13_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM docs WHERE len(w) > 0),
+asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+post AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM post GROUP BY term), total),
+sized AS (SELECT r, doc_id, 100 - 25 + ((25 * len(w) * N) // L) AS m FROM docs, total WHERE len(w) > 0),
+impact AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS s FROM post JOIN sized USING (r) JOIN weights USING (term)),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(q * s) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0) WHERE k <= 20
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_html_extraction, op3_quality_classifier, op4_additive_search, op5_curve_packing, op6_url_filter, op7_decontamination,
+        op8_secret_scan, op9_token_store, op10_near_dedup, op11_piece_encoding, op12_fill_in_middle, op13_lexical_search,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op4_additive_search": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_near_dedup": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_lexical_search": OP13_SQL,
+}
