@@ -22,8 +22,11 @@ empty result; other columns stay, unless they have the name of the added one.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import ahocorasick
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexispark.llm.common import bounded_batches, give_back, slices, sole_cache
+from lexispark.llm.common import bounded_batches, fresh, slices, sole_cache
 
 SPACE = "▁"
 #: Parts that a worker remembers, in two generations, and how long a remembered part may be.
@@ -79,59 +82,62 @@ class PieceModel:
         self.automaton.make_automaton()
         known = {*reached}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known or k == 1), None) for p in reached}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        self.words = Words(self)
         if any(lib.encode(x, add_eos=True) != self.encode(x).tolist() for x in TELLING):
             raise ValueError(f"{path} isn't of the merge type, or normalises texts")
 
     def merged(self, text: str) -> tuple[str, ...]:
         """The pieces of a short text by merging: the best pair first, of equal ones the leftmost."""
+        score, none = self.scores.get, -math.inf
         parts = list(text)
-        while True:
-            best = at = None
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at is None:
-                return tuple(parts)
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+        return tuple(parts)
 
     def fit(self, one: str, other: str) -> bool:
         """Whether two pieces stay as they are beside each other."""
-        found = self.fits.get((one, other))
-        if found is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            found = self.fits[one, other] = one[-1] + other[0] not in self.inner or self.merged(one + other) == (one, other)
+        if one[-1] + other[0] not in self.inner:
+            return True
+        if self.pairs >= PAIRS:
+            self.fits, self.pairs = {}, 0
+        self.pairs += 1
+        found = self.fits.setdefault(one, {})[other] = self.merged(one + other) == (one, other)
         return found
 
     def pieces(self, part: str) -> list[str]:
         """The pieces of a text (spaces marked) by backtracking."""
-        size = len(part)
-        longest = list(part)  # a character that is no piece stands for its bytes
-        backwards = part[::-1]
-        for end, piece in self.automaton.iter(backwards):
-            start = size - 1 - end
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
-        failed = bytearray((size >> 3) + 1)
+        last = len(part) - 1
+        # Matches ending at one place come with the longest first, and the last of a key counts.
+        longest = dict(reversed([*self.automaton.iter(part[::-1])])).get
+        failed, fits, shorter, none = bytearray((last + 1 >> 3) + 1), self.fits, self.shorter, {}
         out: list[str] = []
-        at, piece = 0, longest[0] if size else ""
-        while at < size:
+        at, piece, before = 0, longest(last) or part[0], None  # a character that is no piece stands for its bytes
+        while True:
             end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fit(out[-1], piece)):
-                out.append(piece)
-                at = end
-                piece = longest[at] if at < size else ""
-            elif (shorter := self.shorter.get(piece)) is not None:
-                piece = shorter
+            if not failed[end >> 3] >> (end & 7) & 1:
+                good = True if before is None else fits.get(before, none).get(piece)
+                if self.fit(before, piece) if good is None else good:
+                    out.append(piece)
+                    if end > last:
+                        return out
+                    at, before, piece = end, piece, longest(last - end) or part[end]
+                    continue
+            if (next_one := shorter.get(piece)) is not None:
+                piece = next_one
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
-        return out
+                before = out[-1] if out else None
 
     def ids_of(self, part: str) -> tuple[int, ...]:
         out: list[int] = []
@@ -143,32 +149,19 @@ class PieceModel:
                 out.append(i)
         return tuple(out)
 
-    def part(self, part: str) -> tuple[int, ...]:
-        """Ids of a part between cuts; short ones are remembered."""
-        if (found := self.young.get(part)) is not None:
-            return found
-        found = self.old.pop(part, None) or self.ids_of(part)
-        if len(part) <= REMEMBERED_CHARS:
-            if len(self.young) >= REMEMBERED:
-                self.young, self.old = {}, self.young
-            self.young[part] = found
-        return found
-
-    def cut(self, text: str) -> list[str]:
-        """The text in parts that no merge crosses."""
+    def parts(self, text: str) -> list[str]:
+        """What no merge crosses, each without the mark that it begins with."""
+        if self.spaced and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        text = SPACE + text.replace(" ", SPACE)
         if self.spaced:
-            return WORD.findall(text)
-        edges = [0, *(k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inner), len(text)]
-        return [text[a:b] for a, b in zip(edges, edges[1:])]
+            return [x[1:] for x in WORD.findall(text)]
+        edges = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inner]
+        return [text[a:b] for a, b in zip([0, *edges], [*edges, len(text)])]
 
     def encode(self, text: str | None, end: bool = True) -> np.ndarray:
-        out: list[int] = []
-        if text:
-            for x in self.cut(SPACE + text.replace(" ", SPACE)):
-                out += self.young.get(x) or self.part(x)
-        if end:
-            out.append(self.end)
-        return np.array(out, np.int32)
+        found = [] if not text else map(self.words.__getitem__, self.parts(text)) if self.spaced else [array("i", self.ids_of(x)).tobytes() for x in self.parts(text)]
+        return np.frombuffer(b"".join([*found, array("i", [self.end]).tobytes() if end else b""]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: runs of bytes that are no UTF-8 become replacement characters, the first mark goes."""
@@ -192,6 +185,23 @@ class PieceModel:
         return False
 
 
+class Words(dict):
+    """A word (a part without its first mark) -> its ids as bytes; two generations bound the memory."""
+
+    def __init__(self, owner: PieceModel):
+        super().__init__()
+        self.owner, self.older = owner, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word) or array("i", self.owner.ids_of(SPACE + word)).tobytes()
+        if len(word) < REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 #: A mark or several, and what stands before the next.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -224,47 +234,63 @@ def model(path: str) -> PieceModel:
     return _model(path)
 
 
-def _added(rows: DataFrame, name: str, kind: T.DataType, source: str, value: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """rows with a column that value makes of another one."""
-    kept = [f for f in rows.schema.fields if f.name.lower() != name.lower() or f.name == source]
-    names = [f.name for f in kept]
+def _added(rows: DataFrame, source: str, makers: Mapping[str, tuple[T.DataType, Callable[[pa.Array], pa.Array]]]) -> DataFrame:
+    """rows with columns, each made of the one before it, the first of source; all in one pass of a batch."""
+    taken = {n.lower() for n in makers}
+    kept = [f for f in rows.schema.fields if f.name.lower() not in taken]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            column = value(batch.column(source))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names if n != name), column], [*(n for n in names if n != name), name])
-            give_back()
+            columns, last = [batch.column(f.name) for f in kept], batch.column(source)
+            for _, make in makers.values():
+                last = make(last)
+                columns.append(last)
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *makers])
 
     bounded_batches(rows)
-    return rows.mapInArrow(add, T.StructType([*(f for f in kept if f.name != name), T.StructField(name, kind)]))
+    return rows.mapInArrow(add, T.StructType([*kept, *(T.StructField(n, kind) for n, (kind, _) in makers.items())]))
 
 
-def encoded(docs: DataFrame, path: str, *, text: str = "text", name: str = "ids", end: bool = True) -> DataFrame:
-    """docs with the ids of their whole texts, and the end id if asked for."""
+def arrays(lists: pa.Array) -> Iterator[np.ndarray | None]:
+    """The lists of a column; null ones are None."""
+    values, edges, valid = lists.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False), lists.offsets.to_numpy().tolist(), lists.is_valid().to_pylist()
+    return (values[a:b] if v else None for a, b, v in zip(edges, edges[1:], valid, strict=False))
 
-    def value(texts: pa.Array) -> pa.Array:
-        m = model(path)
-        return pa.array([m.encode(x, end) for x in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return _added(docs, name, T.ArrayType(T.IntegerType()), text, value)
+def encoded(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, end: bool = True) -> DataFrame:
+    """docs with the ids of their whole texts (and the end id if asked for); with the texts that these decode to, where a name is given for them."""
+    makers = {ids: (T.ArrayType(T.IntegerType()), lambda texts: _encoded(model(path), texts, end))}
+    if decoded:
+        makers[decoded] = (T.StringType(), lambda lists: _decoded(model(path), lists))
+    return _added(docs, text, makers)
 
 
 def decoded(rows: DataFrame, path: str, *, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """rows with the texts of their ids."""
+    """rows with the texts of their ids; null ids have none."""
+    return _added(rows, ids, {name: (T.StringType(), lambda lists: _decoded(model(path), lists))})
 
-    def value(lists: pa.Array) -> pa.Array:
-        m = model(path)
-        return pa.array([None if not x.is_valid else m.decode(np.asarray(x.values, np.int32)) for x in lists], pa.string())
 
-    return _added(rows, name, T.StringType(), ids, value)
+def _encoded(m: PieceModel, texts: pa.Array, end: bool) -> pa.Array:
+    found = [m.encode(x, end) for x in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, np.int32))
+
 
+def _decoded(m: PieceModel, lists: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else m.decode(x) for x in arrays(lists)], pa.string())
 
-def digested(rows: DataFrame, path: str, *, ids: str = "ids", name: str = "ids_sha256") -> DataFrame:
-    """rows with the digest of their ids: decimal, joined by one space."""
-    import hashlib
 
-    def value(lists: pa.Array) -> pa.Array:
-        words = model(path).decimals
-        return pa.array([hashlib.sha256(b" ".join(map(words.__getitem__, x.as_py() or ()))).hexdigest() for x in lists], pa.string())
+def digested(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+    """docs with n_tokens, ids_sha256 (decimal ids joined by one space, the end id among them) and decoded_sha256 of their texts."""
 
-    return _added(rows, name, T.StringType(), ids, value)
+    def digests(texts: pa.Array) -> pa.Array:
+        m = model(path)
+        lists = _encoded(m, texts, True)
+        some = [hashlib.sha256(b" ".join(map(m.decimals.__getitem__, x.tolist()))).hexdigest() for x in arrays(lists)]
+        back = [hashlib.sha256(x.encode()).hexdigest() for x in _decoded(m, lists).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(np.diff(lists.offsets.to_numpy()), pa.int64()), pa.array(some), pa.array(back)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    (name,) = fresh(docs, "_digests")
+    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    added = set(kind.names)
+    return _added(docs, text, {name: (kind, digests)}).select(*(c for c in docs.columns if c.lower() not in added), f"{name}.*")

@@ -176,10 +176,7 @@ def piece_model_path() -> str:
 def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm import piece_encoding
 
-    path = piece_model_path()
-    rows = piece_encoding.encoded(table(spark, sf_dir, "documents", ("doc_id", "text")), path).drop("text")
-    rows = piece_encoding.digested(piece_encoding.decoded(rows, path), path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return piece_encoding.digested(table(spark, sf_dir, "documents", ("doc_id", "text")), piece_model_path()).drop("text")
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

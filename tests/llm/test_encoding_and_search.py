@@ -73,6 +73,8 @@ def test_encoding_odd_rows(spark, model_path, library):
     got = sorted((str(r.doc_id), tuple(r.ids), r.decoded) for r in out.collect())
     want = [(str(i), tuple(library.encode(t or "", add_eos=True)), library.decode(library.encode(t or ""))) for i, t, _ in rows]
     assert got == sorted(want)
+    both = piece_encoding.encoded(docs, model_path, decoded="decoded")
+    assert sorted((str(r.doc_id), tuple(r.ids), r.decoded) for r in both.collect()) == got
     assert piece_encoding.encoded(documents(spark, []), model_path).count() == 0
 
 
