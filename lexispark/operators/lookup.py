@@ -2,47 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import bare_form, beta_code_to_greek, lexicon_key, normalize_unicode, query_form
 from lexispark.schemas import LEXICA, SHORT_DEFINITIONS
 
 
-def probes(requests: DataFrame, word: str = "word") -> DataFrame:
-    """(request_id, language_code, tier, matched, value): what each request looks for, tier by tier.
+#: The columns in which a word is looked for, from the first tier on, and what is looked for in each.
+WAYS = (("form", query_form), ("bare_form", lambda _, c: bare_form(c)), ("form_normalized", lambda _, c: normalize_unicode(c)))
+
+
+def _bits(value: Column, spelled_so: Sequence[Column]) -> Column:
+    """A bit for each of the columns that equals the value."""
+    out = F.lit(0)
+    for k, c in enumerate(spelled_so):
+        out = out + F.when(c.eqNullSafe(value), 1 << k).otherwise(0)
+    return out
+
+
+def words_of(requests: DataFrame, *columns: str) -> DataFrame:
+    """(language_code, word): the different words of some of the requests' columns."""
+    words = F.array_compact(F.array(*(F.col(c) for c in columns)))
+    return requests.select("language_code", F.explode(words).alias("word")).distinct()
+
+
+def probes(words: DataFrame) -> DataFrame:
+    """(language_code, word, base, value, ways): what is looked for, and in which columns.
 
     Tiers 1 to 3 look for the word's lower-case form, its bare form and its form
     without accents; for Greek, tiers 4 to 6 do so for its Beta Code conversion
-    where that changes it.
+    where that changes it.  Spellings that are the same are one row.
     """
-    words = requests.where(F.col(word).isNotNull()).select("language_code", F.col(word).alias("word")).distinct()
     words = words.withColumn("greek", F.when(F.col("language_code") == "grc", beta_code_to_greek(F.col("word"))))
-    words = words.select("language_code", "word", F.explode(F.array(F.struct(F.lit(0).alias("base"), F.col("word").alias("spelling")), F.struct(F.lit(3).alias("base"), F.col("greek").alias("spelling")))).alias("s"))
-    words = words.where("s.base = 0 or (s.spelling is not null and s.spelling != word)")
-    spelling = F.col("s.spelling")
-    tiers = F.array(
-        *(F.struct((F.col("s.base") + k).alias("tier"), F.lit(column).alias("matched"), value.alias("value"))
-          for k, column, value in ((1, "form", query_form(F.col("language_code"), spelling)), (2, "bare_form", bare_form(spelling)), (3, "form_normalized", normalize_unicode(spelling))))
-    )
-    words = words.select("language_code", "word", F.explode(tiers).alias("t")).select("language_code", "word", "t.*")
-    return requests.select("request_id", "language_code", F.col(word).alias("word")).join(words, ["language_code", "word"]).drop("word")
+    both = F.array(F.struct(F.lit(0).alias("base"), F.col("word").alias("spelling")), F.struct(F.lit(3).alias("base"), F.col("greek").alias("spelling")))
+    words = words.select("language_code", "word", F.inline(both)).where("base = 0 or (spelling is not null and spelling != word)")
+    tiers = [f"tier{k}" for k in range(len(WAYS))]
+    words = words.select("language_code", "word", "base", *(of(F.col("language_code"), F.col("spelling")).alias(t) for t, (_, of) in zip(tiers, WAYS, strict=True)))
+    words = words.withColumn("value", F.explode(F.array_distinct(F.array(*tiers))))
+    return words.select("language_code", "word", "base", "value", _bits(F.col("value"), [F.col(t) for t in tiers]).alias("ways"))
 
 
-def spellings(parses: DataFrame) -> DataFrame:
-    """(language_code, id, matched, value): each parse's id once for each way of finding it."""
-    ways = F.array(*(F.struct(F.lit(c).alias("matched"), F.col(c).alias("value")) for c in ("form", "bare_form", "form_normalized")))
-    return parses.select("language_code", "id", F.inline(ways))
+def spelled(parses: DataFrame) -> DataFrame:
+    """parses under each of their different spellings (value), with ways: the columns spelled so."""
+    columns = [F.col(c) for c, _ in WAYS]
+    rows = parses.withColumn("value", F.explode(F.array_distinct(F.array(*columns)))).where("value is not null")
+    return rows.select("value", _bits(F.col("value"), columns).alias("ways"), *parses.columns)
 
 
-def lookup(requests: DataFrame, parses: DataFrame, word: str = "word") -> DataFrame:
-    """request_id, tier and parses' columns: every request's candidates from its first tier that has any.
+def matches(probed: DataFrame, index: DataFrame) -> DataFrame:
+    """(language_code, word, tier, parses' columns): a word's candidates from its first tier that has any.
 
-    Ids alone are matched; the parses' other columns are read for what was found.
+    An index without language_code is of the one language that is probed for.
     """
-    found = probes(requests, word).join(spellings(parses), ["language_code", "matched", "value"]).select("request_id", "tier", "id")
-    first = F.min("tier").over(Window.partitionBy("request_id"))
-    return found.withColumn("first", first).where("tier = first").drop("first").join(parses, "id")
+    met = F.col("sought").bitwiseAND(F.col("ways"))
+    found = probed.withColumnRenamed("ways", "sought").join(index, [c for c in ("language_code", "value") if c in index.columns]).withColumn("met", met).where("met != 0")
+    tier = F.col("base") + F.when(F.col("met").bitwiseAND(F.lit(1)) != 0, 1).when(F.col("met").bitwiseAND(F.lit(2)) != 0, 2).otherwise(3)
+    found = found.withColumn("tier", tier).drop("base", "sought", "ways", "met", "value")
+    return found.withColumn("first", F.min("tier").over(Window.partitionBy("language_code", "word"))).where("tier = first").drop("first")
+
+
+def of_requests(requests: DataFrame, matched: DataFrame, word: str = "word") -> DataFrame:
+    """request_id, tier and parses' columns: every request's candidates."""
+    return requests.select("request_id", "language_code", F.col(word).alias("word")).join(matched, ["language_code", "word"]).drop("word")
+
+
+def lookup(requests: DataFrame, parses: DataFrame, word: str = "word") -> DataFrame:
+    """request_id, tier and parses' columns: every request's candidates from its first tier that has any."""
+    return of_requests(requests, matches(probes(words_of(requests, word)), spelled(parses)), word)
 
 
 def document_frequency(candidates: DataFrame, requests: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -63,7 +92,7 @@ def attached(lemmas: DataFrame, senses: DataFrame, entries: DataFrame, known: Da
 
     Only lexica of the lemma's language count; arrays follow the order of ids
     and of (lexicon, key); the short definition is the first sense of the
-    language's short lexicon.
+    language's short lexicon.  Where there are none, the arrays are empty.
     """
     known = registry(lemmas) if known is None else known
     keyed = lemmas.withColumn("lexicon_key", lexicon_key(F.col("headword"), F.col("sequence_number")))
@@ -74,4 +103,5 @@ def attached(lemmas: DataFrame, senses: DataFrame, entries: DataFrame, known: Da
     sense = sense.groupBy("language_code", "lexicon_key").agg(F.array_sort(F.collect_list(row)).alias("senses"), F.min_by("definition", F.when(F.col("is_short"), F.col("id"))).alias("short_definition"))
     entry = entries.withColumnRenamed("key", "lexicon_key").join(F.broadcast(known), "document_id").join(wanted, ["language_code", "lexicon_key"], "left_semi")
     entry = entry.groupBy("language_code", "lexicon_key").agg(F.array_sort(F.collect_list(F.struct("document_id", "text"))).alias("entries"))
-    return keyed.join(sense, ["language_code", "lexicon_key"], "left").join(entry, ["language_code", "lexicon_key"], "left")
+    out = keyed.join(sense, ["language_code", "lexicon_key"], "left").join(entry, ["language_code", "lexicon_key"], "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("senses", "entries")})

@@ -18,10 +18,43 @@ from lexispark.functions.text import fold_key, load_form
 from lexispark.schemas import FEATURES
 
 
+def words_of(text: Column) -> Column:
+    """Runs of letters and marks."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}]+)"), 1)
+
+
 def tokens_of(texts: DataFrame) -> DataFrame:
-    """(document_id, language_code, text) -> TOKENS rows: runs of letters and marks, in order."""
-    words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)
-    return texts.select("document_id", "language_code", F.posexplode(words).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    """(document_id, language_code, text) -> TOKENS rows.
+
+    A row is a chain of its own, also beside others of its document_id (files of
+    one name, say), unless the rows are PARTS: parts of one file go on from each
+    other, by their seams.
+    """
+    rows = texts.select("document_id", "language_code", words_of(F.col("text")).alias("words"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "words"), 1, F.size("words"))
+    rows = rows.where("size(words) > 0").select("document_id", "language_code", F.posexplode(F.arrays_zip(F.col("words").alias("token"), before.alias("before"))).alias("pos", "word"))
+    rows = rows.select("document_id", "language_code", F.col("pos").cast("long").alias("pos"), "word.token", "word.before")
+    return rows.unionByName(seams_of(ends_of(texts))) if "seq" in texts.columns else rows
+
+
+def ends_of(parts: DataFrame) -> DataFrame:
+    """The first and last word of every part of a file."""
+    words = words_of(F.col("text"))
+    return parts.where("file is not null").select("document_id", "language_code", "file", "seq", F.get(words, 0).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"))
+
+
+def seams_of(ends: DataFrame) -> DataFrame:
+    """TOKENS rows of the pairs across parts; parts without words are passed over."""
+    w = Window.partitionBy("document_id", "file", "language_code").orderBy("seq")
+    rows = ends.where("first is not null").withColumn("before", F.lag("last").over(w)).where("before is not null")
+    return rows.select("document_id", "language_code", F.lit(None).cast("long").alias("pos"), F.col("first").alias("token"), "before")
+
+
+def chained(tokens: DataFrame) -> DataFrame:
+    """tokens with before, where they come without: every document one chain, in the order of pos."""
+    if "before" in tokens.columns:
+        return tokens
+    return tokens.withColumn("before", F.lag("token").over(Window.partitionBy("document_id", "language_code").orderBy("pos")))
 
 
 def forms_of(tokens: DataFrame) -> DataFrame:
@@ -49,7 +82,7 @@ def morph_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] =
 
     Subsets with one key are one row, which shows the features of the least of them.
     """
-    seen = forms_of(tokens).groupBy("language_code", "form").agg(F.count(F.lit(1)).alias("c"))
+    seen = forms_of(tokens.where("pos is not null")).groupBy("language_code", "form").agg(F.count(F.lit(1)).alias("c"))
     found = seen.join(candidates_of(parses).select("language_code", "form", "n_parses", *features), ["language_code", "form"])
     vectors = found.groupBy("language_code", *features).agg(F.sum(F.col("c") / F.col("n_parses")).alias("weight"))
     # They are few and each becomes up to 2**15 rows, so they are spread first.
@@ -62,32 +95,34 @@ def morph_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] =
 def prior_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Every pair of a candidate of the previous token and one of this adds 1 / n of this token's candidates.
 
-    Tokens without candidates break the chain; documents start afresh.
+    Tokens without candidates break the chain; texts start afresh.
     """
-    w = Window.partitionBy("document_id", "language_code").orderBy("pos")
-    pairs = forms_of(tokens).select("language_code", "form", F.lag("form").over(w).alias("before")).where("before is not null")
-    pairs = pairs.groupBy("language_code", "before", "form").agg(F.count(F.lit(1)).alias("c"))
+    pairs = chained(tokens).where("before is not null").groupBy("language_code", "before", "token").agg(F.count(F.lit(1)).alias("c"))
+    pairs = forms_of(pairs).withColumn("before", load_form(F.col("language_code"), F.col("before")))
     key = fold_key(*(F.col(c) for c in features))
     known = candidates_of(parses).select("language_code", "form", "n_parses", key.alias("key"))
     # Of a word's parses, those with one key count together.
     now = known.groupBy("language_code", "form", F.col("key").alias("current_feature_key")).agg(F.sum(F.lit(1.0) / F.col("n_parses")).alias("share"))
     was = known.groupBy("language_code", F.col("form").alias("before"), F.col("key").alias("previous_feature_key")).agg(F.count(F.lit(1)).alias("times"))
     rows = pairs.join(now, ["language_code", "form"]).join(was, ["language_code", "before"]).withColumn("count", F.col("c") * F.col("share") * F.col("times"))
-    out = accumulated(rows, ["language_code", "previous_feature_key", "current_feature_key"], [], "count")
-    # Feature columns follow last, once for each pair of keys: the least of those that fold to a key.
-    least = parses.groupBy("language_code", key.alias("key")).agg(F.min(F.struct(*features)).alias("least"))
+    return accumulated(rows, ["language_code", "previous_feature_key", "current_feature_key"], [], "count")
+
+
+def with_features(counts: DataFrame, parses: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Counts of pairs of keys with the features of both: of those that fold to a key, the least."""
+    least = parses.groupBy("language_code", fold_key(*(F.col(c) for c in features)).alias("key")).agg(F.min(F.struct(*features)).alias("least"))
+    out = counts
     for side in ("previous", "current"):
         out = out.join(least.select("language_code", F.col("key").alias(f"{side}_feature_key"), *(F.col(f"least.{c}").alias(f"{side}_{c}") for c in features)), ["language_code", f"{side}_feature_key"])
-    shown = [f"{side}_{c}" for side in ("previous", "current") for c in features]
-    return out.select("language_code", "previous_feature_key", "current_feature_key", *shown, "count")
+    return out
 
 
 def document_counts(tokens: DataFrame, parses: DataFrame) -> DataFrame:
-    """document_id, lemma_id, weighted_frequency: each candidate lemma of a token gets an equal part of it."""
-    seen = forms_of(tokens).groupBy("document_id", "language_code", "form").agg(F.count(F.lit(1)).alias("c"))
+    """document_id, language_code, lemma_id, weighted_frequency: each candidate lemma of a token gets an equal part of it."""
+    seen = forms_of(tokens.where("pos is not null")).groupBy("document_id", "language_code", "form").agg(F.count(F.lit(1)).alias("c"))
     lemmas = candidates_of(parses).select("language_code", "form", "lemma_id", "n_lemmas").distinct()
     rows = seen.join(lemmas, ["language_code", "form"])
-    return rows.groupBy("document_id", "lemma_id").agg(F.sum(F.col("c") / F.col("n_lemmas")).alias("weighted_frequency"))
+    return rows.groupBy("document_id", "language_code", "lemma_id").agg(F.sum(F.col("c") / F.col("n_lemmas")).alias("weighted_frequency"))
 
 
 def accumulated(rows: DataFrame, keys: Sequence[str], shown: Sequence[str], count: str) -> DataFrame:

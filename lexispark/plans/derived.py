@@ -6,10 +6,10 @@ their parses.  Ids are natural keys as text, so no global numbering is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import bare_form, fold_key, normalize_unicode
+from lexispark.functions.text import bare_form, fold_key, load_form, normalize_unicode
 from lexispark.operators import statistics
 
 FEATURES = ("grammatical_case", "number", "part_of_speech", "tense")
@@ -68,8 +68,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests_of(words: DataFrame) -> DataFrame:
     """One request a distinct form: where it first occurs, after which word; spelled as is, elided, in capitals or without accents."""
-    w = Window.partitionBy("document_id", "language_code").orderBy("pos")
-    rows = statistics.forms_of(words).withColumn("prior_word", F.lag("form").over(w))
+    rows = statistics.forms_of(statistics.chained(words)).withColumn("prior_word", load_form(F.col("language_code"), F.col("before")))
     first = rows.groupBy("language_code", "form").agg(F.min(F.struct(F.col("document_id").cast("long").alias("d"), "pos", "document_id", "prior_word")).alias("at"))
     kind = F.char_length("form") % 4
     word = F.when(kind == 1, F.concat(F.lit("'"), "form")).when(kind == 2, F.translate("form", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 3, normalize_unicode(F.col("form"))).otherwise(F.col("form"))

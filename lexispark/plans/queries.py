@@ -164,22 +164,23 @@ def morph_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEXICON}, {BIGRAMS}, {PRIOR} SELECT language_code, previous_feature_key, current_feature_key, round(count, 4) AS count FROM prior")
 def prior_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = D.tokens(spark, sf_dir)
-    out = statistics.prior_counts(words, D.parses_of(words), D.FEATURES)
+    words = checkpointed(D.tokens(spark, sf_dir))
+    out = statistics.prior_counts(words, checkpointed(D.parses_of(words)), D.FEATURES)
     return out.select("language_code", "previous_feature_key", "current_feature_key", F.round("count", 4).alias("count"))
 
 
 @query(f"WITH {LEXICON}, {DOCUMENT} SELECT document_id, lemma_id, round(weighted_frequency, 4) AS weighted_frequency FROM df")
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = D.tokens(spark, sf_dir)
-    return statistics.document_counts(words, D.parses_of(words)).withColumn("weighted_frequency", F.round("weighted_frequency", 4))
+    words = checkpointed(D.tokens(spark, sf_dir))
+    counts = statistics.document_counts(words, checkpointed(D.parses_of(words)))
+    return counts.select("document_id", "lemma_id", F.round("weighted_frequency", 4).alias("weighted_frequency"))
 
 
 @query(f"WITH {LEXICON}, {MORPH} SELECT language_code, feature_key, round(2 * count, 4) AS count FROM morph")
 def upsert_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus' counts added to themselves, each a merge of the counts of two halves of the documents."""
-    words = D.tokens(spark, sf_dir)
-    known = D.parses_of(words)
+    words = checkpointed(D.tokens(spark, sf_dir))
+    known = checkpointed(D.parses_of(words))
     late = F.col("document_id").cast("long") % 2 == 1
     halves = [statistics.morph_counts(words.where(w), known, D.FEATURES) for w in (~late, late)]
     once = statistics.upsert(halves[0], halves[1], ["language_code", "feature_key"], "count")

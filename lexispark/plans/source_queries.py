@@ -16,9 +16,10 @@ from lexispark.operators import lookup, ordering, scoring, statistics
 from lexispark.operators.store import checkpointed, shared_folder
 from lexispark.plans import derived as D
 from lexispark.plans.engine import Engine
-from lexispark.plans.queries import ALL, BIGRAMS, DOCUMENT, KEY, LEXICON, PRIOR, TOKENS, query
+from lexispark.plans.queries import ALL, BIGRAMS, DOCUMENT, EXCLUSIVE, LEXICON, MORPH, PRIOR, REQUESTS, SCORES, TOKENS, _tiers, query
 from lexispark.schemas import FEATURES, LANGUAGES
 from lexispark.sources import lexica, morph, tei
+from lexispark.streaming.corpus import follow
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Beta Code's letters beside Greek ones, for forms of plain Latin letters.
@@ -206,11 +207,11 @@ def beta_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TOKENS}, f AS (SELECT DISTINCT form, regexp_replace(form, '[^{BETA}]', '', 'g') AS b, {_BETA_SQL} AS g FROM fm)
+WITH {TOKENS}, f AS (SELECT DISTINCT form, regexp_replace(form, '[^{BETA}]', '', 'g') AS b, {_BETA_SQL} AS g FROM fm WHERE length(regexp_replace(form, '[^{BETA}]', '', 'g')) > 0)
 SELECT r.form AS request_id, CASE WHEN r.b = r.g THEN 1 ELSE 4 END AS tier, l.form AS id FROM f r JOIN f l ON r.g = l.g""")
 def greek_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greek words asked for in Beta Code: nothing is found as typed, so the converted word is looked up."""
-    forms = statistics.forms_of(D.tokens(spark, sf_dir)).select("form").distinct()
+    forms = checkpointed(statistics.forms_of(D.tokens(spark, sf_dir)).select("form").distinct().where(F.length(beta_word()) > 0))
     g = X.beta_code_to_greek(beta_word())
     known = checkpointed(forms.select(F.col("form").alias("id"), F.lit("grc").alias("language_code"), g.alias("form")))
     known = known.withColumn("bare_form", X.bare_form(F.col("form"))).withColumn("form_normalized", X.normalize_unicode(F.col("form")))
@@ -393,5 +394,96 @@ def response_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parse = lemma.select("*", F.posexplode("lemma.parses").alias("j", "parse"))
     return parse.select(
         "request_id", "word", (F.col("k") + 1).alias("lemma_place"), "lemma.headword", (F.col("j") + 1).alias("parse_place"), "parse.form", *(F.col(f"parse.{c}") for c in D.FEATURES), "parse.is_winner",
-        F.round("lemma.document_frequency", 4).alias("document_frequency"), "lemma.short_definition", F.array_join(F.transform("lemma.senses", lambda s: s["definition"]), ";").alias("definitions"), F.col("lemma.entries")[0]["text"].alias("entry"),
+        F.round("lemma.document_frequency", 4).alias("document_frequency"), "lemma.short_definition", F.array_join(F.transform("lemma.senses", lambda s: s["definition"]), ";").alias("definitions"), F.get("lemma.entries", 0)["text"].alias("entry"),
+    )
+
+
+def parts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file in three parts; two files of neighbouring ids are one document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and text is not null")
+    rows = docs.select("doc_id", statistics.words_of(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    cut = lambda k: F.floor(F.size("w") * k / 3).cast("int")
+    text = F.array_join(F.slice("w", cut(F.col("k")) + 1, cut(F.col("k") + 1) - cut(F.col("k"))), " ")
+    return rows.select(F.floor(F.col("doc_id") / 2).cast("string").alias("document_id"), F.lit("lat").alias("language_code"), F.col("doc_id").cast("string").alias("file"), F.col("k").cast("long").alias("seq"), text.alias("text"))
+
+
+@query(f"""
+WITH {LATIN},
+big AS (SELECT before, form, count(*) AS c FROM (SELECT form, lag(form) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM fm) WHERE before IS NOT NULL GROUP BY ALL)
+SELECT p.dedup_key AS previous_feature_key, k.dedup_key AS current_feature_key, round(sum(c / k.n_parses), 4) AS count FROM big b JOIN amb k ON k.form = b.form JOIN amb p ON p.form = b.before GROUP BY ALL""")
+def file_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files' parts: two files of one document are two chains, a file whose parts come in three batches, in any order, is one."""
+    engine, _ = _loaded_engine(spark, sf_dir)
+    parts, folder, checkpoint = checkpointed(parts_of(spark, sf_dir)), new_folder(spark, "parts"), new_folder(spark, "stream")
+    for batch in range(3):
+        parts.where((F.col("seq") + F.col("file").cast("long")) % 3 == batch).write.mode("append").parquet(folder)
+        follow(engine, folder, checkpoint).awaitTermination()
+    return engine.store.read("prior_frequencies").select("previous_feature_key", "current_feature_key", F.round("count", 4).alias("count"))
+
+
+@query(f"""
+WITH {LATIN}, b AS (SELECT CAST(doc_id // 2 AS VARCHAR) AS document_id, form, count(*) AS c FROM fm GROUP BY ALL)
+SELECT 'document' AS kind, document_id AS of, CAST(lemma_id AS VARCHAR) AS key, round(sum(c / n_lemmas), 4) AS count FROM b JOIN (SELECT DISTINCT form, lemma_id, n_lemmas FROM amb) USING (form) GROUP BY ALL
+UNION ALL SELECT 'words', '', '', round(sum(c), 4) FROM b WHERE form IN (SELECT form FROM amb)""")
+def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches of whole files, one of them told twice: each is appended, and three are merged once they are there."""
+    engine, _ = _loaded_engine(spark, sf_dir)
+    engine.store.fan_in = 3
+    words = checkpointed(statistics.tokens_of(parts_of(spark, sf_dir).where("seq >= 0")))
+    quarter = F.pmod(F.xxhash64("document_id"), F.lit(4))
+    for number in (0, 1, 1, 2, 3):
+        engine.add_tokens(words.where(quarter == number), ("files", number))
+    documents = engine.store.read("document_frequencies").select(F.lit("document").alias("kind"), F.col("document_id").alias("of"), F.col("lemma_id").cast("string").alias("key"), F.round("weighted_frequency", 4).alias("count"))
+    total = engine.store.read("morph_frequencies").where("feature_key = ''").select(F.lit("words"), F.lit(""), F.lit(""), F.round("count", 4))
+    return documents.union(total)
+
+
+def _of_engine(sql: str) -> str:
+    """SQL over the derived lexicon, said of what the engine has loaded."""
+    for a, b in (("FROM fm", "FROM fml"), ("JOIN known", "JOIN knownl"), ("FROM known", "FROM knownl"), ("JOIN lex l", "JOIN lexl l")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+SERVICE = f"""{LOADED},
+fml AS MATERIALIZED (SELECT document_id, doc_id, 'lat' AS language_code, pos, token, form FROM fm),
+lexl AS MATERIALIZED (
+  SELECT 'lat' AS language_code, p.id, lemma_id, p.headword, p.sequence_number, loaded AS form, regexp_replace(loaded, '[()\\\\/*=|+\'\']', '', 'g') AS bare_form, lower(strip_accents(loaded)) AS form_normalized,
+         grammatical_case, number, part_of_speech, tense, dedup_key FROM par p JOIN lem USING (headword, sequence_number)),
+knownl AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY form) AS n_parses FROM lexl JOIN (SELECT form, count(DISTINCT lemma_id) AS n_lemmas FROM lexl GROUP BY form) USING (form)),
+{_of_engine(", ".join((MORPH, BIGRAMS, PRIOR, DOCUMENT, REQUESTS, _tiers("cand", "word"), _tiers("before_cand", "prior_word"), EXCLUSIVE, SCORES)))},
+total AS (SELECT c.request_id, c.id, c.lemma_id,
+  word_score / nullif(sum(word_score) OVER w, 0) AS a, word_score IS NOT NULL AS ha, form_score / nullif(sum(form_score) OVER w, 0) AS b, form_score IS NOT NULL AS hb,
+  prior_score / nullif(sum(prior_score) OVER w, 0) AS c, prior_score IS NOT NULL AS hc, min(c.id) OVER (PARTITION BY c.request_id, c.lemma_id) AS lemma_rank
+  FROM cand c LEFT JOIN ws USING (request_id, id) LEFT JOIN fs USING (request_id, id) LEFT JOIN ps USING (request_id, id) WINDOW w AS (PARTITION BY request_id)),
+won AS (SELECT request_id, id, lemma_rank, row_number() OVER (PARTITION BY request_id ORDER BY round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / (ha::INT + hb::INT + hc::INT), 12) DESC, lemma_rank, id) = 1 AS is_winner FROM total),
+named AS (SELECT *, headword || CASE WHEN sequence_number = -1 THEN '' ELSE CAST(sequence_number AS VARCHAR) END AS lexicon_key FROM cand)"""
+
+
+@query(f"""
+WITH {SERVICE}
+SELECT r.request_id, r.word, CAST(dense_rank() OVER (PARTITION BY r.request_id ORDER BY lemma_rank) AS INTEGER) AS lemma_place, c.headword, c.sequence_number, CAST(row_number() OVER (PARTITION BY r.request_id, c.lemma_id ORDER BY c.id) AS INTEGER) AS parse_place,
+       c.form, c.part_of_speech, c.number, c.tense, c.grammatical_case, is_winner, round(df.weighted_frequency, 4) AS document_frequency, 'see ' || lexicon_key AS short_definition,
+       CASE WHEN length(c.headword) >= 5 THEN reverse(c.headword) || ';see ' || lexicon_key ELSE 'see ' || lexicon_key END AS definitions, CAST(CASE WHEN length(c.headword) >= 5 THEN 1 ELSE 0 END AS INTEGER) AS n_entries
+FROM req r JOIN named c ON c.request_id = r.request_id JOIN won ON won.request_id = c.request_id AND won.id = c.id LEFT JOIN df ON df.document_id = r.document_id AND df.lemma_id = c.lemma_id
+UNION ALL SELECT request_id, word, 0, NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM req WHERE request_id NOT IN (SELECT request_id FROM cand)""")
+def engine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service from end to end: records, lexica and a corpus in a store, then a request for each form of the corpus."""
+    engine, _ = _loaded_engine(spark, sf_dir)
+    words = checkpointed(_as_latin(D.tokens(spark, sf_dir)))
+    engine.add_tokens(words)
+    lemmas = engine.store.read("lemmas").withColumn("key", X.lexicon_key(F.col("headword"), F.col("sequence_number")))
+    none, long = F.lit("-1"), lemmas.where(F.char_length("headword") >= 5)
+    shape = ["id", "entry_id", "sense_id", "lemma", "sense", "level", "definition", "document_id"]
+    of = lambda rows, k, definition, name: rows.select((F.col("id") * 2 + k).alias("id"), none, none, F.concat(F.lit("entry="), "key"), F.lit(None).cast("string"), F.lit(-1), definition, F.lit(name)).toDF(*shape)
+    engine.store.replace("senses", of(lemmas, 1, F.concat(F.lit("see "), "key"), "Logeion-Latin-Shortdef").union(of(long, 0, F.reverse("headword"), "lewis-short")), "document_id", ["Logeion-Latin-Shortdef", "lewis-short"])
+    engine.store.replace("entries", long.select("key", F.lit("<orth/>").alias("text"), F.lit("lewis-short").alias("document_id")), "document_id", ["lewis-short"])
+    asked = checkpointed(D.requests_of(words))
+    out = engine.lookup(asked)
+    lemma = out.select("request_id", "word", F.posexplode_outer("lemmas").alias("k", "lemma"))
+    parse = lemma.select("*", F.posexplode_outer("lemma.parses").alias("j", "parse"))
+    place = lambda c: F.coalesce(F.col(c) + 1, F.lit(0)).alias
+    return parse.select(
+        "request_id", "word", place("k")("lemma_place"), "lemma.headword", "lemma.sequence_number", place("j")("parse_place"), "parse.form", *(F.col(f"parse.{c}") for c in ("part_of_speech", "number", "tense", "grammatical_case", "is_winner")),
+        F.round("lemma.document_frequency", 4).alias("document_frequency"), "lemma.short_definition", F.array_join(F.transform("lemma.senses", lambda s: s["definition"]), ";").alias("definitions"), F.coalesce(F.size("lemma.entries"), F.lit(0)).alias("n_entries"),
     )

@@ -57,12 +57,19 @@ PRIOR_FREQUENCIES = fields(
 SENSES = fields("id long, entry_id string, sense_id string, lemma string, sense string, level int, definition string, document_id string")
 ENTRIES = fields("key string, text string, document_id string")
 REQUESTS = fields("request_id long, word string, language_code string, document_id string, prior_word string")
-TOKENS = fields("document_id string, language_code string, pos long, token string")
+#: A word and the one before it in its text.  Without a place it is a seam: the two stand in neighbouring parts of a file.
+TOKENS = fields("document_id string, language_code string, pos long, token string, before string")
+#: Texts that come in parts: those of one file go on from each other in the order of seq.
+PARTS = fields("document_id string, language_code string, file string, seq long, text string")
+#: A parse under one of its spellings; ways has a bit for each column that is spelled so.
+SPELLINGS = T.StructType([*fields("value string, ways int").fields, *PARSES.fields, *fields("headword string, sequence_number int").fields])
 
+#: Schemas, and the column that tells a row's part (document frequencies are written with their lemmas' language).
 TABLES = {
     "lemmas": (LEMMAS, "language_code"),
     "parses": (PARSES, "language_code"),
-    "document_frequencies": (DOCUMENT_FREQUENCIES, None),
+    "spellings": (SPELLINGS, "language_code"),
+    "document_frequencies": (DOCUMENT_FREQUENCIES, "language_code"),
     "morph_frequencies": (MORPH_FREQUENCIES, None),
     "prior_frequencies": (PRIOR_FREQUENCIES, None),
     "senses": (SENSES, "document_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import bare_form, beta_code_to_greek, canonical_language, fold_key, lemma_parts, load_form, normalize_unicode
 from lexispark.operators.ordering import first_wins, numbered
-from lexispark.operators.store import checkpointed
+from lexispark.operators.store import checkpointed, observed
 from lexispark.schemas import FEATURE_TAGS, LANGUAGES, MORPH_RECORD
 
 
@@ -39,10 +39,10 @@ def records(spark: SparkSession, path: str, language: str | None = None) -> Data
     return _decoded(spark, path, language).where(COMPLETE)
 
 
-def analyses(spark: SparkSession, path: str, language: str | None = None) -> tuple[int, DataFrame]:
-    """The number of all records, and records() as a written table."""
-    found = checkpointed(_decoded(spark, path, language))
-    return found.count(), found.where(COMPLETE)
+def analyses(spark: SparkSession, path: str, language: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """records() as a written table, and the number of all records and of those with form and lemma."""
+    found, told = observed(_decoded(spark, path, language), records=F.count(F.lit(1)), complete=F.count_if(F.expr(COMPLETE)))
+    return found.where(COMPLETE), told
 
 
 def convert_xml(spark: SparkSession, path: str, out: str, greek: bool) -> None:
