@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from lexispark.plans import derived as D
 from lexispark.plans.engine import Engine
 from lexispark.plans.queries import ALL, BIGRAMS, DOCUMENT, EXCLUSIVE, LEXICON, MORPH, PRIOR, REQUESTS, SCORES, TOKENS, _tiers, query
 from lexispark.schemas import FEATURES, LANGUAGES
-from lexispark.sources import lexica, morph, tei
+from lexispark.sources import lexica, morph, tei, tei_lexicon
 from lexispark.streaming.corpus import follow
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -131,7 +132,10 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", *tei.file_columns(F.col("name")))
 
 
-_ENTRY = "'<orth>' || headword || '</orth><sense id=\"n' || length(headword) || '.1\" level=\"1\" n=\"A\">to <tr rend=\"x\">' || headword || '</tr>, <cit a=\"&lt;\" n=\"b\"><bibl>x &amp; y</bibl></cit><sense n=\"a\">in</sense></sense><sense id=\"bad\" level=\"2\"></sense>'"
+_ENTRY = "'<orth xml:lang=\"la\">' || headword || '</orth><sense id=\"n' || length(headword) || '.1\" level=\"1\" n=\"A\">to <tr rend=\"x\">' || headword || '</tr>, <cit a=\"&lt;\" n=\"b\"><bibl>x &amp; y</bibl></cit><sense n=\"a\" xml:id=\"n3.3\">in</sense></sense><sense id=\"bad\" level=\"2\"></sense>'"
+
+
+_TEI_ENTRY = '<entryFree key="%s">\n <orth xml:lang="la">%s</orth><sense n="A" level="1" id="n%d.1">to &mdash;<tr rend="x">%s</tr>, <cit n="b" a="&lt;"><bibl>x &amp; y</bibl></cit><sense xml:id="n3.3" n="a">in</sense></sense>\n<sense level="2" id="bad"/></entryFree>'
 
 
 @query(f"""
@@ -144,14 +148,34 @@ def lexicon_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A TEI file for every lemma: its senses, nested and empty ones too, and its entry, as they are stored."""
     rows = D.lemmas(D.parses(spark, sf_dir))
     xml = F.format_string(
-        '<TEI><body><entryFree key="%s">\n <orth>%s</orth><sense n="A" level="1" id="n%d.1">to <tr rend="x">%s</tr>, <cit n="b" a="&lt;"><bibl>x &amp; y</bibl></cit><sense n="a">in</sense></sense>\n<sense level="2" id="bad"/></entryFree></body></TEI>',
-        "headword", "headword", F.char_length("headword"), "headword",
+        f'<!DOCTYPE TEI SYSTEM "unread.dtd"><TEI><body>{_TEI_ENTRY}</body></TEI>', "headword", "headword", F.char_length("headword"), "headword",
     )
-    out = tei.lexicon_of(rows.select(F.col("lemma_id").alias("file"), xml.cast("binary").alias("content")), lexica.tag_of("some:text:1999.04.0057"))
+    out = tei_lexicon.lexicon_of(rows.select(F.col("lemma_id").alias("file"), xml.cast("binary").alias("content")), lexica.tag_of("some:text:1999.04.0057"))
     ids = X.sense_ids(F.col("xml_id"))
     return out.select(F.col("file").alias("lemma_id"), "kind", F.col("ordinal").cast("int").alias("ordinal"), ids["entry_id"].alias("entry_id"), ids["sense_id"].alias("sense_id"), "sense", X.stored_level(F.col("level")).alias("level"), "text")
 
 
+@query(f"""
+WITH {LEXICON}, l AS (SELECT DISTINCT headword FROM lex)
+SELECT headword AS key, 'entry' AS kind, '-1' AS entry_id, CAST(NULL AS VARCHAR) AS sense, -1 AS level, {_ENTRY} AS text FROM l
+UNION ALL SELECT headword, 'sense', CAST(length(headword) AS VARCHAR), 'A', 1, 'to <g>' || headword || '</g>, <cit a="&lt;" n="b"><bibl>x &amp; y</bibl></cit>' FROM l
+UNION ALL SELECT headword, 'sense', '-1', 'a', -1, 'in' FROM l UNION ALL SELECT headword, 'sense', '-1', NULL, 2, '[no specified meaning]' FROM l""")
+def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI files of many lemmas each, under a declaration and with comments that look like entries; they are read in splits."""
+    heads = D.parses(spark, sf_dir).select("headword").distinct()
+    entries = heads.select(F.format_string(f"<!-- <entry> a > b -->{_TEI_ENTRY}", "headword", "headword", F.char_length("headword"), "headword").alias("value"))
+
+    def whole(batches):
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE TEI SYSTEM "unread.dtd" [ <!ENTITY a "b > c"> ]>\n<TEI><body>']})
+        yield from batches
+        yield pd.DataFrame({"value": ["</body></TEI>"]})
+
+    at = new_folder(spark, "lexicon")
+    entries.mapInPandas(whole, "value string").write.text(at)
+    out = tei_lexicon.lexicon(spark, [at], "g")
+    return out.select("key", "kind", X.sense_ids(F.col("xml_id"))["entry_id"].alias("entry_id"), "sense", X.stored_level(F.col("level")).alias("level"), "text")
+
+
 @query(f"""
 WITH {LEXICON} SELECT row_number() OVER (ORDER BY headword) AS id, 'entry=' || headword AS lemma, 'of ' || length(headword) || ' letters' AS definition, '-1' AS entry_id, '-1' AS sense_id, CAST(NULL AS INTEGER) AS shown_level
 FROM (SELECT DISTINCT headword FROM lex) WHERE length(headword) % 6 <> 5""")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from lexispark.operators.ordering import numbered, suffixed_repeats
-from lexispark.sources import lexica, morph, tei
+from lexispark.sources import lexica, morph, tei, tei_lexicon
 
 CORPUS = "<TEI><text><body><l n='4'>κῆπος θάλλει <note>gloss <bibl>x</bibl></note>καλῶς</l></body></text></TEI>"
 
@@ -38,10 +38,10 @@ LEXICON = """<TEI><body><entryFree key="khpos"><orth>k</orth><sense id="n1.1" n=
 
 
 def test_lexicon_rows():
-    rows = list(tei.lexicon_rows(LEXICON.encode(), "g"))
+    rows = list(tei_lexicon.lexicon_rows(LEXICON.encode(), "g"))
     assert [(r["kind"], r["key"], r["xml_id"]) for r in rows] == [("sense", "khpos", "n1.1"), ("sense", "khpos", "bad"), ("sense", "khpos", "n1.2"), ("sense", "khpos", "n1.3"), ("entry", "khpos", None), ("sense", "b", None), ("entry", "b", None)]
     assert rows[0]["text"] == 'garden, <g>orchard</g><cit a="&quot;" n="b"><bibl>x &amp; y</bibl></cit>'
-    assert rows[1]["text"] == rows[2]["text"] == tei.NO_MEANING and rows[3]["text"] == "inner"
+    assert rows[1]["text"] == rows[2]["text"] == tei_lexicon.NO_MEANING and rows[3]["text"] == "inner"
     assert rows[4]["text"].startswith('<orth>k</orth><sense id="n1.1" level="1" n="1">garden, <tr>orchard</tr>')
 
 
@@ -81,3 +81,53 @@ def test_numbering(spark):
     assert [r.id for r in numbered(rows, ["a"]).orderBy("a").collect()] == list(range(1, 102))
     got = [r.key for r in suffixed_repeats(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a")], "n int, key string"), "key", "n").orderBy("n").collect()]
     assert got == ["a", "a2", "b", "a3"]
+
+
+FIDELITY = """<?xml version="1.0" encoding="UTF-8"?>
+<!-- a > b <entry key="no"> -->
+<!DOCTYPE TEI SYSTEM "nowhere.dtd" [ <!ENTITY own "an own > one"> ]>
+<TEI xmlns:x="u"><body><![CDATA[ <entry key="no"> ]]><?pi > <entry> ?>
+<entryFree key="a > b" id='q"e'><orth xml:lang="la">w</orth><sense xml:id="n9.9" n="1">one &mdash; <foreign xml:lang="greek">two</foreign> &own; > three</sense><entry key="in"><sense id="n1.2">inner</sense></entry></entryFree>
+<div0 n="B"><x:entry key="other"/><ENTRY key="c"/><entry key="d"><sense level="2" id="n4.5"><!-- <entry> > --><hi rend="a>b">kept</hi><![CDATA[ <entry> ]]></sense></entry></div0>
+</body></TEI>
+"""
+
+
+def test_lexicon_names_and_entities():
+    rows = list(tei_lexicon.lexicon_rows(FIDELITY.encode(), "g", chunk=7))
+    assert [(r["kind"], r["entry"], r["ordinal"], r["key"], r["xml_id"]) for r in rows] == [
+        ("sense", 0, 0, "a > b", None), ("sense", 0, 1, "a > b", "n1.2"), ("entry", 0, -1, "a > b", None), ("sense", 0, 2, "in", "n1.2"), ("entry", 0, -1, "in", None),
+        ("entry", 1, -1, "c", None), ("sense", 2, 0, "d", "n4.5"), ("entry", 2, -1, "d", None),
+    ]
+    assert rows[0]["text"] == 'one  <foreign xml:lang="greek">two</foreign> an own > one > three'
+    assert rows[2]["text"].startswith('<orth xml:lang="la">w</orth><sense n="1" xml:id="n9.9">one  <foreign')
+    assert rows[6]["text"] == "<g>kept</g> <entry> "
+    with pytest.raises(Exception, match="undefined entity"):
+        list(tei_lexicon.lexicon_rows(b"<x><entry>&mdash;</entry></x>", "g"))
+
+
+@pytest.mark.parametrize("bytes_a_split", [40, 150, 1 << 20])
+def test_lexicon_splits(spark, tmp_path, bytes_a_split):
+    """Files read in splits of any size give the rows of files read whole."""
+    (tmp_path / "a.xml").write_text(FIDELITY)
+    many = "".join(f'<entry key="k{k}" n="a>b"><sense n="{k}">{"é" * (k % 7)} <!-- > --> text {k}</sense></entry>\n' for k in range(60))
+    (tmp_path / "b.xml").write_text(f"<x>{many}</x>")
+    (tmp_path / "c.xml").write_text("<x><entry key='only'/></x>\n<!-- end -->\n")
+    paths = [str(tmp_path / f"{n}.xml") for n in "abc"]
+    want = [{"file": f"file:{p}", **r} for p in paths for r in tei_lexicon.lexicon_rows(open(p, "rb").read(), "g")]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, str(bytes_a_split))
+    try:
+        df = tei_lexicon.lexicon(spark, paths, "g")
+        if bytes_a_split == 40:
+            assert tei_lexicon._pieces(spark, paths).rdd.getNumPartitions() > 50
+        shown = lambda rows: sorted(str(sorted(r.items())) for r in rows)
+        assert shown(r.asDict() for r in df.collect()) == shown(want)
+        for bad in ("<x><entry key='a'><sense>x</entry></x>", "<x><entry key='a'/>", "<x><entry key='a'/></y>", "<x><entry key='a'>", '<?xml version="1.0" encoding="latin1"?><x/>'):
+            (tmp_path / "bad.xml").write_text(bad)
+            with pytest.raises(Exception):  # noqa: B017
+                tei_lexicon.lexicon(spark, [str(tmp_path / "bad.xml")], "g").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
