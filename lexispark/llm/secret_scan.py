@@ -24,7 +24,7 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -42,8 +42,8 @@ FORMATS = {
     "web_token": r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
     "prefixed": r"\b(?:gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|npm_|hf_|SG\.)[\w.-]{16,}",
     "in_url": r"(?<=://)[^\s:/@]+:[^\s:/@]{4,}(?=@)",
-    "assigned": r"""(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?(?P<value>[^\s"',;]{6,})""",
-    "random": r"(?<![\w+/=-])(?=[A-Za-z+/=_-]{0,40}[0-9])(?=[0-9+/=_-]{0,40}[A-Za-z])[A-Za-z0-9+/=_-]{20,}(?![\w+/=-])",
+    "assigned": r"""(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|credentials?|(?:api|access|auth|secret|private|signing|encryption|session|client|master)[_-]?key)(?:[_-]?(?:key|value|text|string))?["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?(?P<value>[^\s"',;]{6,})""",
+    "random": r"(?<![\w+/=-])[A-Za-z0-9+/=_-]{20,}(?![\w+/=-])",
 }
 ANNOUNCING = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "private")
 DENYING = ("example", "sample", "dummy", "test", "placeholder", "changeme", "your", "xxxx", "sha", "md5", "commit", "checksum", "digest", "uuid", "revision", "hash", "isbn", "lock")
@@ -52,7 +52,16 @@ REPLACEMENT = "[SECRET]"
 FEATURES = ("length", "entropy", "upper", "lower", "digit", "mark", "changes", "unlikely", "runs", "coverage", "hex", "distinct", "announced", "denied_before", "denied_inside", "path_of_code", "path_of_tests", "format")
 #: Holds wherever a pattern can match: texts without it are done.
 HINT = re.compile(r"[A-Za-z0-9+/=_-]{20}|[sS][wW][oO]?[rR]?[dD]|[pP][wW][dD]|[eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[kK][eE][yY]|[eE][nN][tT][iI][aA][lL]|://|eyJ|-----BEGIN|xox[abprs]-|SG\.|AIza|hf_|npm_|k-|k_live|gh[pousr]_|glpat")
-FINDER = re.compile("|".join(f"(?P<{k}>{p.replace('(?i)', '')})" if k != "assigned" else f"(?P<{k}>(?i:{p.replace('(?i)', '')}))" for k, p in FORMATS.items()))
+FINDER = re.compile("|".join(f"(?P<{k}>{p.replace('(?i)', '')})" if k != "assigned" else f"(?P<{k}>(?i:{p.replace('(?i)', '')}))" for k, p in FORMATS.items() if k != "random"))
+RANDOM = re.compile(FORMATS["random"])
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+
+
+def mixed_runs(text: str) -> Iterator[re.Match]:
+    """Matches of the random format: those of its runs that hold letters and digits, wherever in them."""
+    for m in RANDOM.finditer(text):
+        if LETTER.search(text, m.start(), m.end()) and DIGIT.search(text, m.start(), m.end()):
+            yield m
 
 
 @dataclass(frozen=True)
@@ -70,13 +79,24 @@ def candidates(text: str, path: str = "") -> list[Candidate]:
     out = []
     if not HINT.search(text):
         return out
-    for m in FINDER.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "value" else "assigned"
-        start, end = m.span("value") if kind == "assigned" else m.span()
-        out.append(Candidate(kind, start, end, text[start:end], text[max(0, start - 40) : start], path))
+    runs, named = mixed_runs(text), FINDER.search(text)
+    run = next(runs, None)
+    while named or run:
+        # The earlier of both; of two that begin together, the named format.
+        m = named if named and (not run or named.start() <= run.start()) else run
+        out.append(_candidate(text, "random" if m is run else m.lastgroup if m.lastgroup != "value" else "assigned", m, path))
+        if named and named.start() < m.end():
+            named = FINDER.search(text, m.end())
+        while run and run.start() < m.end():
+            run = next(runs, None)
     return out
 
 
+def _candidate(text: str, kind: str, m: re.Match, path: str) -> Candidate:
+    start, end = m.span("value") if kind == "assigned" else m.span()
+    return Candidate(kind, start, end, text[start:end], text[max(0, start - 40) : start], path)
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """Known words, and the log odds of one letter after another in them."""
