@@ -176,10 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [features(x, s).astype("<f2").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("at"), batch.column("key"), pa.array(out, pa.binary())], ["y", "at", "key", "x"])
 
     def gathered(some: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-        got = some.select("y", "text").mapInArrow(vectors, "y double, x binary").limit(2 * bound).collect()  # features, not texts
+        """Features, not texts, in an order of the keys' own, so that a fit doesn't depend on how the rows lie."""
+        got = some.select("y", share(F.col("key"), 9).alias("at"), F.col("key").cast("string").alias("key"), "text").mapInArrow(vectors, "y double, at double, key string, x binary").limit(2 * bound).collect()
+        got.sort(key=lambda r: (r.at, r.key, bytes(r.x)))
         return np.array([np.frombuffer(r.x, "<f2") for r in got], np.float64).reshape(len(got), STATISTICS + (1 << s.bits)), np.array([r.y for r in got])
 
     def drawn(wanted: Column, bound: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     held = 0.25 if odds["c"] > 0.25 else odds["c"]  # of the labelled rows, for calibration alone
     p, _ = drawn((F.col("y") == 1) & (u_of >= held) & (u_of < held + (1 - held) * odds["p"]), s.positive_rows)
     c, y = drawn(u_of < held, s.calibration_rows)
-    u, _ = gathered(rows.where(share(F.col("key"), 4) < odds["u"]).select(F.lit(None).cast("double").alias("y"), "text"), s.unlabelled_rows)
+    u, _ = gathered(rows.where(share(F.col("key"), 4) < odds["u"]).select(F.lit(None).cast("double").alias("y"), "key", "text"), s.unlabelled_rows)
     width = STATISTICS + (1 << s.bits)
     if len(p) < 10 or len(u) < 10:
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, 0.0, 0.5, s)
