@@ -85,13 +85,30 @@ def morph_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] =
     seen = forms_of(tokens.where("pos is not null")).groupBy("language_code", "form").agg(F.count(F.lit(1)).alias("c"))
     found = seen.join(candidates_of(parses).select("language_code", "form", "n_parses", *features), ["language_code", "form"])
     vectors = found.groupBy("language_code", *features).agg(F.sum(F.col("c") / F.col("n_parses")).alias("weight"))
-    # They are few and each becomes up to 2**15 rows, so they are spread first.
-    vectors = vectors.repartition(tokens.sparkSession.sparkContext.defaultParallelism, "language_code", *features)
-    rows = vectors.select("language_code", "weight", F.explode(subsets(present(tuple(features)))).alias("subset"))
-    rows = rows.select("language_code", "weight", *picked(F.col("subset"), features)).withColumn("feature_key", fold_key(*(F.col(c) for c in features)))
+    rows = subset_rows(vectors, features).withColumn("feature_key", fold_key(*(F.col(c) for c in features)))
     return accumulated(rows.withColumnRenamed("weight", "count"), ["language_code", "feature_key"], list(features), "count")
 
 
+#: Features that are dropped or kept between two aggregations.
+TOGETHER = 4
+
+
+def subset_rows(vectors: DataFrame, features: Sequence[str], together: int = TOGETHER) -> DataFrame:
+    """(language_code, features, weight): all subsets of the vectors' features, some features at a time.
+
+    Between two steps, equal rows are added up: vectors that differ in what was
+    dropped go on as one, instead of 2**k rows of each vector at once.
+    """
+    rows = vectors.select("language_code", *features, "weight")
+    for at in range(0, len(features), together):
+        some = tuple(features[at : at + together])
+        rest = [c for c in rows.columns if c not in some]
+        rows = rows.select(*rest, F.explode(subsets(present(some))).alias("subset")).select(*rest, *picked(F.col("subset"), some))
+        if at + together < len(features):
+            rows = rows.groupBy("language_code", *features).agg(F.sum("weight").alias("weight"))
+    return rows
+
+
 def prior_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Every pair of a candidate of the previous token and one of this adds 1 / n of this token's candidates.
 

@@ -19,7 +19,7 @@ from lexispark.plans import derived as D
 from lexispark.plans.engine import Engine
 from lexispark.plans.queries import ALL, BIGRAMS, DOCUMENT, EXCLUSIVE, LEXICON, MORPH, PRIOR, REQUESTS, SCORES, TOKENS, _tiers, query
 from lexispark.schemas import FEATURES, LANGUAGES
-from lexispark.sources import lexica, morph, tei, tei_lexicon
+from lexispark.sources import lexica, morph, tei, tei_elements, tei_lexicon
 from lexispark.streaming.corpus import follow
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -511,3 +511,80 @@ def engine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", "word", place("k")("lemma_place"), "lemma.headword", "lemma.sequence_number", place("j")("parse_place"), "parse.form", *(F.col(f"parse.{c}") for c in ("part_of_speech", "number", "tense", "grammatical_case", "is_winner")),
         F.round("lemma.document_frequency", 4).alias("document_frequency"), "lemma.short_definition", F.array_join(F.transform("lemma.senses", lambda s: s["definition"]), ";").alias("definitions"), F.coalesce(F.size("lemma.entries"), F.lit(0)).alias("n_entries"),
     )
+
+
+#: Documents in a file of the written corpus.
+A_FILE = 20
+
+
+def write_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as TEI files in nested folders: names that come twice, files in another language, and broken ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and text is not null")
+    clean = F.regexp_replace("text", "[\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]", " ")
+    body = F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = docs.select(F.floor(F.col("doc_id") / A_FILE).alias("k"), "doc_id", F.concat(F.lit("<p>"), body, F.lit("</p>")).alias("p"))
+    files = rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), lambda x: x["p"]), "\n").alias("body"))
+    name = F.concat(F.lit("w"), F.floor(F.col("k") / 2).cast("string"), F.when(F.col("k") % 10 == 3, "-eng1").otherwise("-lat1"), F.lit(".xml"))
+    folder = F.concat_ws("/", F.when(F.col("k") % 2 == 0, "a").otherwise("b"), (F.col("k") % 7).cast("string"))
+    xml = F.concat(F.lit("<TEI><text><note>no</note>"), "body", F.lit("</text>"), F.when(F.col("k") % 50 == 7, "").otherwise("</TEI>"))
+    at = new_folder(spark, "corpus")
+
+    def write(batches):
+        from pyarrow import fs  # tasks write the files into the shared folder, whatever kind of store it is
+
+        where, base = fs.FileSystem.from_uri(at)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["xml"], strict=True):
+                where.create_dir(f"{base}/{path.rpartition('/')[0]}", recursive=True)
+                with where.open_output_stream(f"{base}/{path}") as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    files.select(F.concat_ws("/", folder, name).alias("path"), xml.alias("xml")).mapInPandas(write, "written long").agg(F.sum("written")).collect()
+    return at
+
+
+@query(f"""
+WITH {LATIN},
+f AS (SELECT *, doc_id // {A_FILE} AS k FROM fm),
+read AS MATERIALIZED (SELECT * FROM f WHERE k % 10 <> 3 AND k % 50 <> 7),
+big AS (SELECT before, form, count(*) AS c FROM (SELECT form, lag(form) OVER (PARTITION BY k ORDER BY doc_id, pos) AS before FROM read) WHERE before IS NOT NULL GROUP BY ALL),
+files AS (SELECT DISTINCT doc_id // {A_FILE} AS k FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL)
+SELECT 'pair' AS kind, p.dedup_key AS a, k.dedup_key AS b, round(sum(c / k.n_parses), 4) AS count FROM big b JOIN amb k ON k.form = b.form JOIN amb p ON p.form = b.before GROUP BY ALL
+UNION ALL SELECT 'document', 'w' || CAST(k // 2 AS VARCHAR) || '-lat1', CAST(lemma_id AS VARCHAR), round(sum(c / n_lemmas), 4) FROM (SELECT k, form, count(*) AS c FROM read GROUP BY ALL) JOIN (SELECT DISTINCT form, lemma_id, n_lemmas FROM amb) USING (form) GROUP BY k // 2, lemma_id
+UNION ALL SELECT 'counter', 'files', '', count(*) FROM files WHERE k % 10 <> 3 UNION ALL SELECT 'counter', 'failed', '', count(*) FROM files WHERE k % 10 <> 3 AND k % 50 = 7
+UNION ALL SELECT 'counter', 'tokens', '', count(*) FROM read""")
+def corpus_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of files is found, read and added up: what the run tells, pairs within files, and documents of two files."""
+    engine, _ = _loaded_engine(spark, sf_dir)
+    told = engine.aggregate(write_corpus(spark, sf_dir))
+    s, none = engine.store, F.lit("")
+    pairs = s.read("prior_frequencies").select(F.lit("pair").alias("kind"), F.col("previous_feature_key").alias("a"), F.col("current_feature_key").alias("b"), F.round("count", 4).alias("count"))
+    documents = s.read("document_frequencies").select(F.lit("document"), "document_id", F.col("lemma_id").cast("string"), F.round("weighted_frequency", 4))
+    counters = spark.createDataFrame([(name, float(n)) for name, n in told.items()], "name string, n double").select(F.lit("counter"), "name", none, "n")
+    return pairs.union(documents).union(counters)
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, length(t) // 3 AS n, t FROM d)
+SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 0 WHEN doc_id % 5 = 2 THEN 7 ELSE 6 END AS n_elements, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE md5(substr(t, n + 1)) END AS within_md5,
+       CASE WHEN doc_id % 7 = 3 OR length(t) = 0 THEN NULL WHEN doc_id % 5 = 2 THEN 'span/body/div/note' ELSE 'text/body/div/note' END AS above_the_last
+FROM p""")
+def element_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of every document as TEI, some without a root, some broken: what stands in a div, and above the last piece of text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.regexp_replace("text", "[\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]", "").alias("t"))
+    n = F.floor(F.char_length("t") / 3).cast("int")
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    front, middle, last = (escaped(F.substring(F.col("t"), a, size)) for a, size in ((F.lit(1), n), (n + 1, n), (2 * n + 1, F.char_length("t"))))
+    inner = F.concat(F.lit("<front n='&quot;'>"), front, F.lit("</front><body><div><p>"), middle, F.lit("</p><note>"), last, F.lit("</note></div></body>"))
+    i = F.col("doc_id")
+    xml = F.when(i % 7 == 3, F.concat(inner, F.lit("</broken>"))).when(i % 5 == 2, F.concat(inner, F.lit("<back/>"))).otherwise(F.concat(F.lit("<text>"), inner, F.lit("</text>")))
+    found = checkpointed(tei_elements.elements(docs.select("doc_id", xml.alias("xml")), "xml").drop("xml"))
+    within = tei_elements.text_within(found, "doc_id", "div").select("doc_id", F.md5(F.col("text").cast("binary")).alias("within_md5"))
+    final = found.where("tag is null and depth > 0").groupBy("doc_id").agg(F.max("start").alias("at"))
+    outer = found.where("tag is not null").select("doc_id", "start", "end", "tag").join(final, "doc_id").where("at between start and end")
+    above = outer.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "tag"))), lambda x: x["tag"]), "/").alias("above_the_last"))
+    sizes = found.groupBy("doc_id").agg(F.count("tag").cast("int").alias("n_elements"), F.max("depth").alias("deepest"))
+    empty = F.when(F.col("deepest") > 0, F.md5(F.lit("").cast("binary")))
+    return sizes.join(within, "doc_id", "left").join(above, "doc_id", "left").select("doc_id", "n_elements", F.coalesce("within_md5", empty).alias("within_md5"), "above_the_last")

@@ -12,6 +12,7 @@ from lexispark.operators.statistics import ends_of, tokens_of
 from lexispark.operators.store import checkpointed
 from lexispark.plans.engine import Engine
 from lexispark.schemas import PARTS, TOKENS
+from lexispark.sources import tei
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -88,3 +89,14 @@ def follow(engine: Engine, folder: str, checkpoint: str, available_now: bool = T
         return (writer.trigger(availableNow=True) if available_now else writer).start()
     finally:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def follow_corpus(engine: Engine, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Follow a folder of TEI files as Engine.aggregate reads one: each file counts once, in the run that finds it first."""
+    texts = tei.corpus_of(tei.corpus_files(engine.spark.readStream.schema(tei.BINARY_FILES), folder))
+
+    def add(batch: DataFrame, number: int) -> None:
+        engine.add_tokens(checkpointed(batch), (checkpoint, number))
+
+    writer = tokens_of(texts.where("error is null")).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

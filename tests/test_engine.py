@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexispark.cli import main
 from lexispark.operators import statistics
 from lexispark.plans.engine import Engine
-from lexispark.streaming.corpus import follow
+from lexispark.streaming.corpus import follow, follow_corpus
 
 GREEK = [
     {"form": "κῆπον", "lemma": "κῆπος", "pos": "noun", "case": "accusative"},
@@ -105,3 +105,39 @@ def test_a_failed_batch_leaves_the_statistics_as_they_were(spark, tmp_path, monk
         engine.add_tokens(words, ("stream", 3))
     assert abs(total() - before - 1) < 1e-9 and s.read("document_frequencies").count() == documents + 1
     assert len(s._states()) == 2  # older states are tidied away
+
+
+def test_a_corpus_is_followed(spark, tmp_path):
+    """Files found by a run count in it alone; broken ones and those of other languages don't."""
+    engine = store(spark, tmp_path)
+    total = lambda: {r.feature_key: r["count"] for r in engine.store.read("morph_frequencies").collect()}[""]
+    before, folder = total(), tmp_path / "growing" / "sub"
+    folder.mkdir(parents=True)
+    (folder / "x-grc1.xml").write_text("<t>κῆπον τέμνε</t>")
+    (folder / "y-eng1.xml").write_text("<t>κῆπον</t>")
+    (folder / "z-grc1.xml").write_text("<t>κῆπον")
+    def counted() -> float:
+        follow_corpus(engine, str(tmp_path / "growing"), str(tmp_path / "corpus-checkpoint")).awaitTermination(200)
+        return total() - before
+
+    assert counted() == pytest.approx(2) and counted() == pytest.approx(2)
+    (folder / "w-grc1.xml").write_text("<t>κῆπον</t>")
+    assert counted() == pytest.approx(3)
+
+
+def test_commands(spark, tmp_path, capsys):
+    """load, ingest and aggregate by the command line tell what the engine tells."""
+    (tmp_path / "greek.morph.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in GREEK))
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus" / "one-grc1.xml").write_text("<t>κῆπον τέμνε</t>")
+    (tmp_path / "short.tsv").write_text("τέμνω to cut\nκῆπος garden\n")
+    db = ["-d", str(tmp_path / "store")]
+    assert json.loads(main([*db, "load", str(tmp_path / "greek.morph.jsonl")], spark)) == {"analyses": 6, "parses": 5}
+    assert json.loads(main([*db, "load", "-n", "-l", "grc", str(tmp_path / "greek.morph.jsonl")], spark)) == {"analyses": 6, "parses": 5}
+    assert json.loads(main([*db, "ingest", "Logeion-Greek-Shortdef", str(tmp_path / "short.tsv")], spark)) == {"senses": 2, "entries": 0}
+    assert json.loads(main([*db, "aggregate", str(tmp_path / "corpus")], spark)) == {"files": 1, "failed": 0, "tokens": 2}
+    got = json.loads(main([*db, "lookup", "--document", "one-grc1", "--prior", "κῆπον", "te/mne"], spark))
+    assert got["lemmas"][0]["short_definition"] == "to cut" and got["lemmas"][0]["document_frequency"] == 0.5 and got["lemmas"][0]["entries"] == []
+    with pytest.raises(SystemExit) as stopped:
+        main(["--help"], spark)
+    assert stopped.value.code == 0 and "aggregate" in capsys.readouterr().out

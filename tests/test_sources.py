@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from lexispark.operators.ordering import numbered, suffixed_repeats
-from lexispark.sources import lexica, morph, tei, tei_lexicon
+from lexispark.sources import lexica, morph, tei, tei_elements, tei_lexicon
 
 CORPUS = "<TEI><text><body><l n='4'>κῆπος θάλλει <note>gloss <bibl>x</bibl></note>καλῶς</l></body></text></TEI>"
 
@@ -131,3 +131,15 @@ def test_lexicon_splits(spark, tmp_path, bytes_a_split):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_element_list(spark):
+    shown = lambda text: [(r[0], r[1], r[2], r[3], r[5]) for r in tei_elements.element_list(text)]
+    assert shown("<a>x<b k='1'>y</b><!-- no -->z<c/></a>") == [(0, 5, 0, "a", None), (1, 1, 1, None, "x"), (2, 3, 1, "b", None), (3, 3, 2, None, "y"), (4, 4, 1, None, "z"), (5, 5, 1, "c", None)]
+    assert shown("x <b>y</b>") == [(0, 3, 0, "span", None), (1, 1, 1, None, "x "), (2, 3, 1, "b", None), (3, 3, 2, None, "y")]
+    assert shown("x < y") == [(0, 0, 0, None, "x < y")] and shown("") == [(0, 0, 0, "span", None)]
+    docs = spark.createDataFrame([(1, "<a>x<b>y<b>z</b></b><b>w</b></a>"), (2, None), (3, "plain")], "id long, t string")
+    found = tei_elements.elements(docs, "t")
+    assert {r.id: r.n for r in found.groupBy("id").count().withColumnRenamed("count", "n").collect()} == {1: 8, 3: 2}
+    assert [(r.id, r.text) for r in tei_elements.text_within(found, "id", "b").collect()] == [(1, "yzw")]
+    assert found.where("tag = 'b'").first().attributes == {}

@@ -82,3 +82,19 @@ def test_upsert_adds_up(spark):
     two, one = (statistics.morph_counts(token_rows(spark, {"d": ["noun"] * n}), known) for n in (2, 1))
     got = {x.feature_key: x["count"] for x in statistics.upsert(two, one, ["language_code", "feature_key"], "count").collect()}
     assert got == {"": 3.0, "genitive": 3.0, "noun": 3.0, "genitivenoun": 3.0}
+
+
+def test_subsets_some_features_at_a_time(spark):
+    """All subsets come out with their weights, through fewer rows than of every vector at once."""
+    r = random.Random(6)
+    rows = [("lat", *("x" if r.random() < 0.7 else None for _ in FEATURES), 1.0) for _ in range(80)]
+    vectors = spark.createDataFrame(rows, ", ".join(["language_code string", *(f"{c} string" for c in FEATURES), "weight double"]))
+    want = defaultdict(float)
+    for row in rows:
+        there = [k for k, v in enumerate(row[1:-1]) if v]
+        for m in range(1 << len(there)):
+            want[tuple(v if k in there and m >> there.index(k) & 1 else None for k, v in enumerate(row[1:-1]))] += 1.0
+    out = statistics.subset_rows(vectors, FEATURES)
+    got = {tuple(x[c] for c in FEATURES): x["w"] for x in out.groupBy(*FEATURES).agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "w").collect()}
+    assert got == want
+    assert out.count() < sum(1 << sum(v is not None for v in row[1:-1]) for row in rows) / 2
