@@ -62,9 +62,11 @@ def forms_of(tokens: DataFrame) -> DataFrame:
 
 
 def candidates_of(parses: DataFrame) -> DataFrame:
-    """parses with n_parses and n_lemmas of their form."""
+    """parses with n_parses and n_lemmas of their form; stored ones have them already."""
+    if {"n_parses", "n_lemmas"} <= {*parses.columns}:
+        return parses
     w = Window.partitionBy("language_code", "form")
-    return parses.withColumn("n_parses", F.count(F.lit(1)).over(w)).withColumn("n_lemmas", F.size(F.collect_set("lemma_id").over(w)))
+    return parses.withColumn("n_parses", F.count(F.lit(1)).over(w)).withColumn("n_lemmas", F.size(F.collect_set("lemma_id").over(w)).cast("long"))
 
 
 def ambiguity(parses: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -35,7 +36,7 @@ RANGED = {"senses": ["lemma"], "entries": ["key"], **{name: keys for name, (keys
 BUCKETED = {"spellings": "value"}
 #: So many runs of one level and part are merged into one of the next.
 FAN_IN = 8
-VERSION = 3
+VERSION = 4
 PART = "_part"
 
 
@@ -50,13 +51,31 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths of the tables that the innermost block of temporary() has written.
+_TEMPORARY: list[list[str]] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are checkpointed in the block are deleted at its end: what came of them has been written by then."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def observed(df: DataFrame, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
     """checkpointed(df), and aggregates of its rows, told by the job that writes it."""
     told = Observation(f"counters-{uuid.uuid4().hex}")
@@ -171,16 +190,16 @@ class Store:
             parts = [r[part] for r in rows.select(part).distinct().collect()]  # languages
             if len(parts) > 1:
                 return [run for p in parts for run in self._written(name, rows.where(F.col(part) == p), level, buckets)]
-            rows.select(*columns).repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", f"{self.path}/{path}").saveAsTable(table)
+            rows.select(*columns).repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("compression", "zstd").option("path", f"{self.path}/{path}").saveAsTable(table)
             return [{"path": path, "part": p, "level": level, "table": table, "buckets": buckets} for p in parts]
         rows = rows.select(*columns, *([F.col(part).alias(PART)] if part else []))
         if name in RANGED:
             keys = [*([PART] if part else []), *RANGED[name]]
             rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
         if not part:
-            rows.write.parquet(f"{self.path}/{path}")
+            rows.write.option("compression", "zstd").parquet(f"{self.path}/{path}")
             return [{"path": path, "part": None, "level": level}]
-        rows.write.partitionBy(PART).parquet(f"{self.path}/{path}")
+        rows.write.option("compression", "zstd").partitionBy(PART).parquet(f"{self.path}/{path}")
         return [{"path": f"{path}/{f}", "part": unquote(f.split("=", 1)[1]), "level": level} for f in self.folders(path) if f.startswith(f"{PART}=")]
 
     def commit(self, changes: Mapping[str, DataFrame | Change], batch: tuple[str, int] | None = None) -> None:

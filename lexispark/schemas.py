@@ -61,13 +61,15 @@ REQUESTS = fields("request_id long, word string, language_code string, document_
 TOKENS = fields("document_id string, language_code string, pos long, token string, before string")
 #: Texts that come in parts: those of one file go on from each other in the order of seq.
 PARTS = fields("document_id string, language_code string, file string, seq long, text string")
+#: A stored parse, with the numbers of parses and lemmas of its form.
+CANDIDATES = T.StructType([*PARSES.fields, *fields("n_parses long, n_lemmas long").fields])
 #: A parse under one of its spellings; ways has a bit for each column that is spelled so.
 SPELLINGS = T.StructType([*fields("value string, ways int").fields, *PARSES.fields, *fields("headword string, sequence_number int").fields])
 
 #: Schemas, and the column that tells a row's part (document frequencies are written with their lemmas' language).
 TABLES = {
     "lemmas": (LEMMAS, "language_code"),
-    "parses": (PARSES, "language_code"),
+    "parses": (CANDIDATES, "language_code"),
     "spellings": (SPELLINGS, "language_code"),
     "document_frequencies": (DOCUMENT_FREQUENCIES, "language_code"),
     "morph_frequencies": (MORPH_FREQUENCIES, None),

@@ -241,6 +241,16 @@ def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select(F.col(f"{meta}.file_path").alias("file"), F.col(f"{meta}.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("piece"))
 
 
+def _merged(runs: list[list]) -> list[list]:
+    """Runs that don't differ any more, as one."""
+    out: dict[tuple, list] = {}
+    for run in runs:
+        same = out.setdefault((run[0], run[1], tuple(run[2].items()), run[3]), run)
+        if same is not run:
+            same[4] += run[4]
+    return [*out.values()]
+
+
 def _summaries(pieces: DataFrame) -> DataFrame:
     """For every split and state before it: the state after it, the change of depth, and how many entries begin at each depth under the first."""
 
@@ -248,15 +258,22 @@ def _summaries(pieces: DataFrame) -> DataFrame:
         found: dict[tuple[str, int], list[list]] = {}
         for batch in batches:
             for file, start, piece in zip(batch["file"], batch["start"], batch["piece"], strict=True):
-                # Each state before: [state now, depth, {depth: entries that begin there}, document type declaration].
-                for run in found.setdefault((file, start), [[s, 0, {}, ""] for s in STATES]):
-                    if run[1] <= 0 and _begins(run[0], piece):
+                # Runs that have come to one state and depth go on as one: [state, depth, {depth: entries that begin there}, declaration, states before].
+                runs = found.setdefault((file, start), [[x, 0, {}, "", [k]] for k, x in enumerate(STATES)])
+                steps = {}
+                for run in runs:
+                    state = run[0]
+                    if run[1] <= 0 and _begins(state, piece):
                         run[2][run[1]] = run[2].get(run[1], 0) + 1
-                    if run[0] == DOCTYPE or (not run[0] and "<!DOCTYPE" in piece):
-                        run[3] += (piece if run[0] else piece[piece.index("<!DOCTYPE") :]) + ">"
-                    run[0], change = step(run[0], piece)
+                    if state == DOCTYPE or (not state and "<!DOCTYPE" in piece):
+                        run[3] += (piece if state else piece[piece.index("<!DOCTYPE") :]) + ">"
+                    if state not in steps:
+                        steps[state] = step(state, piece)
+                    run[0], change = steps[state]
                     run[1] += change
-        rows = [(file, start, k, run[0], run[1], [*run[2]], [*run[2].values()], run[3]) for (file, start), runs in found.items() for k, run in enumerate(runs)]
+                if len(runs) > 1 and len({r[0] for r in runs}) < len(runs):
+                    found[file, start] = _merged(runs)
+        rows = [(file, start, k, run[0], run[1], [*run[2]], [*run[2].values()], run[3]) for (file, start), runs in found.items() for run in runs for k in run[4]]
         yield pd.DataFrame(rows, columns=["file", "start", "before", "after", "change", "depths", "begun", "declared"])
 
     return pieces.drop("place").mapInPandas(tell, "file string, start long, before int, after string, change int, depths array<int>, begun array<int>, declared string")
@@ -267,7 +284,7 @@ def lexicon(spark: SparkSession, paths: list[str], tag: str) -> DataFrame:
     pieces = _pieces(spark, paths)
     told: dict[str, dict[int, dict[int, tuple]]] = {}
     declared: dict[str, str] = {}
-    for r in _summaries(pieces).toLocalIterator():  # a few rows for each split of a file
+    for r in _summaries(pieces).collect():  # a few rows for each split of a file
         told.setdefault(r.file, {}).setdefault(r.start, {})[r.before] = (r.after, r.change, dict(zip(r.depths, r.begun, strict=True)), r.declared)
     begins: dict[tuple[str, int], tuple[str, int, int]] = {}
     for file, splits in told.items():
@@ -281,18 +298,26 @@ def lexicon(spark: SparkSession, paths: list[str], tag: str) -> DataFrame:
         raise ValueError("the document type declarations are too large")
     known = spark.sparkContext.broadcast((begins, declared))  # a row a split, and small declarations
 
+    def put(rows: list[list], file: str, number: int, start: int, place: int, text: str) -> None:
+        if rows and rows[-1][0] == file and rows[-1][1] == number and rows[-1][2] == start:
+            rows[-1][4].append(text)
+        else:
+            rows.append([file, number, start, place, [text]])
+
     def belong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[tuple[str, int], Reader] = {}
         names = ["file", "number", "start", "place", "text"]
         for batch in batches:
-            rows = []
+            rows: list[list] = []  # what follows in one entry, or outside of all, is one row
             for file, start, place, piece in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "place", "piece")), strict=True):
                 reader = readers.get((file, start)) or readers.setdefault((file, start), Reader(*known.value[0][file, start]))
                 number, at = reader.take(piece)
                 if at or not number:
-                    rows.append((file, 0, start, place, piece[:at] if number else piece + ">"))
+                    put(rows, file, 0, start, place, piece[:at] if number else piece + ">")
                 if number:
-                    rows.append((file, number, start, place, piece[at:] + ">"))
+                    put(rows, file, number, start, place, piece[at:] + ">")
+            for row in rows:
+                row[4] = "".join(row[4])
             columns = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names)
 

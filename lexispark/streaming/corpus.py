@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lexispark.operators.statistics import ends_of, tokens_of
-from lexispark.operators.store import checkpointed
+from lexispark.operators.store import checkpointed, temporary
 from lexispark.plans.engine import Engine
 from lexispark.schemas import PARTS, TOKENS
 from lexispark.sources import tei
@@ -80,7 +80,8 @@ def follow(engine: Engine, folder: str, checkpoint: str, available_now: bool = T
     words = tokens_of(parts.drop("file", "seq")).unionByName(seams)
 
     def add(batch: DataFrame, number: int) -> None:
-        engine.add_tokens(checkpointed(batch), (checkpoint, number))
+        with temporary(engine.spark):
+            engine.add_tokens(checkpointed(batch), (checkpoint, number))
 
     writer = words.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     before = spark.conf.get(PROVIDER, None)
@@ -96,7 +97,8 @@ def follow_corpus(engine: Engine, folder: str, checkpoint: str, available_now: b
     texts = tei.corpus_of(tei.corpus_files(engine.spark.readStream.schema(tei.BINARY_FILES), folder))
 
     def add(batch: DataFrame, number: int) -> None:
-        engine.add_tokens(checkpointed(batch), (checkpoint, number))
+        with temporary(engine.spark):
+            engine.add_tokens(checkpointed(batch), (checkpoint, number))
 
     writer = tokens_of(texts.where("error is null")).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

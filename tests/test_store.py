@@ -48,7 +48,8 @@ def test_batches_are_appended_and_merged(spark, tmp_path):
 def test_a_batch_writes_what_it_holds(spark, tmp_path):
     """A small batch into a large table writes little, whatever lies there."""
     store = Store(spark, str(tmp_path / "s"))
-    store.accumulate(counts(spark, [("lat", f"key number {k}", 1.0) for k in range(50_000)]))
+    r = random.Random(3)
+    store.accumulate(counts(spark, [("lat", f"key number {k} {r.random()}" if k != 7 else "key number 7", 1.0) for k in range(20_000)]))
     before = size(tmp_path / "s")
     store.accumulate(counts(spark, [("lat", "key number 7", 1.0)]))
     assert size(tmp_path / "s") - before < before / 20
@@ -127,7 +128,7 @@ def test_versions(spark, large):
     names = [n for n in TABLES if n != "spellings"]
     rows = lambda: {n: sorted(map(str, store.read(n).collect())) for n in names}
     before = rows()
-    assert migrations.migrate(store, 1) == [2, 1]
+    assert migrations.migrate(store, 1) == [3, 2, 1]
     assert all(isinstance(path, str) for path in store.state()["tables"].values()) and "spellings" not in store.state()["tables"]
     again = Engine(spark, store.path)  # opening it takes the steps
     assert store.state()["version"] == VERSION and rows() == before
