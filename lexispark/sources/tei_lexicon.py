@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 NO_MEANING = "[no specified meaning]"
 LEXICON_ROWS = "file string, kind string, entry long, ordinal long, key string, xml_id string, sense string, level string, text string"
 COLUMNS = ["file", "kind", "entry", "ordinal", "key", "xml_id", "sense", "level", "text"]
-#: Document type declarations go to every task, so they must be small.
-MOST_DECLARED = 1 << 20
+#: A file's document type declaration goes to every task, so it must be small.
+MOST_DECLARED = 1 << 16
 
 
 @dataclass
@@ -265,14 +265,13 @@ def _summaries(pieces: DataFrame) -> DataFrame:
                     state = run[0]
                     if run[1] <= 0 and _begins(state, piece):
                         run[2][run[1]] = run[2].get(run[1], 0) + 1
-                    if state == DOCTYPE or (not state and "<!DOCTYPE" in piece):
+                    if (state == DOCTYPE and len(run[3]) <= MOST_DECLARED) or (not state and "<!DOCTYPE" in piece):
                         run[3] += (piece if state else piece[piece.index("<!DOCTYPE") :]) + ">"
                     if state not in steps:
                         steps[state] = step(state, piece)
                     run[0], change = steps[state]
                     run[1] += change
-                if len(runs) > 1 and len({r[0] for r in runs}) < len(runs):
-                    found[file, start] = _merged(runs)
+            found = {split: _merged(runs) for split, runs in found.items()}
         rows = [(file, start, k, run[0], run[1], [*run[2]], [*run[2].values()], run[3]) for (file, start), runs in found.items() for run in runs for k in run[4]]
         yield pd.DataFrame(rows, columns=["file", "start", "before", "after", "change", "depths", "begun", "declared"])
 
@@ -294,8 +293,8 @@ def lexicon(spark: SparkSession, paths: list[str], tag: str) -> DataFrame:
             after, change, begun, declaration = splits[start][STATES.index(state)]
             declared[file] = declared.get(file, "") + declaration
             state, number, depth = after, number + begun.get(-depth, 0), depth + change
-    if sum(map(len, declared.values())) > MOST_DECLARED:
-        raise ValueError("the document type declarations are too large")
+    if any(len(x) > MOST_DECLARED for x in declared.values()):
+        raise ValueError(f"a document type declaration has more than {MOST_DECLARED} characters")
     known = spark.sparkContext.broadcast((begins, declared))  # a row a split, and small declarations
 
     def put(rows: list[list], file: str, number: int, start: int, place: int, text: str) -> None:
