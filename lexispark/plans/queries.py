@@ -164,7 +164,7 @@ def morph_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEXICON}, {BIGRAMS}, {PRIOR} SELECT language_code, previous_feature_key, current_feature_key, round(count, 4) AS count FROM prior")
 def prior_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = checkpointed(D.tokens(spark, sf_dir))
+    words = checkpointed(D.tokens(spark, sf_dir).select("language_code", "token", "before"))
     out = statistics.prior_counts(words, checkpointed(D.parses_of(words)), D.FEATURES)
     return out.select("language_code", "previous_feature_key", "current_feature_key", F.round("count", 4).alias("count"))
 
