@@ -17,7 +17,7 @@ No pair is made within a component or for each pair of a bucket's nodes: a group
 of n near copies around a common text costs work in proportion to n.  At a similarity of exactly 0.8
 the bands (36 of 5 registers) miss a pair of nodes with a probability of 6.2e-7,
 and the estimate, which gives up pairs 5.5 deviations under the threshold
-unconfirmed, with one of 1.4e-7: together under 1e-6.
+unconfirmed, with one of 1.65e-7: together 7.9e-7.
 
 Defined results: a text without words has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows repeated
