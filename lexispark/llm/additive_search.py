@@ -6,12 +6,15 @@ bounded sample; every vector is encoded by a beam search over them and keeps
 its codes, the norm of their sum and the norm of what they leave.
 
 Coded vectors lie in runs along the order of their codes, so a run's vectors
-share their first codewords where the data have clusters.  Queries go to the
-runs in broadcast groups of bounded size.  A run whose ball (centre and radius
-of the codes' sums, and the largest residual norm) can't reach a query's bar is
-passed over; else lookup tables give the codes' scores, and vectors whose score
-and residual norm together can reach the bar are reranked with exact inner
-products.  Each task keeps a query's best few and raises its bar by them.
+share their first codewords where the data have clusters.  Neighbouring runs
+make a block of bounded bytes, and queries are packed in groups.  One job lets
+every group meet every block: a task holds a block and the groups stream past,
+so vectors are read once and queries once a block, however many there are of
+either.  A run whose ball (centre and radius of the codes' sums, and the largest
+residual norm) can't reach a query's bar is passed over; else lookup tables give
+the codes' scores, and vectors whose score and residual norm together can reach
+the bar are reranked with exact inner products.  A query's bar rises by the best
+few that a block holds.
 
 Bars come from a first pass over a part of the vectors (about the square root
 of their number, in units of a task's share): the k-th nearest of any part is
@@ -39,11 +42,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import bounded_batches, forget, new_path, written
+from lexispark.llm.common import bounded_batches, forget, written
 
 
 @dataclass(frozen=True)
@@ -53,11 +56,13 @@ class Settings:
     sample_rows: int = 8000
     beam: int = 4
     rounds: int = 6
-    #: Queries in one broadcast, queries and vectors that are scored at a time.
+    #: Queries that go to a block together, queries and vectors that are scored at a time.
     query_group: int = 2048
     query_block: int = 256
     run: int = 1024
-    #: Vectors for a task of the first pass.
+    #: Bytes of the coded vectors that a task holds.
+    block_bytes: int = 64 << 20
+    #: The first pass looks at the square root of this times half the number of vectors.
     share: int = 16_384
 
 
@@ -176,7 +181,7 @@ def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """A task's best rows of each query of a group: exact scores of classes, at most ``most`` a query."""
+    """A block's best rows of each query of a group: exact scores of classes, at most ``most`` a query."""
 
     def __init__(self, bar: np.ndarray, most: int):
         self.floor, self.most, self.waiting = bar.copy(), most, 0
@@ -198,20 +203,25 @@ class Best:
         self.held, self.waiting = [(q[order], score[order], first[order], name[order])], 0
 
 
-def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray], block: int, best: Best) -> None:
-    """Adds to best what of a run of vectors may reach the queries' bars, with exact scores."""
-    d = asked.shape[1]
-    x, first, name = stacked(part, "vector", d), part.column("first").to_numpy(), np.frombuffer(b"".join(part.column("digest").to_pylist()), "V16")
-    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-    norms = np.frombuffer(b"".join(part.column("norm").to_pylist()), "<f4").reshape(-1, 2).astype(float) * (1 + 1e-6)
-    # Norms a little up, for their own rounding and for that of the sums.
-    missing = norms[:, 1] + 1e-9 * norms.sum(axis=1)
-    near = books.decode(codes)
-    centre = near.mean(axis=0)
-    radius = float(np.sqrt(((near - centre) ** 2).sum(axis=1)).max() + missing.max()) * (1 + 1e-9)
+class Run:
+    """Some coded vectors that lie beside each other, and the ball they lie in."""
+
+    def __init__(self, row: dict, books: Quantiser, d: int):
+        self.x, self.first, self.name = np.frombuffer(row["vector"], "<f8").reshape(-1, d), np.frombuffer(row["first"], "<i8"), np.frombuffer(row["digest"], "V16")
+        self.codes = np.frombuffer(row["code"], np.uint8).reshape(len(self.x), -1)
+        norms = np.frombuffer(row["norm"], "<f4").reshape(-1, 2).astype(float) * (1 + 1e-6)
+        # Norms a little up, for their own rounding and for that of the sums.
+        self.missing, self.norm = norms[:, 1] + 1e-9 * norms.sum(axis=1), norms.sum(axis=1)
+        near = books.decode(self.codes)
+        self.centre = near.mean(axis=0)
+        self.radius = float(np.sqrt(((near - self.centre) ** 2).sum(axis=1)).max() + self.missing.max()) * (1 + 1e-9)
+
+
+def rerank(run: Run, books: Quantiser, asked: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray], block: int, best: Best) -> None:
+    """Adds to best what of a run may reach the queries' bars, with exact scores."""
     # What isn't a number can't be ruled out: hence "not less".
-    reach = ~(asked @ centre + lengths * radius < best.floor) & ~(lengths * norms.sum(axis=1).max() < best.floor)
-    slack = 1e-9 * norms.sum(axis=1)
+    reach = ~(asked @ run.centre + lengths * run.radius < best.floor) & ~(lengths * run.norm.max() < best.floor)
+    slack = 1e-9 * run.norm
     for at, table in zip(range(0, len(asked), block), tables, strict=True):
         q = np.flatnonzero(reach[at : at + block]) + at
         if not len(q):
@@ -224,11 +234,11 @@ def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: n
         def exact(j: np.ndarray, i: np.ndarray, q: np.ndarray = q) -> None:
             for b in range(0, len(i), 16_384):
                 who, what = q[i[b : b + 16_384]], j[b : b + 16_384]
-                best.add(who, in_order(x[what], asked[who]), first[what], name[what])
+                best.add(who, in_order(run.x[what], asked[who]), run.first[what], run.name[what])
 
-        likely = books.scores(table, codes) + lengths[q] * (missing[:, None] + books.rounding)
+        likely = books.scores(table, run.codes) + lengths[q] * (run.missing[:, None] + books.rounding)
         new = np.flatnonzero(np.isneginf(best.floor[q]))
-        if len(new) and len(x) > best.most:  # bars to begin with
+        if len(new) and len(run.x) > best.most:  # bars to begin with
             j, i = np.argpartition(-likely[:, new], best.most, axis=0)[: best.most].ravel(), np.tile(new, best.most)
             exact(j, i)
             likely[j, i] = -np.inf
@@ -236,42 +246,80 @@ def rerank(part: pa.RecordBatch, books: Quantiser, asked: np.ndarray, lengths: n
         may = ~(likely < best.floor[q])
         rows = np.flatnonzero(may.any(axis=1))
         # Products first as a whole, up to their rounding, then in order for what is left.
-        may = may[rows] & ~(x[rows] @ asked[q].T + lengths[q] * slack[rows, None] < best.floor[q])
+        may = may[rows] & ~(run.x[rows] @ asked[q].T + lengths[q] * slack[rows, None] < best.floor[q])
         j, i = may.nonzero()
         exact(rows[j], i)
 
 
-def reaching(coded: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
+RUN = ("digest", "vector", "first", "code", "norm")
+RUNS = "block long, place int, " + ", ".join(f"{c} binary" for c in RUN)
+
+
+def runs_of(codes: DataFrame, number: int, d: int, s: Settings) -> DataFrame:
+    """Coded vectors along the order of their codes, a run in one row; a block is a range of them that a task can hold."""
+    row_bytes = 8 * d + s.codebooks + 32
+    blocks = max(-(-number * row_bytes // s.block_bytes), min(codes.sparkSession.sparkContext.defaultParallelism, -(-number // s.run)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, s.run):
+                part = batch.slice(low, s.run)
+                data = [part.column(c).to_numpy().astype("<i8").tobytes() if c == "first" else b"".join(part.column(c).to_pylist()) for c in RUN]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([place], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "place", *RUN])
+                place += 1
+
+    return codes.select(*RUN).repartitionByRange(blocks, "code", "digest").sortWithinPartitions("code", "digest").mapInArrow(packed, RUNS)
+
+
+def groups_of(queries: DataFrame, s: Settings) -> DataFrame:
+    """(ids, asked, bars): queries packed in groups; a query without a bar has none to reach."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, s.query_group):
+                part = batch.slice(low, s.query_group)
+                bars = np.array([-np.inf if x is None else x for x in part.column("bar").to_pylist()], "<f8")
+                data = part.column("query_id").to_numpy().astype("<i8").tobytes(), b"".join(part.column("vector").to_pylist()), bars.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], ["ids", "asked", "bars"])
+
+    return queries.repartition(-(-queries.count() // (4 * s.query_group)) or 1).mapInArrow(packed, "ids binary, asked binary, bars binary")
+
+
+def reaching(runs: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
     """(query_id, digest, first, score): exact scores of all that may be among a query's k nearest.
 
-    queries hold a bar each, the score of k rows or null.  Each task keeps the
+    queries hold a bar each, the score of k rows or null.  A block gives the
     best 2k + 1 classes of a query (by score and smallest id: a few of them may
     hold no other row than the query's own).
     """
-    spark, most = coded.sparkSession, 2 * k + 1
-    path = new_path(spark, "reaching")
-    groups = max(1, -(-queries.count() // s.query_group))
-    for g in range(groups):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()  # of bounded number
-        asked = np.frombuffer(b"".join(bytes(r.vector) for r in some), "<f8").reshape(-1, d)
-        group = spark.sparkContext.broadcast((np.array([r.query_id for r in some], np.int64), asked, np.array([-np.inf if r.bar is None else r.bar for r in some])))
-
-        def scored(batches: Iterator[pa.RecordBatch], group: Broadcast = group) -> Iterator[pa.RecordBatch]:
-            books, (ids, asked, bar) = shipped.value, group.value
-            lengths, best, tables = np.sqrt((asked**2).sum(axis=1)) * (1 + 1e-9), Best(bar, most), [books.tables(asked[at : at + s.query_block]) for at in range(0, len(asked), s.query_block)]
-            for batch in batches:
-                for low in range(0, batch.num_rows, s.run):
-                    rerank(batch.slice(low, s.run), books, asked, lengths, tables, s.query_block, best)
+    most = 2 * k + 1
+    last = runs.agg(F.max("block")).first()[0] or 0
+    groups = groups_of(queries, s).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).withColumn("place", F.lit(None).cast("int"))
+    # A block's runs come before all groups.
+    met = runs.unionByName(groups, allowMissingColumns=True).repartition(last + 1, "block").sortWithinPartitions("block", F.asc_nulls_last("place"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, block, held = shipped.value, None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["block"] != block:
+                    block, held = row["block"], []
+                if row["place"] is not None:
+                    held.append(Run(row, books, d))
+                    continue
+                ids, asked, best = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["asked"], "<f8").reshape(-1, d), Best(np.frombuffer(row["bars"], "<f8"), most)
+                lengths, tables = np.sqrt((asked**2).sum(axis=1)) * (1 + 1e-9), [books.tables(asked[b : b + s.query_block]) for b in range(0, len(asked), s.query_block)]
+                for run in held:
+                    rerank(run, books, asked, lengths, tables, s.query_block, best)
                 best.thin()
-            best.thin()
-            q, score, first, name = best.held[0]
-            for b in range(0, len(q), 10_000):
-                to = slice(b, b + 10_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[to]]), pa.array([bytes(v) for v in name[to]], pa.binary()), pa.array(first[to]), pa.array(score[to])], ["query_id", "digest", "first", "score"])
+                q, score, first, name = best.held[0]
+                for b in range(0, len(q), 10_000):
+                    to = slice(b, b + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q[to]]), pa.array([bytes(v) for v in name[to]], pa.binary()), pa.array(first[to]), pa.array(score[to])], ["query_id", "digest", "first", "score"])
 
-        coded.mapInArrow(scored, "query_id long, digest binary, first long, score double").write.mode("append").option("compression", "zstd").parquet(path)
-        group.unpersist()
-    return spark.read.schema("query_id long, digest binary, first long, score double").parquet(path)
+    return written(met.mapInArrow(scored, "query_id long, digest binary, first long, score double"), "reaching")
 
 
 def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings = Settings(), *, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -299,10 +347,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings =
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("digest", "vector", "first")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([x.tobytes() for x in norms], pa.binary())], ["digest", "vector", "first", "code", "norm"])
 
     codes = written(distinct.select("digest", "vector", "first").mapInArrow(encoded, "digest binary, vector binary, first long, code binary, norm binary"), "codes")
-    coded = written(codes.repartitionByRange("code", "digest").sortWithinPartitions("code", "digest"), "coded-vectors")
     queries = written(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").distinct(), "queries")
     members = written(first_members(vectors, k + 1), "members")
-    forget(vectors, distinct, codes)
+    forget(vectors, distinct)
 
     def ranked(scores: DataFrame) -> DataFrame:
         """The k best rows of each query among scored classes."""
@@ -313,10 +360,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings =
 
     part = max(s.sample_rows, round((total * s.share / 2) ** 0.5))
     if part < total:
-        some = coded.where(u < part / total).repartition(-(-part // s.share))
+        some = written(runs_of(codes.where(u < part / total), part, d, s), "some-runs")
         found = ranked(reaching(some, queries.withColumn("bar", F.lit(None).cast("double")), shipped, d, k, s))
         bars = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
         queries = written(queries.join(bars, "query_id", "left"), "bars")
+        forget(some)
     else:
         queries = queries.withColumn("bar", F.lit(None).cast("double"))
-    return ranked(reaching(coded, queries, shipped, d, k, s)).select("query_id", "rank", "vec_id", "score")
+    runs = written(runs_of(codes, total, d, s), "runs")
+    forget(codes)
+    return ranked(reaching(runs, queries, shipped, d, k, s)).select("query_id", "rank", "vec_id", "score")

@@ -94,6 +94,21 @@ def test_additive_search(spark):
     assert additive_search.search(table.where("vec_id = 1000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_additive_search_takes_as_many_jobs_for_more_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    answers, jobs = [], []
+    for group in (1, 7, 600):
+        s = additive_search.Settings(codebooks=4, codewords=16, query_group=group, run=16, block_bytes=4000, share=64, sample_rows=200)
+        spark.sparkContext.setJobGroup(f"groups-of-{group}", "")
+        answers.append(additive_search.search(table, F.col("vec_id") % 2 == 0, 5, s).orderBy("query_id", "rank").collect())
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"groups-of-{group}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 1500
+    assert jobs[0] > 0 and max(jobs) - min(jobs) <= 2, jobs
+
+
 def test_additive_search_among_near_copies(spark):
     r = np.random.default_rng(11)
     x = r.normal(size=(1500, 16))
