@@ -252,24 +252,25 @@ def rerank(run: Run, books: Quantiser, asked: np.ndarray, lengths: np.ndarray, t
 
 
 RUN = ("digest", "vector", "first", "code", "norm")
-RUNS = "block long, place int, " + ", ".join(f"{c} binary" for c in RUN)
+RUNS = "part long, place int, " + ", ".join(f"{c} binary" for c in RUN)
 
 
-def runs_of(codes: DataFrame, number: int, d: int, s: Settings) -> DataFrame:
-    """Coded vectors along the order of their codes, a run in one row; a block is a range of them that a task can hold."""
+def runs_of(codes: DataFrame, number: int, d: int, s: Settings) -> tuple[DataFrame, int]:
+    """Coded vectors along the order of their codes, a run in one row; and in how many blocks tasks can hold them."""
     row_bytes = 8 * d + s.codebooks + 32
     blocks = max(-(-number * row_bytes // s.block_bytes), min(codes.sparkSession.sparkContext.defaultParallelism, -(-number // s.run)))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, place = TaskContext.get().partitionId(), 0
+        partition, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, s.run):
                 part = batch.slice(low, s.run)
                 data = [part.column(c).to_numpy().astype("<i8").tobytes() if c == "first" else b"".join(part.column(c).to_pylist()) for c in RUN]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([place], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "place", *RUN])
+                yield pa.RecordBatch.from_arrays([pa.array([partition], pa.int64()), pa.array([place], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["part", "place", *RUN])
                 place += 1
 
-    return codes.select(*RUN).repartitionByRange(blocks, "code", "digest").sortWithinPartitions("code", "digest").mapInArrow(packed, RUNS)
+    runs = codes.select(*RUN).repartitionByRange(blocks, "code", "digest").sortWithinPartitions("code", "digest").mapInArrow(packed, RUNS)
+    return written(runs, "runs"), blocks
 
 
 def groups_of(queries: DataFrame, s: Settings) -> DataFrame:
@@ -286,7 +287,7 @@ def groups_of(queries: DataFrame, s: Settings) -> DataFrame:
     return queries.repartition(-(-queries.count() // (4 * s.query_group)) or 1).mapInArrow(packed, "ids binary, asked binary, bars binary")
 
 
-def reaching(runs: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
+def reaching(runs: DataFrame, blocks: int, queries: DataFrame, shipped: Broadcast, d: int, k: int, s: Settings) -> DataFrame:
     """(query_id, digest, first, score): exact scores of all that may be among a query's k nearest.
 
     queries hold a bar each, the score of k rows or null.  A block gives the
@@ -294,10 +295,12 @@ def reaching(runs: DataFrame, queries: DataFrame, shipped: Broadcast, d: int, k:
     hold no other row than the query's own).
     """
     most = 2 * k + 1
-    last = runs.agg(F.max("block")).first()[0] or 0
-    groups = groups_of(queries, s).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).withColumn("place", F.lit(None).cast("int"))
+    # Neighbouring parts make a block, so that there are no more blocks, and no more rows from them, however the runs were dealt.
+    parts = (runs.agg(F.max("part")).first()[0] or 0) + 1
+    runs = runs.withColumn("block", F.floor(F.col("part") * blocks / parts))
+    groups = groups_of(queries, s).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     # A block's runs come before all groups.
-    met = runs.unionByName(groups, allowMissingColumns=True).repartition(last + 1, "block").sortWithinPartitions("block", F.asc_nulls_last("place"))
+    met = runs.unionByName(groups, allowMissingColumns=True).repartition(blocks, "block").sortWithinPartitions("block", F.asc_nulls_last("part"), "place")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, block, held = shipped.value, None, []
@@ -360,13 +363,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, settings: Settings =
 
     part = max(s.sample_rows, round((total * s.share / 2) ** 0.5))
     if part < total:
-        some = written(runs_of(codes.where(u < part / total), part, d, s), "some-runs")
-        found = ranked(reaching(some, queries.withColumn("bar", F.lit(None).cast("double")), shipped, d, k, s))
+        some, blocks = runs_of(codes.where(u < part / total), part, d, s)
+        found = ranked(reaching(some, blocks, queries.withColumn("bar", F.lit(None).cast("double")), shipped, d, k, s))
         bars = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
         queries = written(queries.join(bars, "query_id", "left"), "bars")
         forget(some)
     else:
         queries = queries.withColumn("bar", F.lit(None).cast("double"))
-    runs = written(runs_of(codes, total, d, s), "runs")
+    runs, blocks = runs_of(codes, total, d, s)
     forget(codes)
-    return ranked(reaching(runs, queries, shipped, d, k, s)).select("query_id", "rank", "vec_id", "score")
+    return ranked(reaching(runs, blocks, queries, shipped, d, k, s)).select("query_id", "rank", "vec_id", "score")
