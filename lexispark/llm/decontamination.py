@@ -2,9 +2,10 @@
 
 The normalised test items' words form one automaton (several, if the items
 exceed ``words_per_automaton``: each is of bounded size and is sent to the
-executors in turn).  Every document's words stream through it; the longest
-matching length at each word tells which item windows end there.  Documents are
-never shuffled.
+executors in turn; a long item is cut into pieces that overlap by a window less
+a word, so that every window lies whole in one).  Every document's words stream
+through it; the longest matching length at each word tells which item windows
+end there.  Documents are never shuffled.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words gives no window; an item shorter than the window is one window;
@@ -27,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD_PATTERN_BYTES, bounded_batches, drop, fresh, give_back, new_path, written
+from lexispark.llm.common import WORD_PATTERN_BYTES, bounded_batches, forget, fresh, give_back, written
 
 #: Lower-cases A-Z and turns every byte outside words into a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c in WORD_PATTERN_BYTES else 32 for c in range(256))
@@ -154,9 +155,27 @@ class Settings:
     words_per_automaton: int = 200_000
 
 
+def pieces_of(body: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """The words in pieces of at most so many; every window of them lies whole in a piece, and only a short text gives a piece shorter than a window."""
+    step = most - window + 1
+    for at in range(0, max(1, len(body) - window + 1), step):
+        yield body[at : at + most]
+
+
 def automata(benchmark: DataFrame, settings: Settings, *, text: str = "text", key: str = "item_id") -> Iterator[SuffixAutomaton]:
-    """One automaton for each share of the items of bounded size."""
-    items = benchmark.select(F.col(key).alias("item"), F.col(text).cast("binary").alias("text")).where("text is not null")
+    """One automaton for each share of the items' pieces of bounded size."""
+    most = max(2 * settings.window, settings.words_per_automaton // 8)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, body in zip(batch.column("item"), batch.column("text").to_pylist(), strict=True):
+                pieces = [b" ".join(x) for x in pieces_of(words(body), settings.window, most)]
+                for at in range(0, len(pieces), 16):
+                    some = pieces[at : at + 16]
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(some), pa.int64()), pa.array(some, pa.binary())], ["item", "text"])
+
+    items = benchmark.select(F.col(key).cast("long").alias("item"), F.col(text).cast("binary").alias("text")).where("text is not null")
+    items = written(items.mapInArrow(cut, "item long, text binary"), "benchmark-pieces")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # a word takes two bytes with its space at least
     shares = max(1, -(-size // (2 * settings.words_per_automaton)))
     for k in range(shares):
@@ -224,21 +243,31 @@ def clean_with(shipped: Broadcast, max_coverage: float) -> Callable:
     return cleaned.asNondeterministic()
 
 
+def all_but_last(rows: DataFrame, benchmark: DataFrame, settings: Settings, found: str, body: Column) -> tuple[DataFrame, Broadcast]:
+    """rows with what all automata but the last found, and the last automaton."""
+    before = shipped = None
+    for automaton in automata(benchmark, settings):
+        if shipped is not None:
+            rows = written(rows.withColumn(found, scan_with(shipped)(body, found)), "decontamination")
+            shipped.unpersist()
+            if before is not None:
+                forget(before)
+            before = rows
+        shipped = rows.sparkSession.sparkContext.broadcast(automaton)  # of bounded size
+    return rows, shipped
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, spans (start, end, start, ... of hit words, merged) and items of every row of docs.
 
     Each automaton after the first reads what the one before left in a written
-    table, so that no executor holds two of them.
+    table, so that no executor holds two of them; there are at most two such tables
+    at a time.
     """
     bounded_batches(docs)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), nothing_found().alias("found"))
-    first = True
-    for automaton in automata(benchmark, settings):
-        shipped = docs.sparkSession.sparkContext.broadcast(automaton)  # of bounded size
-
-        rows = (rows if first else written(rows, "decontamination")).withColumn("found", scan_with(shipped)("text", "found"))
-        first = False
-    return rows.select("doc_id", "found.*")
+    rows, shipped = all_but_last(rows, benchmark, settings, "found", F.col("text"))
+    return rows.withColumn("found", scan_with(shipped)("text", "found")).select("doc_id", "found.*")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -275,18 +304,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     With several automata, all look at the texts as they came, one after another as
     in findings(); the last one's step cuts and judges by the spans of them all.
     """
-    spark = docs.sparkSession
     bounded_batches(docs)
     found, column = fresh(docs, "found", "clean_text")
-    rows, body = docs.withColumn(found, nothing_found()), F.col(text).cast("binary")
-    shipped = path = None
-    for automaton in automata(benchmark, settings):
-        if shipped is not None:
-            rows, last, path = rows.withColumn(found, scan_with(shipped)(body, found)), path, new_path(spark, "decontamination")
-            rows.write.option("compression", "zstd").parquet(path)
-            rows = spark.read.schema(rows.schema).parquet(path)
-            if last is not None:
-                drop(spark, last)
-        shipped = spark.sparkContext.broadcast(automaton)  # of bounded size
+    body = F.col(text).cast("binary")
+    rows, shipped = all_but_last(docs.withColumn(found, nothing_found()), benchmark, settings, found, body)
     out = rows.withColumn(column, clean_with(shipped, max_coverage)(body, found)).where(F.col(f"{column}.keep"))
     return out.select(*(F.col(f"{column}.text").alias(c) if c == text else F.col(c) for c in docs.columns))

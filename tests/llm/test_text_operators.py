@@ -3,12 +3,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from lexispark.llm import decontamination, language_id, near_dedup, quality, secret_scan
-from lexispark.llm.common import fold
+from lexispark.llm.common import fold, scratch_dir
 from tests.llm.conftest import ODD, documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -117,6 +118,26 @@ def test_decontamination(spark, seed):
     assert decontamination.judge(table, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_long_items_are_cut_and_copies_of_texts_go(spark):
+    r = random.Random(8)
+    long = [f"w{k}" for k in range(300)]
+    items = [(1, " ".join(long)), (2, " ".join(long[100:104])), (None, " ".join(f"n{k}" for k in range(90)))]
+    docs = [(k, f"before {' '.join(long[k : k + r.randint(3, 12)])} after") for k in range(290)] + [(400, " ".join(f"n{k}" for k in range(50, 57)))]
+    for n in (0, 1, 4, 5, 19, 20, 21, 300):
+        pieces = list(decontamination.pieces_of([*map(str, range(n))], 5, 20))
+        windows = {tuple(x[k : k + 5]) for x in pieces for k in range(max(1, len(x) - 4))}
+        assert windows == {tuple(map(str, range(n)[k : k + 5])) for k in range(max(1, n - 4))} and max(map(len, pieces)) <= 20
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    table = documents(spark, [(i, t, None) for i, t in docs])
+    want = brute(docs, items[:2], 5)
+    folder = Path(scratch_dir(spark).removeprefix("file://"))
+    before = {*folder.glob("decontamination-*")}
+    got = decontamination.judge(table, benchmark, decontamination.Settings(window=5, words_per_automaton=40)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id != 400} == {k: v for k, v in want.items() if k != 400}
+    assert {x.doc_id: (x.n_hit, x.n_items) for x in got}[400] == (7, 0)
+    assert len({*folder.glob("decontamination-*")} - before) == 1
+
+
 def test_clean_is_the_same_for_any_number_of_automata(spark):
     r = random.Random(3)
     passage = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
