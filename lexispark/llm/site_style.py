@@ -58,9 +58,11 @@ CLOSES_P = BLOCKS - frozenset("html body caption dd dt legend li optgroup option
 SCOPES = frozenset("html body article aside section div main nav footer header form td th table ul ol dl blockquote".split())
 NO_ARTICLE_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NO_ARTICLE_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments disqus cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget toolbar pagination pager login search".split())
+NO_ARTICLE_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments disqus cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget toolbar pagination pager login search respond reply replies".split())
 #: Parts of names that add nothing to what a name says; a name counts if it has a boilerplate part and no others than these.
-NAME_FILLERS = frozenset("site main page global top bottom left right first last box bar list item wrap wrapper container block area section inner outer primary secondary text content header links link button buttons form message policy slot unit zone".split())
+NAME_FILLERS = frozenset("site main page global top bottom left right first last box bar list item wrap wrapper container block area section inner outer primary secondary text content header links link button buttons form message policy slot unit zone user users reader readers visitor visitors byline".split())
+#: Names of an article element that is not the page's own.
+OTHER_ARTICLES = frozenset("comment comments reply replies teaser teasers related recommended promo promoted sponsored ad advert advertisement".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
@@ -68,11 +70,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
 NAMES = re.compile(r"[^a-z]+")
+JOINED = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def names_say(names: str, what: frozenset[str]) -> bool:
-    """Some whole class or id name consists of parts that say what, and fillers."""
-    parts = [{*NAMES.split(name)} - {""} for name in names.split()]
+    """Some whole class or id name consists of parts that say what, and fillers; capitals begin a part, too."""
+    parts = [{*NAMES.split(JOINED.sub(" ", name).lower())} - {""} for name in names.split()]
     return any(p & what and p <= what | NAME_FILLERS for p in parts)
 
 
@@ -84,11 +87,11 @@ def signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
     known = SIGNATURES.get(key := f"{tag} {attributes}")
     if known is None:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+        names = f"{found.get('class', '')} {found.get('id', '')}"
         roles = {*found.get("role", "").lower().split()}
         hidden = "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes)))
-        denied = tag in NO_ARTICLE_TAGS or hidden or bool(roles & NO_ARTICLE_ROLES) or (tag not in ("html", "body", "article", "main") and names_say(names, NO_ARTICLE_NAMES)) or (tag == "article" and names_say(names, frozenset(("comment", "comments"))))
-        stable = ".".join(sorted(x for x in names.split() if not re.search(r"\d", x)))
+        denied = tag in NO_ARTICLE_TAGS or hidden or bool(roles & NO_ARTICLE_ROLES) or (tag not in ("html", "body", "article", "main") and names_say(names, NO_ARTICLE_NAMES)) or (tag == "article" and names_say(names, OTHER_ARTICLES))
+        stable = ".".join(sorted(x for x in names.lower().split() if not re.search(r"\d", x)))
         known = f"{tag}.{stable}" if stable else tag, denied, tag == "header" or names_say(names, frozenset(("header",)))
         if len(SIGNATURES) > 50_000:
             SIGNATURES.clear()

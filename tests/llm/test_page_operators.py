@@ -23,6 +23,17 @@ def test_main_text():
         assert site_style.main_text(odd, frozenset()) == ""
 
 
+@pytest.mark.parametrize("attribute", ["class=userComments", "class=respond", "class='x newsletterBox'", "class=byline-share", "id=relatedPosts class=relatedLinks", "class=reader_comments"])
+def test_names_inside_an_article(attribute):
+    assert site_style.main_text(f"<article><p>own</p><div {attribute}><p>other</p></div><p>end</p></article>") == "own\nend"
+
+
+def test_names_that_only_look_like_boilerplate():
+    for name in ("commentary", "userGuide", "adverbs", "shareholders", "navigationalChart", "researchFindings", "byline", "readers"):
+        assert site_style.main_text(f"<article class={name}><p>own</p><div class={name}><p>more</p></div></article>") == "own\nmore"
+    assert site_style.main_text("<article><p>own</p></article><article class=teaser><p>another</p></article>") == "own"
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     page = lambda k: f"<html><body><div class=x1><span>Welcome to our site</span></div><div class=body><p>own text {k} {k * 7}</p></div></body></html>"
     rows = [(k, "http://a.example/p", page(k), 1) for k in range(12)] + [(90, None, None, 1), (91, "http://b.example/", page(5), 1), (91, "http://b.example/", page(5), 1)]
