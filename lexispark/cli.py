@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("file")
     ingest = sub.add_parser("ingest", help="ingest a lexicon: a file or a folder of them")
     ingest.add_argument("-n", "--no-delete", action="store_true", help="keep what the lexicon has")
+    ingest.add_argument("-r", "--number-repeats", action="store_true", help="tell entries of one key apart by a number behind it")
     ingest.add_argument("lexicon_id")
     ingest.add_argument("path")
     aggregate = sub.add_parser("aggregate", help="add the statistics of a corpus folder")
@@ -40,7 +41,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.command == "load":
         out = json.dumps(engine.load_morph(args.file, args.lang, not args.no_delete))
     elif args.command == "ingest":
-        out = json.dumps(engine.ingest_lexicon(args.lexicon_id, args.path, not args.no_delete))
+        out = json.dumps(engine.ingest_lexicon(args.lexicon_id, args.path, not args.no_delete, args.number_repeats))
     elif args.command == "aggregate":
         out = json.dumps(engine.aggregate(args.dir))
     else:

@@ -17,9 +17,15 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def suffixed_repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The n-th row of a key, in order, has n appended to it from the second on."""
-    k = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_k", k).withColumn(key, F.when(F.col("_k") > 1, F.concat(key, F.col("_k").cast("string"))).otherwise(F.col(key))).drop("_k")
+    """The n-th row of a key, in order, has n appended to it from the second on.
+
+    A row's place among all, less that of its key's first: a key of many rows lies in several ranges.
+    """
+    held = numbered(rows, [key, order], "_at")
+    first = held.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"))
+    n = F.col("_at") - F.col("_first") + 1
+    out = held.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn(key, F.when(n > 1, F.concat(key, n.cast("string"))).otherwise(F.col(key))).select(*rows.columns)
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:

@@ -155,6 +155,19 @@ def lexicon_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("file").alias("lemma_id"), "kind", F.col("ordinal").cast("int").alias("ordinal"), ids["entry_id"].alias("entry_id"), ids["sense_id"].alias("sense_id"), "sense", X.stored_level(F.col("level")).alias("level"), "text")
 
 
+def as_lexicon(entries: DataFrame) -> str:
+    """Write entries as TEI documents under a declaration, one for each partition; returns the folder."""
+
+    def whole(batches):
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE TEI SYSTEM "unread.dtd" [ <!ENTITY a "b > c"> ]>\n<TEI><body>']})
+        yield from batches
+        yield pd.DataFrame({"value": ["</body></TEI>"]})
+
+    at = new_folder(entries.sparkSession, "lexicon")
+    entries.mapInPandas(whole, "value string").write.text(at)
+    return at
+
+
 @query(f"""
 WITH {LEXICON}, l AS (SELECT DISTINCT headword FROM lex)
 SELECT headword AS key, 'entry' AS kind, '-1' AS entry_id, CAST(NULL AS VARCHAR) AS sense, -1 AS level, {_ENTRY} AS text FROM l
@@ -164,18 +177,24 @@ def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TEI files of many lemmas each, under a declaration and with comments that look like entries; they are read in splits."""
     heads = D.parses(spark, sf_dir).select("headword").distinct()
     entries = heads.select(F.format_string(f"<!-- <entry> a > b -->{_TEI_ENTRY}", "headword", "headword", F.char_length("headword"), "headword").alias("value"))
-
-    def whole(batches):
-        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE TEI SYSTEM "unread.dtd" [ <!ENTITY a "b > c"> ]>\n<TEI><body>']})
-        yield from batches
-        yield pd.DataFrame({"value": ["</body></TEI>"]})
-
-    at = new_folder(spark, "lexicon")
-    entries.mapInPandas(whole, "value string").write.text(at)
+    at = as_lexicon(entries)
     out = tei_lexicon.lexicon(spark, [at], "g")
     return out.select("key", "kind", X.sense_ids(F.col("xml_id"))["entry_id"].alias("entry_id"), "sense", X.stored_level(F.col("level")).alias("level"), "text")
 
 
+@query(f"""
+WITH {LEXICON}, l AS (SELECT DISTINCT headword FROM lex),
+k AS (SELECT headword, substr(headword, 1, 3) AS k, row_number() OVER (PARTITION BY substr(headword, 1, 3) ORDER BY headword) AS n FROM l),
+e AS (SELECT headword, k || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END AS key FROM k)
+SELECT key, 'entry' AS kind, '<orth>' || headword || '</orth><sense id="n1.1">' || headword || '</sense>' AS text FROM e UNION ALL SELECT key, 'sense', headword FROM e""")
+def numbered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TEI files of all headwords in order, under the first three letters of each: repeats of a key are numbered through all files."""
+    heads = D.parses(spark, sf_dir).select("headword").distinct().orderBy("headword")
+    xml = F.format_string('<entry key="%s"><orth>%s</orth><sense id="n1.1">%s</sense></entry>', F.substring("headword", 1, 3), "headword", "headword")
+    rows = checkpointed(tei_lexicon.lexicon(spark, [as_lexicon(heads.select(xml.alias("value")))], "i"))
+    return lexica.numbered_keys(rows).select("key", "kind", "text")
+
+
 @query(f"""
 WITH {LEXICON} SELECT row_number() OVER (ORDER BY headword) AS id, 'entry=' || headword AS lemma, 'of ' || length(headword) || ' letters' AS definition, '-1' AS entry_id, '-1' AS sense_id, CAST(NULL AS INTEGER) AS shown_level
 FROM (SELECT DISTINCT headword FROM lex) WHERE length(headword) % 6 <> 5""")
@@ -230,6 +249,22 @@ def beta_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BETA_LEMMA = _BETA_SQL.replace("form", "headword")
+
+
+@query(f"""
+WITH {LEXICON} SELECT {_BETA_SQL} AS form, {_BETA_LEMMA} AS lemma, part_of_speech AS pos, number, tense, grammatical_case AS "case" FROM lex
+WHERE length({_BETA_SQL}) > 0 AND length({_BETA_LEMMA}) > 0""")
+def greek_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis elements in Beta Code to JSON lines in Greek and back; what has no Beta Code letter in its form or lemma is no record."""
+    found = D.parses(spark, sf_dir)
+    parts = found.select(beta_word("form").alias("form"), beta_word("headword").alias("lemma"), F.col("part_of_speech").alias("pos"), "number", "tense", F.col("grammatical_case").alias("case"))
+    at, out = new_folder(spark, "analyses"), new_folder(spark, "converted")
+    parts.write.format("xml").option("rootTag", "analyses").option("rowTag", "analysis").save(at)
+    morph.convert_xml(spark, at, out, greek=True)
+    return morph.records(spark, out, "grc").select("form", "lemma", "pos", "number", "tense", "case")
+
+
 @query(f"""
 WITH {TOKENS}, f AS (SELECT DISTINCT form, regexp_replace(form, '[^{BETA}]', '', 'g') AS b, {_BETA_SQL} AS g FROM fm WHERE length(regexp_replace(form, '[^{BETA}]', '', 'g')) > 0)
 SELECT r.form AS request_id, CASE WHEN r.b = r.g THEN 1 ELSE 4 END AS tier, l.form AS id FROM f r JOIN f l ON r.g = l.g""")

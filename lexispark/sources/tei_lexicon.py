@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_MEANING = "[no specified meaning]"
-LEXICON_ROWS = "file string, kind string, entry long, ordinal long, key string, xml_id string, sense string, level string, text string"
-COLUMNS = ["file", "kind", "entry", "ordinal", "key", "xml_id", "sense", "level", "text"]
+LEXICON_ROWS = "file string, kind string, entry long, inner long, ordinal long, key string, xml_id string, sense string, level string, text string"
+COLUMNS = ["file", "kind", "entry", "inner", "ordinal", "key", "xml_id", "sense", "level", "text"]
 #: A file's document type declaration goes to every task, so it must be small.
 MOST_DECLARED = 1 << 16
 
@@ -113,16 +113,16 @@ def meaning(e: Node, tag: str) -> str:
 
 
 def rows_of(outer: Node, number: int, tag: str) -> Iterator[dict]:
-    """Rows of an outermost entry: its senses, then itself; so for each entry in it, whose senses are told again."""
+    """Rows of an outermost entry (inner 0): its senses, then itself; so for each entry in it, whose senses are told again."""
     ordinal = 0
-    for entry in (e for e in outer.iter() if is_entry(e.tag)):
+    for inner, entry in enumerate(e for e in outer.iter() if is_entry(e.tag)):
         key = entry.attributes.get("key")
         for s in entry.iter():
             if s is not entry and s.tag.lower() == "sense":
                 text = meaning(s, tag)
-                yield {"kind": "sense", "entry": number, "ordinal": ordinal, "key": key, "xml_id": s.attributes.get("id"), "sense": s.attributes.get("n"), "level": s.attributes.get("level"), "text": text if text.strip() else NO_MEANING}
+                yield {"kind": "sense", "entry": number, "inner": inner, "ordinal": ordinal, "key": key, "xml_id": s.attributes.get("id"), "sense": s.attributes.get("n"), "level": s.attributes.get("level"), "text": text if text.strip() else NO_MEANING}
                 ordinal += 1
-        yield {"kind": "entry", "entry": number, "ordinal": -1, "key": key, "xml_id": None, "sense": None, "level": None, "text": inner_xml(entry)}
+        yield {"kind": "entry", "entry": number, "inner": inner, "ordinal": -1, "key": key, "xml_id": None, "sense": None, "level": None, "text": inner_xml(entry)}
 
 
 def lexicon_rows(data: bytes, tag: str, chunk: int = 1 << 16) -> Iterator[dict]:
@@ -349,7 +349,7 @@ def lexicon(spark: SparkSession, paths: list[str], tag: str) -> DataFrame:
     return dealt.mapInArrow(parse, LEXICON_ROWS)
 
 
-ROWS = pa.schema([(name, pa.int64() if name in ("entry", "ordinal") else pa.string()) for name in COLUMNS])
+ROWS = pa.schema([(name, pa.int64() if name in ("entry", "inner", "ordinal") else pa.string()) for name in COLUMNS])
 _ENCODING = re.compile(r"""^﻿?<\?xml[^>]*encoding=["']([\w.-]+)""")
 
 

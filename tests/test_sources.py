@@ -57,6 +57,29 @@ def test_lexicon_tables(spark, tmp_path):
         lexica.tables(spark, "X", str(tmp_path))
 
 
+def test_repeated_keys_are_numbered(spark, tmp_path):
+    """Through files in order of their names, nested entries among them; senses go with their entries."""
+    (tmp_path / "2.xml").write_text('<r><entry key="a"><sense id="n1.4">d</sense></entry><entry key="c"/></r>')
+    (tmp_path / "1.xml").write_text('<r><entry key="a"><sense id="n1.1">a</sense><entry key="a"><sense id="n1.2">b</sense></entry></entry><entry key="b"><sense id="n1.3">c</sense></entry></r>')
+    senses, entries = lexica.tables(spark, "X", str(tmp_path), number_repeats=True)
+    assert [(r.lemma, r.definition) for r in senses.orderBy("id").collect()] == [("entry=a", "a"), ("entry=a", "b"), ("entry=a2", "b"), ("entry=b", "c"), ("entry=a3", "d")]
+    assert sorted(r.key for r in entries.collect()) == ["a", "a2", "a3", "b", "c"]
+    (tmp_path / "3.xml").write_text('<r><entry key="a2"/></r>')
+    with pytest.raises(ValueError, match="'a2'"):
+        lexica.tables(spark, "X", str(tmp_path), number_repeats=True)
+
+
+def test_repeats_with_null_and_hot_keys(spark):
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else "hot" if k % 3 else f"k{k % 4}") for k in range(400)], "n int, key string").repartition(7)
+    seen, expected = {}, []
+    for n, key in sorted((r.n, r.key) for r in rows.collect() if r.key is not None):
+        seen[key] = seen.get(key, 0) + 1
+        expected.append((n, key if seen[key] == 1 else f"{key}{seen[key]}"))
+    got = suffixed_repeats(rows, "key", "n")
+    assert got.columns == ["n", "key"] and got.where("key is null").count() == 80
+    assert sorted((r.n, r.key) for r in got.collect() if r.key is not None) == expected
+
+
 def test_morph_records(spark, tmp_path):
     path = tmp_path / "latin.morph.jsonl"
     path.write_text('{"form": "Rexi", "lemma": "rego2", "pos": "verb", "orth": "rēxī"}\n\n{"lemma": "x"}\n{"form": "rexi", "lemma": "rego2", "pos": "verb"}\n{"form": "res", "lemma": "res", "pos": "noun", "case": "nominative", "zzz": 1}\n')
