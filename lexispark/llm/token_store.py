@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from lexispark.llm.common import bounded_batches, drop
 from lexispark.llm.tokens import encoder
 
 DIGEST = 20
+REACH = 32  # ids in a rolling hash
 CRC_POLYNOMIAL = 0xEDB88320
 
 
@@ -64,16 +67,28 @@ def rolling(ids: np.ndarray) -> np.ndarray:
 
 def cuts(ids: np.ndarray, how: Chunking) -> list[int]:
     """Ends of the chunks, ascending, the last being the stream's end."""
-    wanted = np.flatnonzero(rolling(ids) >> np.uint32(32 - how.bits) == 0) + 1
-    ends, start = [], 0
-    while len(ids) - start > how.least:
-        k = wanted.searchsorted(start + how.least)
-        end = int(wanted[k]) if k < len(wanted) else len(ids)
-        start = min(end, start + how.most, len(ids))
-        ends.append(start)
-    if start < len(ids) or not ends:
-        ends.append(len(ids))
-    return ends
+    return next(all_cuts(ids, [len(ids)], how))
+
+
+def all_cuts(ids: np.ndarray, stops: list[int], how: Chunking) -> Iterator[list[int]]:
+    """cuts() of streams one behind another, counted from the first one's start; stops are the streams' ends."""
+    hashes = rolling(ids)
+    if how.least < REACH:  # else no cut is looked for where a hash holds ids of the stream before
+        for start, stop in zip(stops, stops[1:], strict=False):
+            hashes[start : min(start + REACH, stop)] = rolling(ids[start : min(start + REACH, stop)])
+    wanted = (np.flatnonzero(hashes >> np.uint32(32 - how.bits) == 0) + 1).tolist()
+    start = k = 0
+    for stop in stops:
+        ends: list[int] = []
+        while stop - start > how.least:
+            k = bisect_left(wanted, start + how.least, k)
+            end = wanted[k] if k < len(wanted) else stop
+            start = min(end, start + how.most, stop)
+            ends.append(start)
+        if start < stop or not ends:
+            ends.append(stop)
+        start = stop
+        yield ends
 
 
 class Merkle:
@@ -130,14 +145,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, how: Chunking
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sent, here, count = encoder(tokenizer), set(), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], tokens.dtype).tobytes()
+        end, size = np.array([end_id], tokens.dtype).tobytes(), tokens.dtype.itemsize
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, body in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = tokens.encode(body) + end
-                ids, start, digests, lengths = np.frombuffer(data, tokens.dtype), 0, [], []
-                for stop in cuts(ids, how):
-                    piece = data[start * ids.itemsize : stop * ids.itemsize]
+            bodies = [body + end for body in tokens.encode_all(batch.column("text").to_pylist())]
+            data, stops = b"".join(bodies), [*accumulate(len(x) // size for x in bodies)]
+            start = 0
+            for doc_id, stop, ends in zip(batch.column("key").to_pylist(), stops, all_cuts(np.frombuffer(data, tokens.dtype), stops, how), strict=True):
+                n, digests, lengths = stop - start, [], []
+                for stop in ends:
+                    piece = data[start * size : stop * size]
                     digests.append(d := digest(piece))
                     lengths.append(stop - start)
                     if d not in sent:
@@ -145,7 +162,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, how: Chunking
                         rows.append(("chunk", d, None, stop - start, piece, None))
                     start = stop
                 count += 1  # dealt by place, so that null and repeated ids don't meet
-                rows.append(("recipe", digest(f"{here} {count}".encode()), doc_id, len(ids), b"".join(digests), np.array(lengths, "<u4").tobytes()))
+                rows.append(("recipe", digest(f"{here} {count}".encode()), doc_id, n, b"".join(digests), np.array(lengths, "<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
                 ["kind", "place", "doc_id", "n", "data", "lengths"],

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import time
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -33,6 +35,59 @@ def test_generations_keep_the_result(tokenizer):
     assert small.encode(text.encode()) == encoder(tokenizer).encode(text.encode()) and len(small) <= 4
 
 
+@lru_cache
+def _small(path):
+    return PieceEncoder(path, limit=3)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t,.'!abcÉéßİΣȺ0½×·<|>")), max_size=40)), max_size=6), st.sampled_from([1, 7, 1000]))
+def test_many_texts_equal_single_ones(texts, block):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, small = encoder(path), _small(path)
+    texts = [x if x is None else x.encode() for x in [*texts, "a<|endoftext|>b it's", " ", "two words, 12 and marks!?"]]
+    want = [e.encode(x) for x in texts]
+    assert e.encode_all(texts, block) == want == small.encode_all(texts, block) and len(small.known) <= 6
+    assert small.encode_all(texts[::-1], block) == want[::-1]
+
+
+def test_bytes_that_are_no_text(tokenizer):
+    odd = [b"\xff\xfe a b", b"a \xc3 \xa9 b", b"\xc3", b"", b"\x1c\x1d a\x85b"]
+    e = encoder(tokenizer)
+    assert e.encode_all(odd) == [e.encode(x) for x in odd] == e.encode_all(odd, 1)
+
+
+def test_many_texts_cost_less(tokenizer):
+    """Unknown pieces are encoded once, and known ones aren't looked up one by one."""
+    r = np.random.default_rng(1)
+    words = ["".join(map(chr, r.integers(97, 123, 8))) for _ in range(20_000)]
+    texts = [", ".join(words[k] for k in r.integers(0, len(words), 500)).encode() for _ in range(1000)]
+    single, all_at_once = PieceEncoder(tokenizer), PieceEncoder(tokenizer)
+    calls = []
+    all_at_once.unknown = lambda piece: calls.append(piece) or PieceEncoder.unknown(all_at_once, piece)
+    assert all_at_once.encode_all(texts) == [single.encode(x) for x in texts]
+    assert len(calls) == len(set(calls)) == len(all_at_once.known) == len(single)
+
+    def cpu(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    assert min(cpu(lambda: all_at_once.encode_all(texts)) for _ in range(3)) < 0.7 * min(cpu(lambda: [single.encode(x) for x in texts]) for _ in range(3))
+
+
+@pytest.mark.parametrize("how", [token_store.Chunking(), token_store.Chunking(bits=3, least=4, most=100)])
+def test_cuts_of_many_streams(how):
+    r = np.random.default_rng(2)
+    streams = [r.integers(0, 1 << 16, n).astype(np.uint16) for n in (1, 3000, 40, 31, 2, 9000, 64, 65, 500)]
+    streams += [streams[1], np.full(5000, 7, np.uint16), streams[1]]
+    stops = np.cumsum([len(x) for x in streams]).tolist()
+    got = token_store.all_cuts(np.concatenate(streams), stops, how)
+    assert [[x - stop + len(ids) for x in ends] for ends, stop, ids in zip(got, stops, streams, strict=True)] == [token_store.cuts(x, how) for x in streams]
+
+
 def test_store_round_trip(spark, tokenizer, tmp_path):
     rows = [*ODD, *((100 + k, f"shared passage of words number {k % 3} " * 200, "en") for k in range(9))]
     path = f"file://{tmp_path}/store"
