@@ -7,6 +7,7 @@ Arrow functions meant for distinct strings.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pyarrow as pa
@@ -37,6 +38,21 @@ def uncapitalize(c: Column) -> Column:
     return F.when(c.rlike(pattern), F.concat(part(1), F.lower(part(2)), part(3))).otherwise(c)
 
 
+def _one_capital(letter: str) -> str:
+    """A letter's capital, if it is one letter: there is one of ß, but its usual one is two."""
+    found = next((x for x in (letter.upper(), letter.title()) if len(x) == 1), letter)
+    return "ẞ" if letter == "ß" else found
+
+
+_CAPITALS = {x: _one_capital(x) for x in map(chr, range(128, sys.maxunicode + 1)) if len(x.upper()) > 1 or x.upper() != x}
+_CAPITALS = {x: y for x, y in _CAPITALS.items() if x != y} | {chr(k): chr(k - 32) for k in range(97, 123)}
+
+
+def upper_letters(c: Column) -> Column:
+    """Upper case letter by letter: every letter stays one (upper() makes SS of ß), and what has no such capital stays as it is."""
+    return F.translate(c, "".join(_CAPITALS), "".join(_CAPITALS.values()))
+
+
 def load_form(language: Column, c: Column) -> Column:
     """A record's form in lower case (Arabic has none; Greek only its first letter, and no capital sign)."""
     return F.when(match_case(language), c).when(language == "grc", F.translate(uncapitalize(c), "*", "")).otherwise(F.lower(c))

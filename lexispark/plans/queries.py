@@ -194,7 +194,7 @@ def replace_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.operators.store import replaced
 
     old = D.parses(spark, sf_dir).select("id", "lemma_id", "language_code", "form")
-    return replaced(old, old.where("language_code = 'fr'").withColumn("form", F.upper("form")), "language_code", ["fr"])
+    return replaced(old, old.where("language_code = 'fr'").withColumn("form", X.upper_letters(F.col("form"))), "language_code", ["fr"])
 
 
 @query(f"WITH {LEXICON}, {BIGRAMS}, {REQUESTS}, {_tiers('cand', 'word')} SELECT request_id, tier, id FROM cand")
