@@ -76,9 +76,18 @@ def lookup(requests: DataFrame, parses: DataFrame, word: str = "word") -> DataFr
 
 def document_frequency(candidates: DataFrame, requests: DataFrame, frequencies: DataFrame) -> DataFrame:
     """candidates with document_id and their lemma's document_frequency (null without document or row)."""
-    asked = requests.select("request_id", F.nullif("document_id", F.lit("")).alias("document_id"))
+    return with_frequency(with_documents(candidates, requests), frequencies)
+
+
+def with_documents(candidates: DataFrame, requests: DataFrame) -> DataFrame:
+    """candidates with their request's document_id; an empty one is none."""
+    return candidates.join(requests.select("request_id", F.nullif("document_id", F.lit("")).alias("document_id")), "request_id", "left")
+
+
+def with_frequency(candidates: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """candidates (with document_id) and their lemma's document_frequency."""
     rows = frequencies.select("document_id", "lemma_id", F.col("weighted_frequency").alias("document_frequency"))
-    return candidates.join(asked, "request_id", "left").join(rows, ["document_id", "lemma_id"], "left")
+    return candidates.join(rows, ["document_id", "lemma_id"], "left")
 
 
 def registry(like: DataFrame) -> DataFrame:

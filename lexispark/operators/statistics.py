@@ -31,8 +31,8 @@ def tokens_of(texts: DataFrame) -> DataFrame:
     other, by their seams.
     """
     rows = texts.select("document_id", "language_code", words_of(F.col("text")).alias("words"))
-    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "words"), 1, F.size("words"))
-    rows = rows.where("size(words) > 0").select("document_id", "language_code", F.posexplode(F.arrays_zip(F.col("words").alias("token"), before.alias("before"))).alias("pos", "word"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "words"), 1, F.greatest(F.size("words"), F.lit(0)))
+    rows = rows.select("document_id", "language_code", F.posexplode(F.arrays_zip(F.col("words").alias("token"), before.alias("before"))).alias("pos", "word"))
     rows = rows.select("document_id", "language_code", F.col("pos").cast("long").alias("pos"), "word.token", "word.before")
     return rows.unionByName(seams_of(ends_of(texts))) if "seq" in texts.columns else rows
 
@@ -116,20 +116,22 @@ def prior_counts(tokens: DataFrame, parses: DataFrame, features: Sequence[str] =
 
     Tokens without candidates break the chain; texts start afresh.
     """
-    pairs = chained(tokens).where("before is not null").groupBy("language_code", "before", "token").agg(F.count(F.lit(1)).alias("c"))
-    pairs = forms_of(pairs).withColumn("before", load_form(F.col("language_code"), F.col("before")))
+    pairs = forms_of(chained(tokens).where("before is not null")).select("language_code", load_form(F.col("language_code"), F.col("before")).alias("before"), "form")
+    pairs = pairs.groupBy("before", "form", "language_code").agg(F.count(F.lit(1)).alias("c"))
     key = fold_key(*(F.col(c) for c in features))
     known = candidates_of(parses).select("language_code", "form", "n_parses", key.alias("key"))
     # Of a word's parses, those with one key count together.
     now = known.groupBy("language_code", "form", F.col("key").alias("current_feature_key")).agg(F.sum(F.lit(1.0) / F.col("n_parses")).alias("share"))
     was = known.groupBy("language_code", F.col("form").alias("before"), F.col("key").alias("previous_feature_key")).agg(F.count(F.lit(1)).alias("times"))
-    rows = pairs.join(now, ["language_code", "form"]).join(was, ["language_code", "before"]).withColumn("count", F.col("c") * F.col("share") * F.col("times"))
+    # Of the words before, only those that are met by a key go on, each once a key.
+    met = pairs.join(now, ["language_code", "form"]).groupBy("before", "language_code", "current_feature_key").agg(F.sum(F.col("c") * F.col("share")).alias("weight"))
+    rows = met.join(was, ["language_code", "before"]).withColumn("count", F.col("weight") * F.col("times"))
     return accumulated(rows, ["language_code", "previous_feature_key", "current_feature_key"], [], "count")
 
 
 def with_features(counts: DataFrame, parses: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Counts of pairs of keys with the features of both: of those that fold to a key, the least."""
-    least = parses.groupBy("language_code", fold_key(*(F.col(c) for c in features)).alias("key")).agg(F.min(F.struct(*features)).alias("least"))
+    least = parses.select("language_code", *features).distinct().groupBy("language_code", fold_key(*(F.col(c) for c in features)).alias("key")).agg(F.min(F.struct(*features)).alias("least"))
     out = counts
     for side in ("previous", "current"):
         out = out.join(least.select("language_code", F.col("key").alias(f"{side}_feature_key"), *(F.col(f"least.{c}").alias(f"{side}_{c}") for c in features)), ["language_code", f"{side}_feature_key"])
@@ -138,7 +140,7 @@ def with_features(counts: DataFrame, parses: DataFrame, features: Sequence[str]
 
 def document_counts(tokens: DataFrame, parses: DataFrame) -> DataFrame:
     """document_id, language_code, lemma_id, weighted_frequency: each candidate lemma of a token gets an equal part of it."""
-    seen = forms_of(tokens.where("pos is not null")).groupBy("document_id", "language_code", "form").agg(F.count(F.lit(1)).alias("c"))
+    seen = forms_of(tokens.where("pos is not null")).groupBy("document_id", "form", "language_code").agg(F.count(F.lit(1)).alias("c"))
     lemmas = candidates_of(parses).select("language_code", "form", "lemma_id", "n_lemmas").distinct()
     rows = seen.join(lemmas, ["language_code", "form"])
     return rows.groupBy("document_id", "language_code", "lemma_id").agg(F.sum(F.col("c") / F.col("n_lemmas")).alias("weighted_frequency"))

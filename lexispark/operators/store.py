@@ -55,11 +55,26 @@ def shared_folder(spark: SparkSession) -> str:
 _TEMPORARY: list[list[str]] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder."""
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is written in the block leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
+
+
+def checkpointed(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder; one to keep outlives a block of temporary()."""
     path = f"{shared_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if _TEMPORARY:
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    if _TEMPORARY and not keep:
         _TEMPORARY[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,8 +87,13 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _TEMPORARY.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            forgotten(spark, path)
+
+
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def observed(df: DataFrame, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -181,6 +201,10 @@ class Store:
 
     def _written(self, name: str, rows: DataFrame, level: int = 0, buckets: int = 8) -> list[dict]:
         """Rows as runs, one for each part."""
+        with cleaned(self.spark):
+            return self._runs_of(name, rows, level, buckets)
+
+    def _runs_of(self, name: str, rows: DataFrame, level: int, buckets: int) -> list[dict]:
         schema, part = TABLES[name]
         columns = [F.col(f.name).cast(f.dataType) for f in schema.fields]
         path = f"{name}-{uuid.uuid4().hex}"
@@ -189,7 +213,7 @@ class Store:
             table, by = f"lexispark_{uuid.uuid4().hex}", BUCKETED[name]
             parts = [r[part] for r in rows.select(part).distinct().collect()]  # languages
             if len(parts) > 1:
-                return [run for p in parts for run in self._written(name, rows.where(F.col(part) == p), level, buckets)]
+                return [run for p in parts for run in self._runs_of(name, rows.where(F.col(part) == p), level, buckets)]
             rows.select(*columns).repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("compression", "zstd").option("path", f"{self.path}/{path}").saveAsTable(table)
             return [{"path": path, "part": p, "level": level, "table": table, "buckets": buckets} for p in parts]
         rows = rows.select(*columns, *([F.col(part).alias(PART)] if part else []))
@@ -260,9 +284,13 @@ class Store:
     def clear_lexicon(self, lexicon: str) -> None:
         self.commit({name: Change(gone=[lexicon]) for name in ("senses", "entries")})
 
+    def noted(self, batch: tuple[str, int] | None) -> bool:
+        """Whether a stream's batch is in the store already."""
+        return batch is not None and self.state()["streams"].get(batch[0], -1) >= batch[1]
+
     def accumulate(self, counts: Mapping[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
         """Add counts to the stored ones, all tables at once; doing so twice counts twice, but for a noted batch."""
-        if batch is not None and self.state()["streams"].get(batch[0], -1) >= batch[1]:
+        if self.noted(batch):
             return
         self.commit({name: Change(rows, ()) for name, rows in counts.items()}, batch)
         for name in counts:

@@ -66,10 +66,21 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests_of(tokens(spark, sf_dir))
 
 
+def firsts_of(words: DataFrame) -> DataFrame:
+    """(language_code, token, at): every distinct form, and where it first occurs, after which word."""
+    rows = statistics.forms_of(statistics.chained(words))
+    # The word before goes to lower case once a form; forms come first among the keys, as rows are sorted by them.
+    first = rows.groupBy("form", "language_code").agg(F.min(F.struct(F.col("document_id").cast("long").alias("d"), "pos", "before")).alias("at"))
+    return first.select("language_code", F.col("form").alias("token"), "at")
+
+
 def requests_of(words: DataFrame) -> DataFrame:
     """One request a distinct form: where it first occurs, after which word; spelled as is, elided, in capitals or without accents."""
-    rows = statistics.forms_of(statistics.chained(words)).withColumn("prior_word", load_form(F.col("language_code"), F.col("before")))
-    first = rows.groupBy("language_code", "form").agg(F.min(F.struct(F.col("document_id").cast("long").alias("d"), "pos", "document_id", "prior_word")).alias("at"))
+    return requests_of_firsts(firsts_of(words))
+
+
+def requests_of_firsts(firsts: DataFrame) -> DataFrame:
+    first = firsts.select("language_code", F.col("token").alias("form"), F.struct(F.col("at.d").cast("string").alias("document_id"), load_form(F.col("language_code"), F.col("at.before")).alias("prior_word")).alias("at"))
     kind = F.char_length("form") % 4
     word = F.when(kind == 1, F.concat(F.lit("'"), "form")).when(kind == 2, F.translate("form", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 3, normalize_unicode(F.col("form"))).otherwise(F.col("form"))
     return first.select(F.concat_ws(":", "language_code", "form").alias("request_id"), "language_code", word.alias("word"), F.col("at.document_id").alias("document_id"), F.col("at.prior_word").alias("prior_word"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as X
-from lexispark.operators import lookup, scoring, statistics
+from lexispark.operators import lookup, scoring, sieve, statistics
 from lexispark.operators.ordering import first_wins, suffixed_repeats
-from lexispark.operators.store import checkpointed
+from lexispark.operators.store import checkpointed, temporary
 from lexispark.plans import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,18 +217,29 @@ SCORE_NAMES = ("word_score", "form_score", "prior_score")
 
 
 def scores_of(words: DataFrame, names: Sequence[str] = SCORE_NAMES) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Parses, requests, their candidates and the named scores, each from its own inputs; what several read is written once."""
-    known, asked = checkpointed(D.parses_of(words)), checkpointed(D.requests_of(words))
-    found = lookup.lookup(asked, known)
-    if "word_score" in names:
-        found = lookup.document_frequency(found, asked, statistics.document_counts(words, known))
-    found = checkpointed(found) if len(names) > 1 else found
-    makers = {
-        "word_score": lambda: scoring.word_scores(found),
-        "form_score": lambda: scoring.form_scores(found, statistics.morph_counts(words, known, D.FEATURES), D.FEATURES),
-        "prior_score": lambda: scoring.prior_scores(found, lookup.lookup(asked, known, "prior_word"), statistics.prior_counts(words, known, D.FEATURES), D.FEATURES),
-    }
-    return known, asked, found, {name: makers[name]() for name in names}
+    """Parses, requests, their candidates and the named scores, each from its own inputs; what several read is written once.
+
+    Documents are split into words twice: for their forms, and for the words that have parses.
+    """
+    with temporary(words.sparkSession):
+        firsts = checkpointed(D.firsts_of(words))
+        known, asked = checkpointed(D.parses_of(firsts), keep=True), checkpointed(D.requests_of_firsts(firsts), keep=True)
+        words = checkpointed(sieve.relevant(words, known))
+        columns = ("word", "prior_word") if "prior_score" in names else ("word",)
+        shown = known.select("id", "lemma_id", "language_code", "form", "bare_form", "form_normalized", *D.FEATURES)
+        matched = checkpointed(lookup.matches(lookup.probes(lookup.words_of(asked, *columns)), lookup.spelled(shown)).drop("bare_form", "form_normalized"))
+        found = lookup.of_requests(asked, matched)
+        if "word_score" in names:
+            found = checkpointed(lookup.with_documents(found, asked))
+            counts = checkpointed(sieve.document_counts_of(found.select("document_id", "lemma_id"), words, known))
+            found = lookup.with_frequency(found, counts)
+        found = checkpointed(found, keep=True)
+        makers = {
+            "word_score": lambda: scoring.word_scores(found),
+            "form_score": lambda: scoring.form_scores(found, checkpointed(statistics.morph_counts(words, known, D.FEATURES)), D.FEATURES),
+            "prior_score": lambda: scoring.prior_scores(found, lookup.of_requests(asked, matched, "prior_word"), checkpointed(statistics.prior_counts(words, known, D.FEATURES)), D.FEATURES),
+        }
+        return known, asked, found, {name: checkpointed(makers[name](), keep=True) for name in names}
 
 
 ALL = f"{LEXICON}, {MORPH}, {BIGRAMS}, {PRIOR}, {DOCUMENT}, {REQUESTS}, {_tiers('cand', 'word')}, {_tiers('before_cand', 'prior_word')}, {EXCLUSIVE}, {SCORES}"
@@ -236,7 +247,7 @@ ALL = f"{LEXICON}, {MORPH}, {BIGRAMS}, {PRIOR}, {DOCUMENT}, {REQUESTS}, {_tiers(
 
 def _score_query(name: str, short: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scores_of(checkpointed(D.tokens(spark, sf_dir)), [name])[3][name].select("request_id", "id", F.round(name, 4).alias(name))
+        return scores_of(D.tokens(spark, sf_dir), [name])[3][name].select("request_id", "id", F.round(name, 4).alias(name))
 
     run.__name__ = name
     query(f"WITH {ALL} SELECT request_id, id, round({name}, 4) AS {name} FROM {short}")(run)
@@ -255,7 +266,7 @@ total AS (SELECT c.request_id, c.id, c.lemma_id,
 SELECT request_id, id FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / (ha::INT + hb::INT + hc::INT), 12) DESC, lemma_rank, id) AS k FROM total) WHERE k = 1""")
 def winning_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, found, scores = scores_of(checkpointed(D.tokens(spark, sf_dir)))
+    _, _, found, scores = scores_of(D.tokens(spark, sf_dir))
     return scoring.winners(found, *scores.values()).where("is_winner").select("request_id", "id")
 
 
@@ -283,7 +294,7 @@ WITH {ALL} SELECT r.request_id, CAST(count(DISTINCT lemma_id) AS BIGINT) AS n_le
 FROM req r LEFT JOIN cand c ON c.request_id = r.request_id GROUP BY r.request_id""")
 def response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested response of every request, summed up by its shape."""
-    known, asked, found, scores = scores_of(checkpointed(D.tokens(spark, sf_dir)))
+    known, asked, found, scores = scores_of(D.tokens(spark, sf_dir))
     won = scoring.winners(found, *scores.values())
     lemmas = lookup.attached(D.lemmas(known), D.senses(known), D.entries(known), D.registry(spark))
     out = scoring.respond(asked, found, won, lemmas.drop("language_code"), D.FEATURES)
