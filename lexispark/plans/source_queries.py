@@ -311,10 +311,13 @@ def upsert_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _twice(spark: SparkSession, sf_dir: str, counts, keys: list[str], count: str) -> DataFrame:
-    words = checkpointed(D.tokens(spark, sf_dir))
-    known = checkpointed(D.parses_of(words))
+    words = D.tokens(spark, sf_dir)
     late = F.col("document_id").cast("long") % 2 == 1
-    once = checkpointed(statistics.upsert(*(counts(words.where(w), known, D.FEATURES) for w in (~late, late)), keys, count))
+    with temporary(spark):
+        known = checkpointed(D.parses_of(words))
+        words = checkpointed(sieve.relevant(words, known))
+        halves = [checkpointed(counts(words.where(w), known, D.FEATURES)) for w in (~late, late)]
+        once = checkpointed(statistics.upsert(*halves, keys, count), keep=True)
     return statistics.upsert(once, once, keys, count).select(*keys, F.round(count, 4).alias(count))
 
 
