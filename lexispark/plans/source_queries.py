@@ -375,7 +375,7 @@ WITH {LATIN} SELECT document_id, lemma_id, round(sum(c / n_lemmas), 4) AS weight
 def engine_document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The engine from end to end: load records, add a corpus' tokens, read the stored statistic."""
     engine, _ = _loaded_engine(spark, sf_dir)
-    engine.add_tokens(checkpointed(_as_latin(D.tokens(spark, sf_dir))))
+    engine.add_tokens(_as_latin(D.tokens(spark, sf_dir)))
     return engine.store.read("document_frequencies").withColumn("weighted_frequency", F.round("weighted_frequency", 4))
 
 
@@ -409,7 +409,7 @@ WITH {LATIN} SELECT 'lat' AS language_code, (SELECT count(*) FROM lem) AS lemmas
 def delete_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleting a language takes its lemmas, and with them their parses and document frequencies, and leaves the other's."""
     engine, _ = _loaded_engine(spark, sf_dir)
-    engine.add_tokens(checkpointed(_as_latin(D.tokens(spark, sf_dir))))
+    engine.add_tokens(_as_latin(D.tokens(spark, sf_dir)))
     extra = as_lines(spark.createDataFrame([('{"form": "λόγος", "lemma": "λόγος"}',), ('{"form": "λόγου", "lemma": "λόγος"}',)], "line string"), F.col("line"), "line")
     engine.load_morph(extra, "grc")
     engine.add_tokens(spark.createDataFrame([("greek", "grc", 0, "λόγος")], "document_id string, language_code string, pos long, token string"))
