@@ -535,7 +535,7 @@ UNION ALL SELECT request_id, word, 0, NULL, NULL, 0, NULL, NULL, NULL, NULL, NUL
 def engine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The service from end to end: records, lexica and a corpus in a store, then a request for each form of the corpus."""
     engine, _ = _loaded_engine(spark, sf_dir)
-    words = checkpointed(_as_latin(D.tokens(spark, sf_dir)))
+    words = _as_latin(D.tokens(spark, sf_dir))
     engine.add_tokens(words)
     lemmas = engine.store.read("lemmas").withColumn("key", X.lexicon_key(F.col("headword"), F.col("sequence_number")))
     none, long = F.lit("-1"), lemmas.where(F.char_length("headword") >= 5)
